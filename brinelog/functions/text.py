@@ -42,10 +42,22 @@ def sizeof_fmt(size: Column, suffix: str = "B") -> Column:
     return out
 
 
+def fixed_places(value: Column, places: int = 12) -> Column:
+    """Fixed notation from the exact binary value: whole part and fraction are formatted apart, as their difference
+    is exact, so that 56712.15 shows its binary tail as C formatting does."""
+    v = value.cast("double")
+    size = F.abs(v)
+    whole = F.floor(size)
+    part = F.format_string(f"%.{places}f", size - whole.cast("double"))
+    carried = whole + F.substring(part, 1, 1).cast("bigint")
+    sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
+    exact = F.concat(sign, carried.cast("string"), F.substr(part, F.lit(2)))
+    return F.when(size < 2.0**53, exact).otherwise(F.format_string(f"%.{places}f", v))
+
+
 def csv_number(value: Column, places: int = 12) -> Column:
     """Fixed notation without trailing zeros."""
-    text = F.regexp_replace(F.format_string(f"%.{places}f", value.cast("double")), "0+$", "")
-    return F.regexp_replace(text, r"\.$", "")
+    return F.regexp_replace(F.regexp_replace(fixed_places(value, places), "0+$", ""), r"\.$", "")
 
 
 def csv_quote(text: Column) -> Column:

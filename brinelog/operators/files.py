@@ -72,10 +72,10 @@ def product_path_candidates(parsed: DataFrame) -> DataFrame:
     arrays = F.array().cast("array<string>")
     for product, files in PRODUCT_FILES.items():
         for version in ("v1", "v2"):
-            names = [_fill(f, **v) for f in files]
-            special = [_fill(folder, filename=n, **v) for folder in PRODUCT_FOLDERS.get(product, [])
-                       for n in (names if "{filename}" in folder else names[:1])]
-            options = special + [p for n in names for p in _standard(n, version)]
+            options = []
+            for name in (_fill(f, **v) for f in files):
+                options += [_fill(folder, filename=name, **v) for folder in PRODUCT_FOLDERS.get(product, [])]
+                options += _standard(name, version)
             hit = (F.col("product") == product) & (F.col("schema_version") == version)
             arrays = F.when(hit, F.array(*options)).otherwise(arrays)
     return parsed.select("*", F.posexplode(arrays).alias("prio", "file_path"))
@@ -97,7 +97,7 @@ def fileset_multi_root(parsed: DataFrame, listing: DataFrame, key: Sequence[str]
     found = file_path_candidates(three).join(listing.select(F.col("path").alias("file_path")), "file_path", "left_semi")
     best = [F.min_by(F.when(F.col("extension") == e, F.col("file_path")),
                      F.when(F.col("extension") == e, F.col("prio"))).alias(f"{e}_path") for e in EXTENSIONS]
-    per_root = found.groupBy(*key, "root_order").agg(*best).na.drop("any", [f"{e}_path" for e in EXTENSIONS])
+    per_root = found.groupBy(*key, "root_order").agg(*best).na.drop(subset=[f"{e}_path" for e in EXTENSIONS])
     paths = F.struct(*[f"{e}_path" for e in EXTENSIONS])
     return per_root.groupBy(*key).agg(F.min_by(paths, "root_order").alias("p")).select(*key, "p.*")
 
@@ -118,7 +118,7 @@ def product_find_multi_root(parsed: DataFrame, listing: DataFrame, key: Sequence
 
 def _three_of(files: DataFrame, key: Sequence[str]) -> DataFrame:
     paths = [F.max(F.when(F.col("ext") == e, F.col("path"))).alias(f"{e}_path") for e in EXTENSIONS]
-    return files.groupBy(*key).agg(*paths).na.drop("any", [f"{e}_path" for e in EXTENSIONS])
+    return files.groupBy(*key).agg(*paths).na.drop(subset=[f"{e}_path" for e in EXTENSIONS])
 
 
 def fileset_listing(listing: DataFrame) -> DataFrame:

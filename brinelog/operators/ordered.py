@@ -53,25 +53,29 @@ def _attach(rows: DataFrame, carried: DataFrame) -> DataFrame:
     return rows.join(carried, [G, S]).drop(G, S)
 
 
+def accumulate(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column,
+               totals: dict[str, Column], exclusive: Sequence[str] = ()) -> DataFrame:
+    """Running sums ``name: addend`` up to the row (names in ``exclusive``: before it), all in one pass."""
+    rows = _sliced(df, keys, slice_by)
+    carried = rows.groupBy(G, S).agg(*[F.sum(v).alias(f"_{n}") for n, v in totals.items()]).select(
+        G, S, *[F.coalesce(F.sum(f"_{n}").over(_before()), F.lit(0)).alias(f"_{n}") for n in totals])
+    up = _inside(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    below = _inside(order).rowsBetween(Window.unboundedPreceding, -1)
+    local = rows.withColumns({n: F.coalesce(F.sum(v).over(below if n in exclusive else up), F.lit(0))
+                              for n, v in totals.items()})
+    joined = _attach(local, carried)
+    return joined.withColumns({n: F.col(n) + F.col(f"_{n}") for n in totals}).drop(*[f"_{n}" for n in totals])
+
+
 def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column, out: str = "rn") -> DataFrame:
     """1-based position within ``keys``."""
-    rows = _sliced(df, keys, slice_by)
-    carried = rows.groupBy(G, S).agg(F.count(F.lit(1)).alias("_n")).select(
-        G, S, F.coalesce(F.sum("_n").over(_before()), F.lit(0)).alias("_skip"))
-    local = rows.withColumn(R, F.row_number().over(_inside(order)))
-    return _attach(local, carried).withColumn(out, F.col(R) + F.col("_skip")).drop(R, "_skip")
+    return accumulate(df, keys, order, slice_by, {out: F.lit(1).cast("bigint")})
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column, value: str,
                 out: str, exclusive: bool = False) -> DataFrame:
     """Sum of ``value`` up to this row (``exclusive``: before it)."""
-    rows = _sliced(df, keys, slice_by)
-    carried = rows.groupBy(G, S).agg(F.sum(value).alias("_n")).select(
-        G, S, F.coalesce(F.sum("_n").over(_before()), F.lit(0)).alias("_skip"))
-    end = -1 if exclusive else 0
-    local = rows.withColumn(R, F.sum(value).over(_inside(order).rowsBetween(Window.unboundedPreceding, end)))
-    total = F.coalesce(F.col(R), F.lit(0)) + F.col("_skip")
-    return _attach(local, carried).withColumn(out, total).drop(R, "_skip")
+    return accumulate(df, keys, order, slice_by, {out: F.col(value)}, [out] if exclusive else [])
 
 
 def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column,

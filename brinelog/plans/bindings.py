@@ -65,11 +65,9 @@ class Tables:
     @cached_property
     def targets(self) -> DataFrame:
         """Rows of a bin in file order; the number runs from 1 per bin."""
-        t = self.raw_targets.withColumn("area", F.col("width") * F.col("height"))
-        order = ["line", "part", "supp", "price", "shipped"]
-        t = ordered.number_rows(t, ["bin"], order, F.col("line"), out="targetNumber")
-        t = ordered.running_sum(t, ["bin"], ["targetNumber"], ordered.block_slice("targetNumber"), "area",
-                                "byteOffset", exclusive=True)
+        t = ordered.accumulate(
+            self.raw_targets, ["bin"], ["line", "part", "supp", "price", "shipped"], F.col("line"),
+            {"targetNumber": F.lit(1).cast("bigint"), "byteOffset": F.col("width") * F.col("height")}, ["byteOffset"])
         return t.select("bin", "targetNumber", "trigger", "left", "bottom", "width", "height", "byteOffset", "supp",
                         "part", "price")
 
