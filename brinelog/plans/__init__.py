@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["feed_queries", "tag_queries", "rule_queries", "ingest_queries", "product_queries", "stream_queries"]
+MODULES = ["feed_queries", "tag_queries", "rule_queries", "ingest_queries", "product_queries", "stream_queries", "image_queries"]
 
 
 def load():
