@@ -25,37 +25,33 @@ def group(text: Column, pattern: str, index: int) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, index), F.lit(""))
 
 
+SEP = "\u0001"
+
+
 def parse_pid(df: DataFrame, pid: str = "pid") -> DataFrame:
-    """Fields of an identifier; rows that fit neither layout are dropped."""
+    """Fields of an identifier; rows that fit neither layout are dropped.
+
+    One match decides on the row, one replacement writes all fields in a common order, one splits the tail; each later
+    stage only picks array items.
+    """
     text = F.col(pid)
-    suffix = F.regexp_extract(text, r"^(?:.*/)?(.*)", 1)
-    namespace = group(text, r"^(.*/)", 1)
-    is1, is2 = suffix.rlike(PID_PATTERN_V1), suffix.rlike(PID_PATTERN_V2)
-
-    def pick(one: Column, two: Column) -> Column:
-        return F.when(is1, one).otherwise(two)
-
-    def g1(i):
-        return F.regexp_extract(suffix, PID_PATTERN_V1, i)
-
-    def g2(i):
-        return F.regexp_extract(suffix, PID_PATTERN_V2, i)
-
-    tail = pick(g1(7), g2(8))
-    out = df.where(is1 | is2).withColumns({
-        "namespace": namespace,
-        "ts_label": group(namespace, r"^(?:.*/)?(.*)/$", 1),
-        "bin_lid": pick(g1(1), g2(1)),
-        "timestamp": pick(g1(3), g2(2)),
-        "schema_version": pick(F.lit("v1"), F.lit("v2")),
-        "instrument": pick(g1(2), g2(7)),
-        "year": pick(g1(4), g2(3)),
-        "yearday": pick(F.concat(g1(4), F.lit("_"), g1(5)), F.concat(g2(3), g2(4), g2(5))),
-        "target": group(tail, TAIL_PATTERN, 1),
-        "product": F.coalesce(group(tail, TAIL_PATTERN, 2), F.lit("raw")),
-        "extension": group(tail, TAIL_PATTERN, 3),
-    })
-    return out.withColumn("lid", F.concat_ws("_", "bin_lid", "target"))
+    suffix = F.substring_index(text, "/", -1)
+    old = F.startswith(F.col("_suffix"), F.lit("I"))
+    # lid, timestamp, year, day of the year or date, instrument, tail
+    one = F.regexp_replace("_suffix", PID_PATTERN_V1 + "$", SEP.join(["$1", "$3", "$4", "$4_$5", "$2", "$7"]))
+    two = F.regexp_replace("_suffix", PID_PATTERN_V2 + "$", SEP.join(["$1", "$2", "$3", "$3$4$5", "$7", "$8"]))
+    namespace = F.substr(text, F.lit(1), F.length(text) - F.length("_suffix"))
+    rows = df.where(suffix.rlike(f"{PID_PATTERN_V1}|{PID_PATTERN_V2}")).withColumn("_suffix", suffix)
+    rows = rows.withColumns({"_f": F.split(F.when(old, one).otherwise(two), SEP), "namespace": F.nullif(namespace, F.lit("")),
+                             "schema_version": F.when(old, "v1").otherwise("v2")})
+    names = ["bin_lid", "timestamp", "year", "yearday", "instrument", "_tail"]
+    rows = rows.withColumns({n: F.get("_f", F.lit(i)) for i, n in enumerate(names)})
+    parts = F.split(F.regexp_replace("_tail", f"{TAIL_PATTERN}.*$", SEP.join(["$1", "$2", "$3"])), SEP)
+    rows = rows.withColumns({"_t": parts, "_n": F.split("namespace", "/")})
+    target, product, extension = (F.nullif(F.get("_t", F.lit(i)), F.lit("")) for i in range(3))
+    out = rows.withColumns({"ts_label": F.nullif(F.get("_n", F.size("_n") - 2), F.lit("")), "target": target,
+                            "product": F.coalesce(product, F.lit("raw")), "extension": extension})
+    return out.drop("_suffix", "_f", "_t", "_n", "_tail").withColumn("lid", F.concat_ws("_", "bin_lid", "target"))
 
 
 def parse_pid_legacy(df: DataFrame, pid: str = "pid") -> DataFrame:

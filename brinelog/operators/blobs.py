@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinelog.operators import ordered, pixels
+from brinelog.operators.grouped import per_group
 from brinelog.session import cut_lineage
 
 ROW = 1 << 31
@@ -171,12 +172,11 @@ def convex_hull(points: DataFrame) -> DataFrame:
     Only the outermost two points of each line can be corners, so each image is cut to two points per line by a grouped
     minimum and maximum before it is gathered; the chain then sees at most twice the frame height.
     """
-    import pandas as pd
     ends = points.groupBy("img", "y").agg(F.min("x").alias("_a"), F.max("x").alias("_b"))
     outer = ends.select("img", "y", F.explode(F.array_distinct(F.array("_a", "_b"))).alias("x"))
 
-    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(zip(pdf["y"].tolist(), pdf["x"].tolist()))
+    def corners(img: object, cols: dict) -> list[tuple]:
+        pts = list(zip(cols["y"].tolist(), cols["x"].tolist()))
 
         def chain(seq):
             out = []
@@ -187,10 +187,10 @@ def convex_hull(points: DataFrame) -> DataFrame:
             return out
 
         ring = chain(pts)[:-1] + chain(pts[::-1])[:-1] if len(pts) > 1 else pts
-        return pd.DataFrame({"img": pdf["img"].iat[0], "k": range(len(ring)), "y": [p[0] for p in ring], "x": [p[1] for p in ring]})
+        return [(img, k, y, x) for k, (y, x) in enumerate(ring)]
 
     types = dict(points.dtypes)
-    return outer.groupBy("img").applyInPandas(corners, f"img {types['img']}, k long, y {types['y']}, x {types['x']}")
+    return per_group(outer, "img", ["y", "x"], corners, f"img {types['img']}, k long, y {types['y']}, x {types['x']}")
 
 
 def _ring(hull: DataFrame) -> DataFrame:
@@ -281,6 +281,7 @@ def hausdorff_symmetry(mask: DataFrame, height: int, width: int) -> DataFrame:
     centre = mask.groupBy("img").agg(F.avg("y").alias("_cy"), F.avg("x").alias("_cx"))
     p = perimeter_pixels(mask, height, width).join(centre, "img").select(
         "img", (F.col("y") - F.col("_cy")).alias("y"), (F.col("x") - F.col("_cx")).alias("x"))
+    p = cut_lineage(p)  # used for each copy and both directions
     copies = {"h180": (-F.col("y"), -F.col("x")), "h90": (F.col("x"), F.col("y")), "hflip": (-F.col("y"), F.col("x"))}
     out: DataFrame | None = None
     for name, (y, x) in copies.items():
@@ -295,27 +296,24 @@ def pair_distances(points: DataFrame, frame: tuple[int, int] = FRAME) -> DataFra
     Counted per displacement by autocorrelation of the image bitmap, so no pair is ever made. One image is bounded by the
     frame; places outside it are refused.
     """
-    import pandas as pd
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+    def count(img: object, cols: dict) -> list[tuple]:
         import numpy as np
-        y, x = pdf["y"].to_numpy() - pdf["y"].min(), pdf["x"].to_numpy() - pdf["x"].min()
+        y, x = cols["y"] - cols["y"].min(), cols["x"] - cols["x"].min()
         h, w = int(y.max()) + 1, int(x.max()) + 1
         if h > frame[0] or w > frame[1]:
-            raise ValueError(f"image {pdf['img'].iat[0]} is larger than the frame")
+            raise ValueError(f"image {img} is larger than the frame")
         bitmap = np.zeros((2 * h, 2 * w))
         bitmap[y, x] = 1
         spectrum = np.fft.rfft2(bitmap)
         hits = np.rint(np.fft.irfft2(spectrum * spectrum.conj(), s=bitmap.shape)).astype(np.int64)
         dy = np.minimum(np.arange(2 * h), 2 * h - np.arange(2 * h))[:, None]
         dx = np.minimum(np.arange(2 * w), 2 * w - np.arange(2 * w))[None, :]
-        far = (dy * dy + dx * dx).ravel()
-        totals = np.bincount(far, weights=hits.ravel())
+        totals = np.bincount((dy * dy + dx * dx).ravel(), weights=hits.ravel())
         d2 = np.flatnonzero(totals[1:]) + 1
-        return pd.DataFrame({"img": pdf["img"].iat[0], "d2": d2, "pairs": (totals[d2] / 2).astype(np.int64)})
+        return [(img, d, n) for d, n in zip(d2.tolist(), (totals[d2] / 2).astype(np.int64).tolist())]
 
     places = points.select("img", "y", "x").distinct()
-    return places.groupBy("img").applyInPandas(count, f"img {dict(points.dtypes)['img']}, d2 long, pairs long")
+    return per_group(places, "img", [], count, f"img {dict(points.dtypes)['img']}, d2 long, pairs long")
 
 
 def pairwise_distances(points: DataFrame, diameters: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinelog.operators import ordered
+from brinelog.operators.grouped import per_group
+from brinelog.session import cut_lineage
 
 # Fixed value: the place of a target without an image.
 SENTINEL = -999
@@ -15,27 +17,29 @@ def drop_sentinel(points: DataFrame) -> DataFrame:
     return points.where((F.col("x") != SENTINEL) & (F.col("y") != SENTINEL))
 
 
-def index_normalize(rows: DataFrame, keys: list[str], value: str, tie: list[str], slices: Column | None = None) -> DataFrame:
-    """``i``: 0..1 place in value order; ``s``: value scaled to 0..1."""
-    known = ordered.with_group_stats(rows, keys, _lo=F.min(value), _hi=F.max(value), _n=F.count("*"))
+def index_normalize(rows: DataFrame, keys: list[str], value: str, tie: list[str], slices: Column) -> DataFrame:
+    """``i``: 0..1 place in value order; ``s``: value scaled to 0..1. ``slices`` never decreases with the value."""
+    one = F.lit(1).cast("bigint")
+    ranked = ordered.accumulate(rows, keys, [value, *tie], slices, {"_rn": one},
+                                whole={"_lo": ("min", F.col(value)), "_hi": ("max", F.col(value)), "_n": ("sum", one)})
     span = F.col("_hi") - F.col("_lo")
-    scaled = F.when(span > 0, (F.col(value) - F.col("_lo")) / span)
-    by = F.floor(F.coalesce(scaled, F.lit(0.0)) * 64) if slices is None else slices
-    ranked = ordered.number_rows(known, keys, [value, *tie], by, out="_rn")
     place = F.when(F.col("_n") > 1, (F.col("_rn") - 1) / (F.col("_n") - 1)).otherwise(0.0)
+    scaled = F.when(span > 0, (F.col(value) - F.col("_lo")) / span)
     return ranked.withColumns({"i": place, "s": scaled}).drop("_lo", "_hi", "_n")
 
 
-def flow_distance_profile(points: DataFrame) -> DataFrame:
+def flow_distance_profile(points: DataFrame, slice_pixels: float = 16.0) -> DataFrame:
     """Distance of each target to the centre of its bin, sorted and scaled: ``bin, n, d, _rn, i, s``."""
     rows = ordered.with_group_stats(points, ["bin"], _cx=F.avg("x"), _cy=F.avg("y"))
     dx, dy = F.col("x") - F.col("_cx"), F.col("y") - F.col("_cy")
-    return index_normalize(rows.select("bin", "n", F.sqrt(dx * dx + dy * dy).alias("d")), ["bin"], "d", ["n"])
+    distances = rows.select("bin", "n", F.sqrt(dx * dx + dy * dy).alias("d"))
+    return index_normalize(distances, ["bin"], "d", ["n"], F.floor(F.col("d") / slice_pixels))
 
 
 def flow_camera_spot(points: DataFrame) -> DataFrame:
     """Share of the most frequent distance on either side of the elbow of the profile, the larger one."""
-    profile = flow_distance_profile(points)
+    # The profile is read twice below; written once, it is not computed twice.
+    profile = cut_lineage(flow_distance_profile(points))
     elbow = profile.groupBy("bin").agg(F.min_by("_rn", F.struct((F.col("s") - F.col("i")).alias("g"), F.col("_rn"))).alias("_e"))
     sides = profile.join(elbow, "bin").withColumn("_side", F.col("_rn") >= F.col("_e"))
     counts = sides.groupBy("bin", "_side", "d").agg(F.count("*").alias("_c"))
@@ -60,15 +64,14 @@ def flow_core_aspect(points: DataFrame, sample: int = 1000) -> DataFrame:
 
     The stride leaves fewer than ``2 * sample`` targets per bin, which bounds what one task sees.
     """
-    import pandas as pd
-    known = ordered.with_group_stats(points, ["bin"], _n=F.count("*"))
+    one = F.lit(1).cast("bigint")
+    numbered = ordered.accumulate(points, ["bin"], ["n"], ordered.block_slice("n"), {"_rn": one}, whole={"_n": ("sum", one)})
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / sample))
-    numbered = ordered.number_rows(known, ["bin"], ["n"], ordered.block_slice("n"), out="_rn")
     chosen = numbered.where((F.col("_rn") - 1) % step == 0)
 
-    def aspect(pdf: pd.DataFrame) -> pd.DataFrame:
+    def aspect(bin: object, cols: dict) -> list[tuple]:
         import numpy as np
-        xy = pdf.sort_values("n")[["x", "y"]].to_numpy(float).T
+        xy = np.array([cols["x"], cols["y"]], dtype=float)
         n, ratio = xy.shape[1], None
         if n > 2:
             cov = np.cov(xy) * n ** (-1 / 3)
@@ -78,10 +81,11 @@ def flow_core_aspect(points: DataFrame, sample: int = 1000) -> DataFrame:
                 core = xy[:, density > np.percentile(density, 10)]
                 width, height = np.ptp(core, axis=1) if core.size else (0, 0)
                 if width > 0 and height > 0:
-                    ratio = min(width / height, height / width)
-        return pd.DataFrame({"bin": [pdf["bin"].iat[0]], "core_aspect": pd.array([ratio], dtype="Float64")})
+                    ratio = float(min(width / height, height / width))
+        return [(bin, ratio)]
 
-    return chosen.select("bin", "n", "x", "y").groupBy("bin").applyInPandas(aspect, f"bin {dict(points.dtypes)['bin']}, core_aspect double")
+    schema = f"bin {dict(points.dtypes)['bin']}, core_aspect double"
+    return per_group(chosen.select("bin", "n", "x", "y"), "bin", ["n"], aspect, schema)
 
 
 def flow_metrics(points: DataFrame, bins: DataFrame | None = None) -> DataFrame:
@@ -106,24 +110,24 @@ def mosaic_layout(tiles: DataFrame, width: int, height: int, page: int = 1, thre
     the asked page or before it and stay out of the grouped step; they still count as misses. This keeps a group below
     a bound set by the page alone, and the result is that of packing every tile.
     """
-    import pandas as pd
+    one = F.lit(1).cast("bigint")
     sized = tiles.withColumn("_down", -F.col("w") * F.col("h"))
-    ranked = ordered.number_rows(sized, ["bin"], ["_down", "n"], ordered.block_slice("_down", 256), out="_rank")
+    ranked = ordered.accumulate(sized, ["bin"], ["_down", "n"], ordered.block_slice("_down", 256), {"_rank": one},
+                                whole={"_total": ("sum", one)})
     per_size = ordered.number_rows(ranked, ["bin", "w", "h"], ["n"], ordered.block_slice("n"), out="_k")
     able = per_size.where((F.col("w") <= width) & (F.col("h") <= height) & (F.col("w") > 0) & (F.col("h") > 0) &
                           (F.col("_k") <= F.floor(F.lit(page * width * height) / (F.col("w") * F.col("h")))))
-    able = able.join(tiles.groupBy("bin").agg(F.count("*").alias("_total")), "bin")
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        todo = pdf.sort_values("_rank")[["n", "w", "h", "_rank"]].to_numpy().tolist()
-        total, gone = int(pdf["_total"].iat[0]), []
+    def pack(bin: object, cols: dict) -> list[tuple]:
+        todo = list(zip(*(cols[c].tolist() for c in ("n", "w", "h", "_rank"))))
+        total, gone = int(cols["_total"][0]), []
         placed: list = []
         for _ in range(page):
             free, placed, left, last = [(0, 0, width, height)], [], [], 0
             limit, stopped = (total - len(gone)) * threshold, False
             for tile in todo:
                 n, w, h, rank = tile
-                place = rank - sum(g < rank for g in gone)
+                place = rank - sum(g < rank for g in gone) if gone else rank
                 if stopped or place - 1 - last > limit:
                     stopped = True
                     left.append(tile)
@@ -144,11 +148,11 @@ def mosaic_layout(tiles: DataFrame, width: int, height: int, page: int = 1, thre
                     left.append(tile)
             gone += [p[5] for p in placed]
             todo = left
-        return pd.DataFrame([(pdf["bin"].iat[0], *p[:5]) for p in placed], columns=["bin", "n", "x", "y", "w", "h"])
+        return [(bin, *p[:5]) for p in placed]
 
     types = dict(tiles.dtypes)
     schema = f"bin {types['bin']}, n {types['n']}, x long, y long, w long, h long"
-    return able.groupBy("bin").applyInPandas(pack, schema)
+    return per_group(able, "bin", ["_rank"], pack, schema)
 
 
 def mosaic_scaled(layout: DataFrame, pid: Column, scale: float) -> DataFrame:

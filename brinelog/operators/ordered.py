@@ -29,12 +29,14 @@ def block_slice(n: str | Column, width: int = 65536) -> Column:
 
 
 def _sliced(df: DataFrame, keys: Sequence[str], slice_by: Column) -> DataFrame:
+    # Structs are never null, so rows with a null key or order value keep their place in the join as well.
     group = F.struct(*keys) if keys else F.lit(0)
-    return df.withColumns({G: group, S: slice_by})
+    return df.withColumns({G: group, S: F.struct(slice_by.alias("at"))})
 
 
 def _position(order: Sequence[str]) -> Column:
-    return F.struct(*order)
+    """One plain column where possible: minima and maxima by it then run as hash aggregates, without a sort."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
 def _inside(order: Sequence[str]):
@@ -54,11 +56,21 @@ def _attach(rows: DataFrame, carried: DataFrame) -> DataFrame:
 
 
 def accumulate(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column,
-               totals: dict[str, Column], exclusive: Sequence[str] = ()) -> DataFrame:
-    """Running sums ``name: addend`` up to the row (names in ``exclusive``: before it), all in one pass."""
+               totals: dict[str, Column], exclusive: Sequence[str] = (), whole: dict[str, tuple[str, Column]] | None = None
+               ) -> DataFrame:
+    """Running sums ``name: addend`` up to the row (names in ``exclusive``: before it), all in one pass.
+
+    ``whole`` adds facts of the whole key, ``name: (function, value)`` with function sum, min or max; they come from the
+    slice table as well, so they cost no further pass over the rows.
+    """
+    whole = whole or {}
     rows = _sliced(df, keys, slice_by)
-    carried = rows.groupBy(G, S).agg(*[F.sum(v).alias(f"_{n}") for n, v in totals.items()]).select(
-        G, S, *[F.coalesce(F.sum(f"_{n}").over(_before()), F.lit(0)).alias(f"_{n}") for n in totals])
+    every = Window.partitionBy(G)
+    parts = [F.sum(v).alias(f"_{n}") for n, v in totals.items()]
+    parts += [getattr(F, fn)(v).alias(n) for n, (fn, v) in whole.items()]
+    carried = rows.groupBy(G, S).agg(*parts).select(
+        G, S, *[F.coalesce(F.sum(f"_{n}").over(_before()), F.lit(0)).alias(f"_{n}") for n in totals],
+        *[getattr(F, fn)(n).over(every).alias(n) for n, (fn, _) in whole.items()])
     up = _inside(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     below = _inside(order).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumns({n: F.coalesce(F.sum(v).over(below if n in exclusive else up), F.lit(0))
@@ -85,29 +97,32 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_b
     rows = _sliced(df, keys, slice_by)
     aggs, carry, local = [], [G, S], {R: F.struct(F.row_number().over(_inside(order)).alias("up"),
                                                   F.lead(F.lit(1)).over(_inside(order)).alias("more"))}
-    if prev:
-        aggs.append(F.max_by(F.struct(*prev), _position(order)).alias("_tail"))
-        carry.append(F.lag("_tail").over(_across()).alias("_tail"))
-    if next:
-        aggs.append(F.min_by(F.struct(*next), _position(order)).alias("_head"))
-        carry.append(F.lead("_head").over(_across()).alias("_head"))
+    position = _position(order)
+    for src in prev:
+        aggs.append(F.max_by(src, position).alias(f"_tail_{src}"))
+        carry.append(F.lag(f"_tail_{src}").over(_across()).alias(f"_tail_{src}"))
+    for src in next:
+        aggs.append(F.min_by(src, position).alias(f"_head_{src}"))
+        carry.append(F.lead(f"_head_{src}").over(_across()).alias(f"_head_{src}"))
     carried = rows.groupBy(G, S).agg(*aggs).select(*carry)
     for src, out in prev.items():
         local[out] = F.lag(src).over(_inside(order))
     for src, out in next.items():
         local[out] = F.lead(src).over(_inside(order))
     done = rows.withColumns(local).join(carried, [G, S])
-    fixed = {out: F.when(F.col(R)["up"] == 1, F.col("_tail")[src]).otherwise(F.col(out)) for src, out in prev.items()}
-    fixed |= {out: F.when(F.col(R)["more"].isNull(), F.col("_head")[src]).otherwise(F.col(out))
+    fixed = {out: F.when(F.col(R)["up"] == 1, F.col(f"_tail_{src}")).otherwise(F.col(out)) for src, out in prev.items()}
+    fixed |= {out: F.when(F.col(R)["more"].isNull(), F.col(f"_head_{src}")).otherwise(F.col(out))
               for src, out in next.items()}
-    return done.withColumns(fixed).drop(G, S, R, "_tail", "_head")
+    borders = [f"_tail_{c}" for c in prev] + [f"_head_{c}" for c in next]
+    return done.withColumns(fixed).drop(G, S, R, *borders)
 
 
 def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column,
-                 cols: Sequence[str]) -> DataFrame:
-    """Last non-null value at or before the row, each column on its own."""
+                 cols: Sequence[str], position: Column | None = None) -> DataFrame:
+    """Last non-null value at or before the row, each column on its own. ``position`` may name a plain column that
+    orders the rows that hold values."""
     rows = _sliced(df, keys, slice_by)
-    position = _position(order)
+    position = _position(order) if position is None else position
     carried = rows.groupBy(G, S).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_{c}") for c in cols]
     ).select(G, S, *[F.last(f"_{c}", ignorenulls=True).over(_before()).alias(f"_{c}") for c in cols])
@@ -117,21 +132,6 @@ def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice
     return filled.withColumns({c: F.coalesce(F.col(c), F.col(f"_{c}")) for c in cols}).drop(*[f"_{c}" for c in cols])
 
 
-def fill_backward(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column,
-                  cols: Sequence[str]) -> DataFrame:
-    """First non-null value at or after the row, each column on its own."""
-    rows = _sliced(df, keys, slice_by)
-    position = _position(order)
-    later = _across().rowsBetween(1, Window.unboundedFollowing)
-    carried = rows.groupBy(G, S).agg(
-        *[F.min_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_{c}") for c in cols]
-    ).select(G, S, *[F.first(f"_{c}", ignorenulls=True).over(later).alias(f"_{c}") for c in cols])
-    onward = _inside(order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    local = rows.withColumns({c: F.first(c, ignorenulls=True).over(onward) for c in cols})
-    filled = _attach(local, carried)
-    return filled.withColumns({c: F.coalesce(F.col(c), F.col(f"_{c}")) for c in cols}).drop(*[f"_{c}" for c in cols])
-
-
 def with_group_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
     """Attach per-key aggregates by a pre-aggregated join instead of a window over the whole key."""
     rows = df.withColumn(G, F.struct(*keys))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from brinelog.functions.colour import rgb_to_ycbcr
 from brinelog.operators import ordered
+from brinelog.operators.grouped import per_group
 
 # Fixed value: guards a division by an empty histogram.
 TINY = 0.000001
@@ -105,15 +106,14 @@ def distribution_stats(rows: DataFrame, keys: Sequence[str], col: str, count: st
     """
     weight = F.lit(1) if count is None else F.col(count)
     levels = rows.groupBy(*keys, F.col(col).cast("double").alias("_v")).agg(F.sum(weight).alias("_n"))
-    facts = levels.groupBy(*keys).agg(
-        F.sum("_n").alias("_t"), (F.sum(F.col("_n") * F.col("_v")) / F.sum("_n")).alias("mean"),
-        F.max(F.abs("_v")).alias("_top"))
-    known = levels.join(facts, list(keys))
-    slices = F.floor(F.col("_v") / F.greatest(F.col("_top"), F.lit(1e-300)) * 64)
-    ranked = ordered.running_sum(known, keys, ["_v"], slices, "_n", "_upto")
+    n, v = F.col("_n"), F.col("_v")
+    # Slices by order of magnitude and leading digits: they follow the value and need no look at the data.
+    size = F.floor(F.log2(F.greatest(F.abs(v), F.lit(1e-300))) * 16)
+    slices = F.when(v < 0, -size - 100000).when(v > 0, size + 100000).otherwise(0)
+    ranked = ordered.accumulate(levels, keys, ["_v"], slices, {"_upto": n}, whole={"_t": ("sum", n), "_s": ("sum", n * v)})
+    ranked = ranked.withColumn("mean", F.col("_s") / F.col("_t")).drop("_s")
     lower, upper = F.floor((F.col("_t") - 1) / 2) + 1, F.floor(F.col("_t") / 2) + 1
     d = F.col("_v") - F.col("mean")
-    n = F.col("_n")
     sums = ranked.groupBy(*keys, "mean", "_t").agg(
         F.min(F.when(F.col("_upto") >= lower, F.col("_v"))).alias("_a"), F.min(F.when(F.col("_upto") >= upper, F.col("_v"))).alias("_b"),
         F.sum(n * d * d).alias("_m2"), F.sum(n * d * d * d).alias("_m3"), F.sum(n * d * d * d * d).alias("_m4"))
@@ -160,12 +160,11 @@ def gmm_threshold(pixels: DataFrame, rounds: int = 200) -> DataFrame:
 
     The fit sees one row per level (at most 256), whatever the size of the image.
     """
-    import pandas as pd
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(img: object, cols: dict) -> list[tuple]:
         import numpy as np
-        v, n = pdf["v"].to_numpy(float), pdf["n"].to_numpy(float)
-        mean, var = np.average(v, weights=n), np.average((v - np.average(v, weights=n)) ** 2, weights=n)
+        v, n = cols["v"].astype(float), cols["n"].astype(float)
+        mean = np.average(v, weights=n)
+        var = np.average((v - mean) ** 2, weights=n)
         mu, s2, w = mean + np.array([-1, 1]) * np.sqrt(var), np.array([var, var]) + 1e-6, np.array([0.5, 0.5])
         for _ in range(rounds):
             log = np.log(w) - 0.5 * np.log(s2) - (v[:, None] - mu) ** 2 / (2 * s2)
@@ -174,12 +173,12 @@ def gmm_threshold(pixels: DataFrame, rounds: int = 200) -> DataFrame:
             mass = part.sum(axis=0) + 1e-12
             before, mu = mu, (part * v[:, None]).sum(axis=0) / mass
             s2, w = (part * (v[:, None] - mu) ** 2).sum(axis=0) / mass + 1e-6, mass / mass.sum()
-            if np.abs(mu - before).max() < 1e-9:
+            if np.abs(mu - before).max() < 1e-6:
                 break
-        return pd.DataFrame({"img": [pdf["img"].iat[0]], "_cut": [mu.mean()]})
+        return [(img, float(mu.mean()))]
 
     levels = pixels.groupBy("img", "v").agg(F.count("*").alias("n"))
-    cuts = levels.groupBy("img").applyInPandas(fit, f"img {dict(pixels.dtypes)['img']}, _cut double")
+    cuts = per_group(levels, "img", ["v"], fit, f"img {dict(pixels.dtypes)['img']}, _cut double")
     return pixels.join(cuts, "img").withColumn("above", F.col("v") > F.col("_cut")).drop("_cut")
 
 

@@ -73,7 +73,8 @@ def asof_join_track(bins: DataFrame, track: DataFrame, keys: Sequence[str] = (),
     """Latest latitude and longitude at or before each bin, each on its own; bins before the first fix are dropped."""
     fixes = track.select(*keys, F.col("ts").alias(time), "latitude", "longitude", F.lit(0).alias("_bin"))
     rows = bins.withColumn("_bin", F.lit(1)).unionByName(fixes, allowMissingColumns=True)
-    filled = ordered.fill_forward(rows, keys, [time, "_bin"], ordered.hour_slice(time), ["latitude", "longitude"])
+    filled = ordered.fill_forward(rows, keys, [time, "_bin"], ordered.hour_slice(time), ["latitude", "longitude"],
+                                  position=F.col(time))
     return filled.where("_bin = 1 AND latitude IS NOT NULL AND longitude IS NOT NULL").drop("_bin")
 
 

@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinelog.operators import ordered
+from brinelog.session import scratch_path
+
+_INGESTED: dict[tuple[str, str], str] = {}
 
 
 class Tables:
@@ -64,12 +67,21 @@ class Tables:
 
     @cached_property
     def targets(self) -> DataFrame:
-        """Rows of a bin in file order; the number runs from 1 per bin."""
-        t = ordered.accumulate(
-            self.raw_targets, ["bin"], ["line", "part", "supp", "price", "shipped"], F.col("line"),
-            {"targetNumber": F.lit(1).cast("bigint"), "byteOffset": F.col("width") * F.col("height")}, ["byteOffset"])
-        return t.select("bin", "targetNumber", "trigger", "left", "bottom", "width", "height", "byteOffset", "supp",
-                        "part", "price")
+        """Rows of a bin in file order; the number runs from 1 per bin.
+
+        Numbers and byte offsets belong to the stored file, so the table is ingested once per session and folder and
+        read from the shared folder afterwards.
+        """
+        known = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if known not in _INGESTED:
+            numbered = ordered.accumulate(
+                self.raw_targets, ["bin"], ["line", "part", "supp", "price", "shipped"], F.col("line"),
+                {"targetNumber": F.lit(1).cast("bigint"), "byteOffset": F.col("width") * F.col("height")}, ["byteOffset"])
+            path = scratch_path(self.spark, "targets")
+            numbered.select("bin", "targetNumber", "trigger", "left", "bottom", "width", "height", "byteOffset", "supp",
+                            "part", "price").write.parquet(path)
+            _INGESTED[known] = path
+        return self.spark.read.parquet(_INGESTED[known])
 
     @cached_property
     def raw_targets(self) -> DataFrame:

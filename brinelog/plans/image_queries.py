@@ -476,7 +476,7 @@ def _(t):
 @query("index_normalize", """, r AS (SELECT ts_label, id, duration, row_number() OVER (PARTITION BY ts_label ORDER BY duration, id) AS rn, count(*) OVER (PARTITION BY ts_label) AS n,
   min(duration) OVER (PARTITION BY ts_label) AS lo, max(duration) OVER (PARTITION BY ts_label) AS hi FROM bins) SELECT ts_label, id, (rn - 1) / (n - 1) AS i, (duration - lo) / (hi - lo) AS s FROM r""")
 def _(t):
-    return flow.index_normalize(t.bins.select("ts_label", "id", "duration"), ["ts_label"], "duration", ["id"]).select("ts_label", "id", "i", "s")
+    return flow.index_normalize(t.bins.select("ts_label", "id", "duration"), ["ts_label"], "duration", ["id"], F.floor("duration")).select("ts_label", "id", "i", "s")
 
 
 @query("flow_distance_profile", PTS + "SELECT bin, i, round(s, 9) AS s FROM nrm")

@@ -82,12 +82,39 @@ def path_scan(spark: SparkSession, folder: str, glob: str = "*", recursive: bool
     return reader.load(folder).select("path", "length", "modificationTime").orderBy("path")
 
 
-def file_fixity(spark: SparkSession, folder: str, fast: bool = False) -> DataFrame:
-    """Name, length, SHA-1 and time of files; ``fast`` leaves the bytes unread. Files stay below 2 GB in this format."""
-    files = spark.read.format("binaryFile").load(folder)
-    digest = F.lit("(no checksum)") if fast else F.sha1("content")
-    return files.select("path", F.substring_index("path", "/", -1).alias("filename"), "length", digest.alias("sha1"),
-                        F.current_timestamp().alias("fix_time"))
+def _open(path: str):
+    """Any path Spark lists, opened for reading inside a task."""
+    from pyarrow import fs
+    uri = path.replace("file:/", "/", 1) if path.startswith("file:/") and not path.startswith("file://") else path
+    system, where = fs.FileSystem.from_uri(uri)
+    return system.open_input_file(where)
+
+
+def file_fixity(spark: SparkSession, folder: str, fast: bool = False, block: int = 1 << 22) -> DataFrame:
+    """Name, length, SHA-1 and time of files; ``fast`` leaves the bytes unread.
+
+    Files are dealt out to tasks by name; each is hashed block by block, so its size does not matter.
+    """
+    listing = path_scan(spark, folder).select("path", "length")
+    named = listing.select("path", F.substring_index("path", "/", -1).alias("filename"), "length")
+    if fast:
+        return named.select("path", "filename", "length", F.lit("(no checksum)").alias("sha1"), F.current_timestamp().alias("fix_time"))
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+        for pdf in batches:
+            sums = []
+            for path in pdf["path"]:
+                h = hashlib.sha1()
+                with _open(path) as handle:
+                    while data := handle.read(block):
+                        h.update(data)
+                sums.append(h.hexdigest())
+            yield pdf.assign(sha1=sums)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hashed = named.repartition(parts, "path").mapInPandas(digest, "path string, filename string, length long, sha1 string")
+    return hashed.withColumn("fix_time", F.current_timestamp())
 
 
 def read_ranges(rows: DataFrame, path: str = "path", offset: str = "byteOffset", length: str = "size") -> DataFrame:
@@ -95,13 +122,10 @@ def read_ranges(rows: DataFrame, path: str = "path", offset: str = "byteOffset",
     schema = T.StructType(rows.schema.fields + [T.StructField("data", T.BinaryType())])
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
         for pdf in batches:
             data = [None] * len(pdf)
             for name, idx in pdf.groupby(path, sort=False).indices.items():
-                uri = name if "://" in name or name.startswith("/") else name.replace("file:/", "/", 1)
-                system, where = fs.FileSystem.from_uri(uri)
-                with system.open_input_file(where) as handle:
+                with _open(name) as handle:
                     for i in idx:
                         data[i] = handle.read_at(int(pdf[length].iat[i]), int(pdf[offset].iat[i]))
             yield pdf.assign(data=data)
@@ -170,9 +194,9 @@ def hdr_scan(lines: DataFrame) -> DataFrame:
     """Header entries ``path, kind, n, key, value``; ``kind`` is ``context`` or ``prop``. Three layouts are told apart
     by the first line and the line count of the file."""
     clean = lines.withColumn("line", F.rtrim("line"))
-    known = ordered.with_group_stats(clean, ["path"], first=F.max(F.when(F.col("n") == 1, F.col("line"))),
-                                     total=F.max("n"))
-    fixed, keyed = F.col("first") == FIXED_HDR_LINE, F.col("first").startswith("softwareVersion:")
+    layout = F.when(F.col("line") == FIXED_HDR_LINE, 1).when(F.col("line").startswith("softwareVersion:"), 2).otherwise(3)
+    known = ordered.with_group_stats(clean, ["path"], layout=F.max(F.when(F.col("n") == 1, layout)), total=F.max("n"))
+    fixed, keyed = F.col("layout") == 1, F.col("layout") == 2
     none = F.lit(None).cast("string")
 
     def entry(kind: str, key: Column, value: Column) -> Column:
@@ -201,7 +225,7 @@ def split_hdr(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def hdr_typed(entries: DataFrame) -> DataFrame:
     """One row per header with the known keys as typed columns; the last entry of a key counts."""
-    cols = [F.max_by(F.when(F.col("key") == k, F.col("value")), F.when(F.col("key") == k, F.col("n"))).cast(t).alias(k)
+    cols = [F.max_by(F.when(F.col("key") == k, F.col("value")).try_cast(t), F.when(F.col("key") == k, F.col("n"))).alias(k)
             for k, t in HDR_KEYS.items()]
     return entries.groupBy("path").agg(*cols)
 
