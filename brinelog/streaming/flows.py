@@ -145,7 +145,7 @@ def queue_route(messages: DataFrame, out: str, checkpoint: str) -> None:
         spark = batch.sparkSession
         done = spark.read.parquet(_batch_path(out, number))
         if "route" in done.columns and not done.where("route = '_die'").isEmpty():
-            raise SystemExit("a job asked to stop")
+            raise RuntimeError("a job asked to stop")
 
     run_batches(messages, each, checkpoint)
 
