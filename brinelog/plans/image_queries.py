@@ -506,11 +506,7 @@ core AS (SELECT bin, CASE WHEN w > 0 AND h > 0 THEN least(w / h, h / w) END AS c
 
 @query("flow_core_aspect", CORE + "SELECT * FROM core")
 def _(t):
-    return flow.flow_core_aspect(flow.drop_sentinel(_distinct(_points(t))))
-
-
-def _distinct(points):
-    return points
+    return flow.flow_core_aspect(flow.drop_sentinel(_points(t)))
 
 
 @query("flow_metrics", CORE + "SELECT bin, camera_spot, clipping, core_aspect, camera_spot * 10 + clipping * 0.5::DOUBLE + core_aspect * 2.5::DOUBLE AS position FROM spot JOIN clip USING (bin) JOIN core USING (bin)")

@@ -773,7 +773,7 @@ DOCS = """, d AS (SELECT 'http://x.org/O' || o_orderkey AS doc, strftime(o_order
   CAST(trunc(o_totalprice) AS BIGINT)::VARCHAR AS price FROM orders),
 tt AS (SELECT 'http://x.org/O' || bin AS doc, "targetNumber" AS n, 'http://x.org/O' || bin || '_' || lpad("targetNumber"::VARCHAR, 5, '0') AS pid,
   width FROM targets) """
-X = ('xmlns:dcterms="http://purl.org/dc/terms/" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns="http://ifcb.whoi.edu/terms#"')
+X = ('xmlns:dcterms="http://purl.org/dc/terms/" xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns="urn:sample-bins:terms#"')
 
 
 @query("xml_sink_bin", DOCS + f"""SELECT doc, 0 AS section, 0::BIGINT AS n, '<Bin {X}>' || chr(10) || '  <dc:identifier>' || doc || '</dc:identifier>' || chr(10)

@@ -317,16 +317,16 @@ def _(t):
 
 # -- scalar functions -------------------------------------------------------------------------------------------------
 
-V1 = "'http://x.org/mvco/IFCB' || (o_custkey % 9 + 1) || '_' || strftime(o_orderdate, '%Y_%j_') || '075913'"
-V2 = "'http://x.org/mvco/D' || strftime(o_orderdate, '%Y%m%d') || 'T075913_IFCB' || lpad((o_custkey % 900)::VARCHAR, 3, '0')"
+V1 = "'http://x.org/bay1/IFCB' || (o_custkey % 9 + 1) || '_' || strftime(o_orderdate, '%Y_%j_') || '075913'"
+V2 = "'http://x.org/bay1/D' || strftime(o_orderdate, '%Y%m%d') || 'T075913_IFCB' || lpad((o_custkey % 900)::VARCHAR, 3, '0')"
 ENDS = "['', '_00042', '_00042_blobs.zip', '_features.csv', '.hdr']"
 
 
 def _pid_rows(t):
     """Identifiers of both layouts with five kinds of tail, built from orders."""
-    v1 = F.concat(F.lit("http://x.org/mvco/IFCB"), (F.col("o_custkey") % 9 + 1).cast("string"), F.lit("_"),
+    v1 = F.concat(F.lit("http://x.org/bay1/IFCB"), (F.col("o_custkey") % 9 + 1).cast("string"), F.lit("_"),
                   F.date_format("o_orderdate", "yyyy_DDD_"), F.lit("075913"))
-    v2 = F.concat(F.lit("http://x.org/mvco/D"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("T075913_IFCB"),
+    v2 = F.concat(F.lit("http://x.org/bay1/D"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("T075913_IFCB"),
                   F.lpad((F.col("o_custkey") % 900).cast("string"), 3, "0"))
     end = F.element_at(F.array(*[F.lit(e) for e in ["", "_00042", "_00042_blobs.zip", "_features.csv", ".hdr"]]),
                        (F.col("o_orderkey") % 5 + 1).cast("int"))
@@ -344,7 +344,7 @@ PIDS = f""", pids AS (SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN o_ord
 """
 
 
-@query("parse_pid", PIDS + """SELECT o_orderkey, 'http://x.org/mvco/' AS namespace, 'mvco' AS ts_label, bin_lid,
+@query("parse_pid", PIDS + """SELECT o_orderkey, 'http://x.org/bay1/' AS namespace, 'bay1' AS ts_label, bin_lid,
   bin_lid || coalesce('_' || target, '') AS lid, CASE WHEN one THEN yearday || '_075913' ELSE yearday || 'T075913' END
   AS timestamp, CASE WHEN one THEN 'v1' ELSE 'v2' END AS schema_version, CASE WHEN one THEN
   (o_custkey % 9 + 1)::VARCHAR ELSE lpad((o_custkey % 900)::VARCHAR, 3, '0') END AS instrument, year, yearday, target,
@@ -353,7 +353,7 @@ def _(t):
     return ids.parse_pid(_pid_rows(t)).drop("pid", "bin_pid", "o_custkey", "o_orderdate")
 
 
-@query("parse_pid_legacy", PIDS + """SELECT o_orderkey, 'mvco' AS time_series, bin_lid, bin_lid || coalesce('_' || target, '')
+@query("parse_pid_legacy", PIDS + """SELECT o_orderkey, 'bay1' AS time_series, bin_lid, bin_lid || coalesce('_' || target, '')
   AS lid, target, nullif(product, 'raw') AS product, extension, year, CASE WHEN one THEN 'v1' ELSE 'v2' END
   AS schema_version FROM pids""")
 def _(t):

@@ -16,11 +16,11 @@ from brinelog.functions.ids import target_pid
 from brinelog.functions.text import csv_number, csv_quote
 from brinelog.operators import ordered
 
-# Name spaces and frame lines of the document formats.
-TERMS = ('xmlns:dcterms="http://purl.org/dc/terms/" xmlns:dc="http://purl.org/dc/elements/1.1/" '
-         'xmlns="http://ifcb.whoi.edu/terms#"')
+# Name spaces and frame lines of the document formats. The vocabulary of the elements is a parameter.
+DEFAULT_TERMS = "urn:sample-bins:terms#"
+DC_TERMS = 'xmlns:dcterms="http://purl.org/dc/terms/" xmlns:dc="http://purl.org/dc/elements/1.1/"'
 RDF_TERMS = ('xmlns:dcterms="http://purl.org/dc/terms/" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" '
-             'xmlns:dc="http://purl.org/dc/elements/1.1/" xmlns="http://ifcb.whoi.edu/terms#"')
+             'xmlns:dc="http://purl.org/dc/elements/1.1/"')
 KML_ICON = "http://www.gstatic.com/mapspro/images/stock/962-wht-diamond-blank.png"
 KML_HEAD = '<?xml version="1.0" encoding="UTF-8"?>'
 
@@ -100,9 +100,10 @@ def _xml_name(key: Column) -> Column:
     return F.regexp_replace(key, "[^a-zA-Z0-9_]", "_")
 
 
-def xml_bin_lines(bins: DataFrame, context: DataFrame, props: DataFrame, targets: DataFrame) -> DataFrame:
-    """``bins``: pid, date; ``context``: pid, n, text; ``props``: pid, n, key, value; ``targets``: bin_pid, n, pid."""
-    head = F.concat(F.lit(f"<Bin {TERMS}>\n  <dc:identifier>"), F.col("pid"), F.lit("</dc:identifier>\n  <dc:date>"),
+def xml_bin_lines(bins: DataFrame, context: DataFrame, props: DataFrame, targets: DataFrame,
+                  terms: str = DEFAULT_TERMS) -> DataFrame:
+    """``terms`` is the address of the vocabulary. ``bins``: pid, date; ``context``: pid, n, text; ``props``: pid, n, key, value; ``targets``: bin_pid, n, pid."""
+    head = F.concat(F.lit(f'<Bin {DC_TERMS} xmlns="{terms}">\n  <dc:identifier>'), F.col("pid"), F.lit("</dc:identifier>\n  <dc:date>"),
                     F.col("date"), F.lit("</dc:date>"))
     name = _xml_name(F.col("key"))
     return _union(
@@ -113,14 +114,15 @@ def xml_bin_lines(bins: DataFrame, context: DataFrame, props: DataFrame, targets
         _lines(bins, "pid", 4, 0, F.lit("</Bin>")))
 
 
-def rdf_bin_lines(bins: DataFrame, context: DataFrame, props: DataFrame, targets: DataFrame) -> DataFrame:
+def rdf_bin_lines(bins: DataFrame, context: DataFrame, props: DataFrame, targets: DataFrame,
+                  terms: str = DEFAULT_TERMS) -> DataFrame:
     """As ``xml_bin_lines`` for RDF/XML with an ordered sequence of targets."""
     about = F.concat(F.lit('  <Bin rdf:about="'), F.col("pid"), F.lit('">\n    <dc:date>'), F.col("date"), F.lit("</dc:date>"))
     name = _xml_name(F.col("key"))
     opened = F.concat(F.lit('    <dcterms:hasPart>\n      <rdf:Seq rdf:about="'), F.col("pid"), F.lit('/targets">'))
     item = F.concat(F.lit('        <rdf:li>\n          <Target rdf:about="'), F.col("pid"), F.lit('"/>\n        </rdf:li>'))
     return _union(
-        _lines(bins, "pid", 0, 0, F.concat(F.lit(f"<rdf:RDF {RDF_TERMS}>\n"), about)),
+        _lines(bins, "pid", 0, 0, F.concat(F.lit(f'<rdf:RDF {RDF_TERMS} xmlns="{terms}">\n'), about)),
         _lines(context, "pid", 1, F.col("n"), F.concat(F.lit("    <context>"), F.col("text"), F.lit("</context>"))),
         _lines(props, "pid", 2, F.col("n"), F.concat(F.lit("    <"), name, F.lit(">"), F.col("value"), F.lit("</"), name, F.lit(">"))),
         _lines(bins, "pid", 3, 0, opened),
@@ -156,11 +158,12 @@ def json_bin_lines(bins: DataFrame, context: DataFrame, props: DataFrame, target
                   _lines(bins, "pid", 6, 0, F.lit("]}")))
 
 
-def xml_target(targets: DataFrame, columns: Sequence[str], date: Column, bin_pid: Column) -> DataFrame:
+def xml_target(targets: DataFrame, columns: Sequence[str], date: Column, bin_pid: Column,
+               terms: str = DEFAULT_TERMS) -> DataFrame:
     """One target as XML per row."""
     fields = [F.concat(F.lit(f"  <{c}>"), F.col(c).cast("string"), F.lit(f"</{c}>")) for c in columns]
     text = F.concat_ws(
-        "\n", F.concat(F.lit(f'<Target {TERMS} number="'), F.col("targetNumber").cast("string"), F.lit('">')),
+        "\n", F.concat(F.lit(f'<Target {DC_TERMS} xmlns="{terms}" number="'), F.col("targetNumber").cast("string"), F.lit('">')),
         F.concat(F.lit("  <dc:identifier>"), F.col("pid"), F.lit("</dc:identifier>")),
         F.concat(F.lit("  <dc:date>"), date, F.lit("</dc:date>")), *fields,
         F.concat(F.lit("  <dcterms:hasFormat>"), F.col("pid"), F.lit(".png</dcterms:hasFormat>")),
@@ -168,10 +171,10 @@ def xml_target(targets: DataFrame, columns: Sequence[str], date: Column, bin_pid
     return targets.select("pid", text.alias("text"))
 
 
-def rdf_target(targets: DataFrame, columns: Sequence[str], bin_pid: Column) -> DataFrame:
+def rdf_target(targets: DataFrame, columns: Sequence[str], bin_pid: Column, terms: str = DEFAULT_TERMS) -> DataFrame:
     fields = [F.concat(F.lit(f"  <{c}>"), F.col(c).cast("string"), F.lit(f"</{c}>")) for c in columns]
     text = F.concat_ws(
-        "\n", F.lit(f"<rdf:RDF {RDF_TERMS}>"), F.concat(F.lit('<Target rdf:about="'), F.col("pid"), F.lit('">')), *fields,
+        "\n", F.lit(f'<rdf:RDF {RDF_TERMS} xmlns="{terms}">'), F.concat(F.lit('<Target rdf:about="'), F.col("pid"), F.lit('">')), *fields,
         F.concat(F.lit("  <binID>"), bin_pid, F.lit("</binID>")),
         F.concat(F.lit("  <dcterms:hasFormat>"), F.col("pid"), F.lit(".png</dcterms:hasFormat>")),
         F.lit("</Target>\n</rdf:RDF>"))

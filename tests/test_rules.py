@@ -109,8 +109,8 @@ def test_path_params(spark):
 
 
 @pytest.mark.parametrize("pid, want", [
-    ("http://x.org/mvco/IFCB1_2009_216_075913_00042_blobs.zip",
-     dict(namespace="http://x.org/mvco/", ts_label="mvco", bin_lid="IFCB1_2009_216_075913", lid="IFCB1_2009_216_075913_00042", timestamp="2009_216_075913",
+    ("http://x.org/bay1/IFCB1_2009_216_075913_00042_blobs.zip",
+     dict(namespace="http://x.org/bay1/", ts_label="bay1", bin_lid="IFCB1_2009_216_075913", lid="IFCB1_2009_216_075913_00042", timestamp="2009_216_075913",
           schema_version="v1", instrument="1", year="2009", yearday="2009_216", target="00042", product="blobs", extension="zip")),
     ("D20130101T123456_IFCB010.hdr",
      dict(namespace=None, ts_label=None, bin_lid="D20130101T123456_IFCB010", lid="D20130101T123456_IFCB010", timestamp="20130101T123456",
