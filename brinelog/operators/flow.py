@@ -90,7 +90,8 @@ def flow_core_aspect(points: DataFrame, sample: int = 1000) -> DataFrame:
 
 def flow_metrics(points: DataFrame, bins: DataFrame | None = None) -> DataFrame:
     """The three metrics and their weighted sum; a bin without targets (in ``bins``) scores 0."""
-    rows = drop_sentinel(points)
+    # Six passes follow, so the places are written once instead of being derived each time.
+    rows = cut_lineage(drop_sentinel(points).select("bin", "n", "x", "y"))
     out = flow_camera_spot(rows).join(flow_clipping(rows), "bin").join(flow_core_aspect(rows), "bin")
     # The weights.
     position = F.col("camera_spot") * 10 + F.col("clipping") * 0.5 + F.col("core_aspect") * 2.5
