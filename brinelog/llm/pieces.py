@@ -74,7 +74,8 @@ class Transducer:
         self.text = [model.id_to_piece(i) for i in range(size)]
         self.ids = {self.text[i]: i for i in range(size) if not special[i]}
         self.rank = {p: -model.get_score(i) for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids))
+        self.prefixes = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
+        self.inside = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}  # neighbours that some piece covers
         self.byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {i: bytes([b]) for b, i in enumerate(self.byte)}
         self.control = {i for i in range(size) if model.is_control(i)}
@@ -86,13 +87,17 @@ class Transducer:
 
     def merged(self, symbols: list[str]) -> list[str]:
         """What the merges make of a short run of characters: lowest rank first, leftmost of equal ones."""
-        symbols = list(symbols)
-        while True:
-            best = min(((self.rank[a + b], i) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in self.rank), default=None)
-            if best is None:
-                return symbols
-            i = best[1]
+        rank, never = self.rank.get, INFINITE
+        ranks = [rank(a + b, never) for a, b in zip(symbols, symbols[1:])]
+        while ranks and (best := min(ranks)) < never:
+            i = ranks.index(best)
             symbols[i:i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(symbols[i - 1] + symbols[i], never)
+            if i < len(ranks):
+                ranks[i] = rank(symbols[i] + symbols[i + 1], never)
+        return symbols
 
     def weight(self, before: str, piece: str) -> float:
         """Weight of the step from one piece to the next. ``before`` is empty at the start."""
@@ -110,15 +115,19 @@ class Transducer:
         """Ids along the shortest path over a run of characters."""
         n = len(word)
         last: list[str | None] = [""] + [None] * n  # piece that ends at a place on its path of finite weight
-        ids, weight = self.ids, self.weight
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                before, piece = last[start], word[start:end]
-                if before is None or (piece not in ids and end - start > 1):
-                    continue
-                if weight(before, piece) == 0.0:
-                    last[end] = piece
+        ids, prefixes, weights = self.ids, self.prefixes, self.weights
+        for start in range(n):
+            before = last[start]
+            if before is None:
+                continue
+            for end in range(start + 1, n + 1):
+                piece = word[start:end]
+                if end > start + 1 and piece not in prefixes:
                     break
+                if last[end] is None and (piece in ids or end == start + 1):
+                    step = weights.get((before, piece))
+                    if (self.weight(before, piece) if step is None else step) == 0.0:
+                        last[end] = piece
         out: list[int] = []
         end = n
         while end:
@@ -131,10 +140,19 @@ class Transducer:
         return out[::-1]
 
     def word(self, word: str) -> bytes:
-        """Ids of a word as little-endian unsigned 32-bit integers, kept for the next time."""
+        """Ids of a word as little-endian unsigned 32-bit integers, kept for the next time.
+
+        Between two characters that stand side by side in no piece every path passes, so the word is cut there first.
+        """
         found = self.old.get(word)
         if found is None:
-            found = np.array(self.shortest(word), "<u4").tobytes()
+            inside = self.inside
+            cuts = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in inside]
+            if cuts:
+                parts = [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
+                found = b"".join([self.new.get(p) or self.word(p) for p in parts])
+            else:
+                found = np.array(self.shortest(word), "<u4").tobytes()
         if len(word) <= 64:
             if len(self.new) >= self.cached:
                 self.old, self.new = self.new, {}
