@@ -216,8 +216,9 @@ def solidity(mask: DataFrame) -> DataFrame:
     ring = _ring(convex_hull(mask))
     dy, dx = F.abs(F.col("y") - F.col("_p.y")), F.abs(F.col("x") - F.col("_p.x"))
     cross = F.col("_p.y") * F.col("x") - F.col("y") * F.col("_p.x")
-    # Lattice points on an edge: the greatest common divisor, by a fixed number of Euclid steps (frames are below 2^12).
-    pair = F.aggregate(F.sequence(F.lit(1), F.lit(20)), F.struct(dy.cast("bigint").alias("a"), dx.cast("bigint").alias("b")),
+    # Lattice points on an edge: the greatest common divisor. Euclid takes at most 1.45 log2(n) + 2 steps (Fibonacci numbers).
+    steps = F.ceil(F.log2(F.greatest(dy, dx) + 1) * 1.45).cast("int") + 2
+    pair = F.aggregate(F.sequence(F.lit(1), steps), F.struct(dy.cast("bigint").alias("a"), dx.cast("bigint").alias("b")),
                        lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.try_mod(s["a"], s["b"]).alias("b"))))
     facts = ring.groupBy("img").agg((F.abs(F.sum(cross)) / 2).alias("_a"), F.sum(pair["a"]).alias("_b"))
     convex = F.col("_a") + F.col("_b") / 2 + 1

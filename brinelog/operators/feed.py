@@ -14,18 +14,10 @@ from pyspark.sql import functions as F
 
 from brinelog.functions.times import instant, micros, seconds_between
 
-# Open ends of a time range.
-FIRST_TIME = datetime(1970, 1, 1)
-LAST_TIME = datetime(2038, 1, 19, 3, 14, 7)
-
-
 def having_all_tags(bin_tags: DataFrame, tags: Sequence[str]) -> DataFrame:
-    """Bins that hold every tag: one grouped bit mask, no distinct count."""
-    bits = F.lit(0)
-    for i, tag in enumerate(tags):
-        bits = F.when(F.col("tag") == tag, 1 << i).otherwise(bits)
-    hits = bin_tags.where(F.col("tag").isin(*tags)).groupBy("bin_id").agg(F.bit_or(bits).alias("_bits"))
-    return hits.where(F.col("_bits") == (1 << len(tags)) - 1).select("bin_id")
+    """Bins that hold every tag; any number of tags."""
+    hits = bin_tags.where(F.col("tag").isin(*tags)).groupBy("bin_id").agg(F.count_distinct("tag").alias("_n"))
+    return hits.where(F.col("_n") == len(set(tags))).select("bin_id")
 
 
 def tag_semi_join(bins: DataFrame, bin_tags: DataFrame, tags: Sequence[str]) -> DataFrame:
@@ -42,8 +34,12 @@ def skip_clause(bins: DataFrame, include_skip: bool = False) -> DataFrame:
 
 def ts_query(bins: DataFrame, label: str | None = None, start: datetime | None = None, end: datetime | None = None,
              include_skip: bool = False, tags: Sequence[str] = (), bin_tags: DataFrame | None = None) -> DataFrame:
+    """Bins of a series within the given bounds; without a bound that side is open and bins without a time stay."""
     out = bins if label is None else bins.where(F.col("ts_label") == label)
-    out = out.where(F.col("sample_time").between(instant(start or FIRST_TIME), instant(end or LAST_TIME)))
+    if start is not None:
+        out = out.where(F.col("sample_time") >= instant(start))
+    if end is not None:
+        out = out.where(F.col("sample_time") <= instant(end))
     return tag_semi_join(skip_clause(out, include_skip), bin_tags, tags)
 
 
@@ -136,7 +132,7 @@ def _volume_by_day(bins: DataFrame, files: DataFrame, unit: int) -> DataFrame:
     joined = bin_file_join(bins.select("id", "sample_time"), file_totals(files))
     days = joined.groupBy(F.to_date("sample_time").alias("day")).agg(
         F.sum("bytes").alias("bytes"), F.sum("n_files").alias("n"))
-    return days.select("day", F.round(F.col("bytes") / unit, 2).cast("decimal(6,2)").alias("gb"),
+    return days.select("day", F.round(F.col("bytes") / unit, 2).cast("decimal(38,2)").alias("gb"),
                        F.floor(F.col("n") / 3).alias("bin_count")).orderBy("day")
 
 

@@ -95,15 +95,18 @@ def new_filesets(filesets: DataFrame, bins: DataFrame, resolvable: DataFrame) ->
     return filesets.join(bins.select("lid"), "lid", "left_anti").join(resolvable.select("lid"), "lid", "left_semi")
 
 
-def missing_blobs(bins: DataFrame, products: DataFrame, newest: int = 10000) -> DataFrame:
-    """Of the newest bins those without a blob product; ``products`` has ``lid, product``."""
-    recent = bins.orderBy(F.desc("sample_time"), "lid").limit(newest)
-    return recent.join(products.where("product = 'blobs'").select("lid"), "lid", "left_anti")
+def _newest(bins: DataFrame, newest: int | None) -> DataFrame:
+    return bins if newest is None else bins.orderBy(F.desc("sample_time"), "lid").limit(newest)
 
 
-def missing_features(bins: DataFrame, products: DataFrame, newest: int = 5000) -> DataFrame:
-    recent = bins.orderBy(F.desc("sample_time"), "lid").limit(newest)
-    with_blobs = recent.join(products.where("product = 'blobs'").select("lid"), "lid", "left_semi")
+def missing_blobs(bins: DataFrame, products: DataFrame, newest: int | None = None) -> DataFrame:
+    """Bins without a blob product, of all bins or of the newest ones; ``products`` has ``lid, product``."""
+    return _newest(bins, newest).join(products.where("product = 'blobs'").select("lid"), "lid", "left_anti")
+
+
+def missing_features(bins: DataFrame, products: DataFrame, newest: int | None = None) -> DataFrame:
+    """Bins with a blob product and without features, of all bins or of the newest ones."""
+    with_blobs = _newest(bins, newest).join(products.where("product = 'blobs'").select("lid"), "lid", "left_semi")
     return with_blobs.join(products.where("product = 'features'").select("lid"), "lid", "left_anti")
 
 

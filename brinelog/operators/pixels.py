@@ -207,8 +207,9 @@ def kmeans_image(color: DataFrame, channels: Sequence[int], k: int, seed: int =
 
 
 def sample_with_replacement(pixels: DataFrame, fraction: float, seed: int = 1, n: int | None = None) -> DataFrame:
+    """Rows drawn with replacement; ``n`` of the draw are a random choice of it."""
     drawn = pixels.sample(withReplacement=True, fraction=fraction, seed=seed)
-    return drawn if n is None else drawn.limit(n)
+    return drawn if n is None else drawn.orderBy(F.rand(seed)).limit(n)
 
 
 # -- colour and light maps --------------------------------------------------------------------------------------------

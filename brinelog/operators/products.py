@@ -58,12 +58,9 @@ def downstream_ready(products: DataFrame, dependencies: DataFrame, roles: Sequen
         up = products.where(F.col("state") == upstream_state).select(F.col("pid").alias("upstream"))
         edges = edges.join(up, "upstream", "left_semi")
     distinct = sorted(set(roles or []))
-    bits = F.lit(0)
-    for i, role in enumerate(distinct):
-        bits = F.when(F.col("role") == role, 1 << i).otherwise(bits)
-    met = edges.groupBy(F.col("downstream").alias("pid")).agg(F.count("role").alias("_n"), F.bit_or(bits).alias("_bits"))
+    met = edges.groupBy(F.col("downstream").alias("pid")).agg(F.count("role").alias("_n"), F.count_distinct("role").alias("_roles"))
     if roles:
-        met = met.where((F.col("_n") == len(roles)) & (F.col("_bits") == (1 << len(distinct)) - 1))
+        met = met.where((F.col("_n") == len(roles)) & (F.col("_roles") == len(distinct)))
     wanted = products if state is None else products.where(F.col("state") == state)
     return wanted.join(met.select("pid"), "pid", "left_semi").orderBy("priority", "pid")
 

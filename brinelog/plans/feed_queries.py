@@ -17,14 +17,14 @@ RANGE = "ts_label = 'view' AND sample_time BETWEEN '2024-01-05' AND '2024-01-20
 
 
 @query("daily_data_volume", """
-SELECT CAST(sample_time AS DATE) AS day, CAST(round(sum(length) / 1048576.0, 2) AS DECIMAL(6,2)) AS gb,
+SELECT CAST(sample_time AS DATE) AS day, CAST(round(sum(length) / 1048576.0, 2) AS DECIMAL(38,2)) AS gb,
   count(*) // 3 AS bin_count FROM obins JOIN files ON id = bin_id WHERE ts_label = 'F' AND NOT skip GROUP BY 1""")
 def _(t):
     return feed.daily_data_volume(t.obins, t.files, "F", unit=2**20)
 
 
 @query("data_volume_summary", """
-SELECT CAST(sample_time AS DATE) AS day, CAST(round(sum(length) / 1048576.0, 2) AS DECIMAL(6,2)) AS gb,
+SELECT CAST(sample_time AS DATE) AS day, CAST(round(sum(length) / 1048576.0, 2) AS DECIMAL(38,2)) AS gb,
   count(*) // 3 AS bin_count FROM obins JOIN files ON id = bin_id GROUP BY 1""")
 def _(t):
     return feed.data_volume_summary(t.obins, t.files, unit=2**20)

@@ -408,16 +408,14 @@ def _lid_products(t):
     return a.unionByName(t.part.select(F.concat(F.lit("E"), F.col("p_partkey").cast("string")).alias("lid"), kind.alias("product")))
 
 
-@query("missing_blobs", """SELECT lid FROM (SELECT id, lid FROM bins ORDER BY sample_time DESC, lid LIMIT 10000)
-  WHERE id NOT IN (SELECT p_partkey FROM part)""")
+@query("missing_blobs", "SELECT lid FROM bins WHERE id NOT IN (SELECT p_partkey FROM part)")
 def _(t):
     return ingest.missing_blobs(t.bins, _lid_products(t)).select("lid")
 
 
-@query("missing_features", """SELECT lid FROM (SELECT id, lid FROM bins ORDER BY sample_time DESC, lid LIMIT 50000)
-  JOIN part ON id = p_partkey WHERE p_size % 2 = 0""")
+@query("missing_features", "SELECT lid FROM bins JOIN part ON id = p_partkey WHERE p_size % 2 = 0")
 def _(t):
-    return ingest.missing_features(t.bins, _lid_products(t), 50000).select("lid")
+    return ingest.missing_features(t.bins, _lid_products(t)).select("lid")
 
 
 @query("copy_plan", """, dirs AS (SELECT n_regionkey, n_name FROM nation WHERE n_nationkey % 2 = 0)

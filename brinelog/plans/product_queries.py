@@ -464,9 +464,9 @@ def _(t):
     return annotations.altitude_metadata_join(alt, meta).groupBy("imagename", "pitch").agg(F.count("*").alias("n"))
 
 
-@query("every_nth", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY ts_label ORDER BY sample_time) AS rn FROM bins) WHERE (rn - 1) % 7 = 0 AND rn <= 9 * 7 + 1")
+@query("every_nth", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY ts_label ORDER BY sample_time) AS rn FROM bins) WHERE (rn - 1) % 7 = 0")
 def _(t):
-    return annotations.every_nth(t.bins, ["ts_label"], ["sample_time"], ordered.hour_slice("sample_time"), 7, 10).select("id")
+    return annotations.every_nth(t.bins, ["ts_label"], ["sample_time"], ordered.hour_slice("sample_time"), 7).select("id")
 
 
 # -- scores -----------------------------------------------------------------------------------------------------------

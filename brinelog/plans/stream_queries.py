@@ -51,7 +51,9 @@ def _(t):
 def _(t):
     rows = _stream(t, "events").select(F.col("event_type").alias("ts_label"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("lid"),
                                        F.col("ts").alias("sample_time"))
-    return _finished(t, flows.dedup(rows), "dedup").select("ts_label", "lid")
+    out, checkpoint = flows.scratch(t.spark, "dedup")
+    flows.dedup(rows, out, checkpoint)
+    return t.spark.read.parquet(out).select("ts_label", "lid")
 
 
 @query("tenmin_window", """SELECT event_type, time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2

@@ -20,9 +20,10 @@ PASS, WIN, FAIL, SKIP, DIE = "PASS", "WIN", "FAIL", "SKIP", "DIE"
 
 
 def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One Parquet table of a folder as a stream of new files."""
+    """One Parquet table as a stream of new files, whether it is a single file or a folder of files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    # as a pattern, the path may be a file; without one, the source takes folders only
+    return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None) -> None:
@@ -73,10 +74,16 @@ def accession(filesets: DataFrame, register: Callable[[DataFrame], DataFrame], o
     run_batches(filesets, each, checkpoint)
 
 
-def dedup(stream: DataFrame, time: str = "sample_time", late: str = "10 minutes") -> DataFrame:
-    """Ignore a (label, lid) that was seen within the watermark."""
-    timed = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
-    return timed.dropDuplicatesWithinWatermark(["ts_label", "lid"]).withColumn(time, F.col(time).cast("timestamp_ntz"))
+def dedup(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Keep the first row of each (label, lid), however late another one comes: an anti-join with the batches stored before."""
+    def each(batch: DataFrame, number: int) -> None:
+        rows = batch.dropDuplicates(["ts_label", "lid"])
+        if number > 0:
+            stored = batch.sparkSession.read.parquet(out).where(F.col("batch") < number)
+            rows = rows.join(stored.select("ts_label", "lid"), ["ts_label", "lid"], "left_anti")
+        rows.write.mode("overwrite").parquet(_batch_path(out, number))
+
+    run_batches(stream, each, checkpoint)
 
 
 # -- windows ----------------------------------------------------------------------------------------------------------

@@ -68,3 +68,36 @@ def test_tags_and_terms(spark, bins):
     c = spark.createDataFrame([(1, "Two diatoms were seen."), (2, "a diatom"), (3, "seeing nothing")], "bin_id long, comment string")
     assert {r.bin_id for r in tags.search_comments(c, "the diatoms").collect()} == {1, 2}
     assert tags.search_comments(c, "the").count() == 0
+
+
+BINS = "id long, ts_label string, lid string, sample_time timestamp_ntz, skip boolean"
+
+
+def test_open_bounds_drop_nothing(spark):
+    rows = [(1, "a", "x", datetime(2040, 5, 1), False), (2, "a", "y", None, False), (3, "a", "z", datetime(1950, 1, 1), False)]
+    bins = spark.createDataFrame(rows, BINS)
+    assert feed.total_bins(bins, "a").first().n_bins == 3
+    assert [r.id for r in feed.latest(bins, "a", 1).collect()] == [1]
+    assert [r.id for r in feed.nearest(bins, "a", datetime(2039, 1, 1), 2).collect()] == [1, 3]
+
+
+def test_a_day_may_hold_any_volume(spark):
+    bins = spark.createDataFrame([(1, "a", "x", datetime(2020, 1, 1), False)], BINS)
+    files = spark.createDataFrame([(1, 20_000 * 2**30)] * 3, "bin_id long, length long")
+    assert float(feed.daily_data_volume(bins, files, "a").first().gb) == 60_000.0
+
+
+def test_any_number_of_tags(spark):
+    tags = [f"t{i}" for i in range(80)]
+    held = spark.createDataFrame([(b, t) for b in (1, 2) for t in tags if (b, t) != (2, "t70")], "bin_id long, tag string")
+    assert [r.bin_id for r in feed.having_all_tags(held, tags).collect()] == [1]
+
+
+def test_the_whole_backlog_is_reported(spark):
+    from pyspark.sql import functions as F
+
+    from brinelog.operators import ingest
+    bins = spark.range(60_000).select(F.col("id").cast("string").alias("lid"), F.lit(datetime(2020, 1, 1)).alias("sample_time"))
+    none = spark.createDataFrame([], "lid string, product string")
+    assert ingest.missing_blobs(bins, none).count() == 60_000
+    assert ingest.missing_blobs(bins, none, newest=10).count() == 10

@@ -47,10 +47,21 @@ def test_a_job_can_stop_the_queue(spark, tmp_path):
 
 def test_late_rows_and_duplicates(spark, tmp_path):
     schema = "ts_label string, lid string, sample_time timestamp_ntz"
-    rows = [[("a", "1", datetime(2020, 1, 1)), ("a", "1", datetime(2020, 1, 1, 0, 1)), ("a", "2", datetime(2020, 1, 1))]]
+    rows = [[("a", "1", datetime(2020, 1, 1)), ("a", "1", datetime(2020, 1, 1, 0, 1)), ("a", "2", datetime(2020, 1, 1))],
+            [("a", "3", datetime(2021, 1, 1)), ("a", "2", datetime(2021, 1, 1))], [("a", "1", datetime(2019, 1, 1)), ("b", "1", None)]]
     stream = feed_files(spark, tmp_path / "in", rows, schema)
-    flows.run_once(flows.dedup(stream), str(tmp_path / "out"), str(tmp_path / "check"))
-    assert sorted(r.lid for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["1", "2"]
+    flows.dedup(stream, str(tmp_path / "out"), str(tmp_path / "check"))
+    assert sorted((r.ts_label, r.lid) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", "1"), ("a", "2"), ("a", "3"), ("b", "1")]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_may_be_a_file_or_a_folder(spark, sf_dir, tmp_path, files):
+    if files > 1:
+        spark.read.parquet(f"{sf_dir}/orders.parquet").repartition(files).write.parquet(str(tmp_path / "orders.parquet"))
+        sf_dir = str(tmp_path)
+    stream = flows.table_stream(spark, sf_dir, "orders")
+    flows.run_once(stream.select("o_orderkey"), str(tmp_path / "out"), str(tmp_path / "check"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
 
 
 def test_closure_of_a_diamond(spark):
