@@ -334,18 +334,24 @@ ELL = """, cv AS (SELECT img, var_samp(y) AS a, var_samp(x) AS d, covar_samp(y,
 ell AS (SELECT img, 4 * sqrt(big) AS major, 4 * sqrt(small) AS minor, sqrt(1 - small / big) AS eccentricity, CASE WHEN b <> 0 THEN degrees(atan((big - a) / b)) WHEN a >= d THEN 0 ELSE 90 END - 90 AS orientation FROM ev) """
 
 
-@query("blob_ellipse", ELL + "SELECT img, round(major, 5) AS major, round(minor, 5) AS minor, round(eccentricity, 5) AS eccentricity FROM ell")
+@query("blob_ellipse", ELL + """SELECT img, round(major, 5) AS major, round(minor, 5) AS minor, round(eccentricity, 5) AS eccentricity,
+  round(orientation, 4) AS orientation FROM ell""")
 def _(t):
-    return blobs.blob_ellipse(t.mask).select("img", *[F.round(c, 5).alias(c) for c in ("major", "minor", "eccentricity")])
+    return blobs.blob_ellipse(t.mask).select("img", *[F.round(c, 5).alias(c) for c in ("major", "minor", "eccentricity")],
+                                             F.round("orientation", 4).alias("orientation"))
 
 
 @query("blob_inv_moments", """, c AS (SELECT img, avg(x) AS cx, avg(y) AS cy, count(*) AS n FROM mask GROUP BY 1),
 e AS (SELECT img, sum((x - cx) ** 2) / any_value(n) ** 2 AS e20, sum((y - cy) ** 2) / any_value(n) ** 2 AS e02, sum((x - cx) * (y - cy)) / any_value(n) ** 2 AS e11,
   sum((x - cx) ** 3) / any_value(n) ** 2.5 AS e30, sum((y - cy) ** 3) / any_value(n) ** 2.5 AS e03, sum((x - cx) * (y - cy) ** 2) / any_value(n) ** 2.5 AS e12,
   sum((x - cx) ** 2 * (y - cy)) / any_value(n) ** 2.5 AS e21 FROM mask JOIN c USING (img) GROUP BY 1)
-SELECT img, e20 + e02 AS phi1, (e20 - e02) ** 2 + 4 * e11 ** 2 AS phi2, (e30 - 3 * e12) ** 2 + (3 * e21 - e03) ** 2 AS phi3, (e30 + e12) ** 2 + (e21 + e03) ** 2 AS phi4 FROM e""")
+SELECT img, e20 + e02 AS phi1, (e20 - e02) ** 2 + 4 * e11 ** 2 AS phi2, (e30 - 3 * e12) ** 2 + (3 * e21 - e03) ** 2 AS phi3, (e30 + e12) ** 2 + (e21 + e03) ** 2 AS phi4,
+  (e30 - 3 * e12) * (e30 + e12) * ((e30 + e12) ** 2 - 3 * (e21 + e03) ** 2) + (3 * e21 - e03) * (e21 + e03) * (3 * (e30 + e12) ** 2 - (e21 + e03) ** 2) AS phi5,
+  (e20 - e02) * ((e30 + e12) ** 2 - (e21 + e03) ** 2) + 4 * e11 * (e30 + e12) * (e21 + e03) AS phi6,
+  (3 * e21 - e03) * (e30 + e12) * ((e30 + e12) ** 2 - 3 * (e21 + e03) ** 2) + (3 * e12 - e30) * (e21 + e03) * (3 * (e30 + e12) ** 2 - (e21 + e03) ** 2) AS phi7
+  FROM e""")
 def _(t):
-    return blobs.blob_inv_moments(t.mask).select("img", "phi1", "phi2", "phi3", "phi4")
+    return blobs.blob_inv_moments(t.mask).select("img", *[f"phi{i}" for i in range(1, 8)])
 
 
 HULL = """, outer_points AS (SELECT DISTINCT img, y, unnest([min(x), max(x)]) AS x FROM mask GROUP BY img, y),

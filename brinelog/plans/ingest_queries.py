@@ -782,11 +782,15 @@ def _(t):
     return sinks.xml_bin_lines(*_documents(t))
 
 
-@query("rdf_sink_bin", DOCS + """SELECT doc, 1 AS section, 1::BIGINT AS n, '    <context>' || ctx || '</context>' AS text FROM d
+@query("rdf_sink_bin", DOCS + f"""SELECT doc, 1 AS section, 1::BIGINT AS n, '    <context>' || ctx || '</context>' AS text FROM d
+UNION ALL SELECT doc, 0, 0, '<rdf:RDF {sinks.RDF_TERMS} xmlns="{sinks.DEFAULT_TERMS}">' || chr(10) || '  <Bin rdf:about="' || doc || '">' || chr(10) ||
+  '    <dc:date>' || date || '</dc:date>' FROM d
+UNION ALL SELECT doc, 3, 0, '    <dcterms:hasPart>' || chr(10) || '      <rdf:Seq rdf:about="' || doc || '/targets">' FROM d
+UNION ALL SELECT doc, 5, 0, '      </rdf:Seq>' || chr(10) || '    </dcterms:hasPart>' || chr(10) || '  </Bin>' || chr(10) || '</rdf:RDF>' FROM d
 UNION ALL SELECT doc, 2, 2, '    <air_temp>' || price || '</air_temp>' FROM d
 UNION ALL SELECT doc, 4, n, '        <rdf:li>' || chr(10) || '          <Target rdf:about="' || pid || '"/>' || chr(10) || '        </rdf:li>' FROM tt""")
 def _(t):
-    return sinks.rdf_bin_lines(*_documents(t)).where("section IN (1, 2, 4)")
+    return sinks.rdf_bin_lines(*_documents(t))
 
 
 JS = """SELECT doc, 0 AS section, 0::BIGINT AS n, '{"pid":"' || doc || '","date":"' || date || '"' AS text FROM d UNION ALL
@@ -842,19 +846,45 @@ def _(t):
     return t.spark.read.text(path)
 
 
-@query("kml_track_sink", """SELECT 'track' AS doc, 1 AS section, epoch_us(ts) AS n, '      <when>' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '</when>' AS text FROM fixes""")
-def _(t):
-    return sinks.kml_track_lines(t.fixes.withColumn("doc", F.lit("track")), "doc").where("section = 1")
-
-
-@query("kml_bins_sink", """SELECT ts_label AS doc, 1 AS section, epoch_us(sample_time) AS n, '  <Placemark>' || chr(10) || '    <name>' || lid || '</name>' || chr(10) ||
+KML = '<?xml version="1.0" encoding="UTF-8"?>\n<kml xmlns="http://www.opengis.net/kml/2.2"'
+
+
+@query("kml_track_sink", f"""SELECT 'track' AS doc, 0 AS section, 0::BIGINT AS n, '{KML}
+ xmlns:gx="http://www.google.com/kml/ext/2.2">
+<Document>
+  <name>Vehicle track</name>
+  <Placemark>
+    <gx:Track>' AS text WHERE EXISTS (FROM fixes)
+UNION ALL SELECT 'track', 3, 0, '    </gx:Track>
+  </Placemark>
+</Document>
+</kml>' WHERE EXISTS (FROM fixes)
+UNION ALL SELECT 'track', 2, epoch_us(ts), '      <gx:coord>' || longitude || ' ' || latitude || ' 0</gx:coord>' FROM fixes
+UNION ALL SELECT 'track' AS doc, 1 AS section, epoch_us(ts) AS n, '      <when>' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '</when>' AS text FROM fixes""")
+def _(t):
+    return sinks.kml_track_lines(t.fixes.withColumn("doc", F.lit("track")), "doc")
+
+
+@query("kml_bins_sink", f"""SELECT DISTINCT ts_label AS doc, 0 AS section, 0::BIGINT AS n, '{KML}>
+<Document>
+  <name>Sample runs</name>
+  <Style id="redstyle">
+    <IconStyle>
+      <color>ff0000ff</color>
+      <scale>0.5</scale>
+      <Icon><href>http://www.gstatic.com/mapspro/images/stock/962-wht-diamond-blank.png</href></Icon>
+    </IconStyle>
+  </Style>' AS text FROM bins
+UNION ALL SELECT DISTINCT ts_label, 2, 0, '</Document>
+</kml>' FROM bins
+UNION ALL SELECT ts_label AS doc, 1 AS section, epoch_us(sample_time) AS n, '  <Placemark>' || chr(10) || '    <name>' || lid || '</name>' || chr(10) ||
   '    <styleUrl>#redstyle</styleUrl>' || chr(10) || '    <TimeStamp><when>' || strftime(sample_time, '%Y-%m-%dT%H:%M:%SZ') || '</when></TimeStamp>' ||
   chr(10) || '    <Point><coordinates>' || -triggers || ',' || triggers || ',0</coordinates></Point>' || chr(10) ||
   '    <description><![CDATA[<a href="http://x.org/' || lid || '.html">' || lid || '</a>]]></description>' || chr(10) || '  </Placemark>' AS text FROM bins""")
 def _(t):
     rows = t.bins.select("ts_label", F.concat(F.lit("http://x.org/"), "lid").alias("pid"), F.col("sample_time").alias("ts"),
                          F.col("triggers").alias("latitude"), (-F.col("triggers")).alias("longitude"))
-    return sinks.kml_bin_lines(rows, "ts_label").where("section = 1")
+    return sinks.kml_bin_lines(rows, "ts_label")
 
 
 @query("eic_sink", """SELECT p_name || p_partkey AS imagename, p_name || p_partkey || ' ' || p_size || ' 0.0 0.0' AS text FROM part WHERE p_partkey NOT IN
