@@ -827,15 +827,17 @@ def _(t):
 
 
 @query("scores_csv_sink", """SELECT img AS roi, 'B_' || lpad(img::VARCHAR, 5, '0') || ',' || replace(string_agg(printf('%.6f', e), ',' ORDER BY i),
-  '0.000000', '0.0') AS text FROM elements GROUP BY 1""")
+  '0.000000', '0.0') AS text FROM elements GROUP BY 1
+UNION ALL SELECT NULL, 'pid,' || (SELECT string_agg('c' || i, ',' ORDER BY i) FROM range(64) c(i))""")
 def _(t):
     return sinks.scores_csv_rows(t.scores, F.lit("B"), [f"c{i}" for i in range(64)] + ["unclassified"])
 
 
 @query("scores_csv_sink_slow", """SELECT img AS roi, '"B_' || lpad(img::VARCHAR, 5, '0') || '",' || string_agg(regexp_replace(printf('%.4f', e), '000$', ''), ','
-  ORDER BY i) AS text FROM elements GROUP BY 1""")
+  ORDER BY i) AS text FROM elements GROUP BY 1
+UNION ALL SELECT NULL, 'pid,' || (SELECT string_agg('c' || i, ',' ORDER BY i) FROM range(64) c(i))""")
 def _(t):
-    return sinks.scores_csv_rows_short(t.scores, F.lit("B"))
+    return sinks.scores_csv_rows_short(t.scores, F.lit("B"), [f"c{i}" for i in range(64)])
 
 
 @query("scores_export_sharded", """SELECT 'B' || img || ',c' || arg_max(i, e) || ',' || img || ',' || printf('%.2f', max(e)) AS value FROM elements GROUP BY img""")

@@ -58,18 +58,26 @@ def csv_rows(targets: DataFrame, columns: Sequence[str], header: bool = True, do
     return _union(_lines(targets.select(doc).distinct(), doc, 0, 0, F.lit(",".join(names))), body)
 
 
+def _with_header(lines: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """The header line ``pid,label,...`` before the lines: its ``roi`` is null, so it sorts first."""
+    head = lines.sparkSession.range(1).select(F.lit(None).cast(lines.schema["roi"].dataType).alias("roi"),
+                                              F.lit(",".join(["pid", *labels])).alias("text"))
+    return head.unionByName(lines)
+
+
 def scores_csv_rows(scores: DataFrame, bin_lid: Column, labels: Sequence[str]) -> DataFrame:
-    """Wide score lines without the last label (unclassified), six places, a zero as ``0.0``."""
+    """Header and wide score lines without the last label (unclassified), six places, a zero as ``0.0``."""
     cells = F.transform(F.slice("scores", 1, len(labels) - 1), lambda s: F.format_string("%f", s))
     line = F.replace(F.array_join(cells, ","), F.lit("0.000000"), F.lit("0.0"))
-    return scores.select("roi", F.concat_ws(",", target_pid(bin_lid, F.col("roi")), line).alias("text"))
+    lines = scores.select("roi", F.concat_ws(",", target_pid(bin_lid, F.col("roi")), line).alias("text"))
+    return _with_header(lines, labels[:-1])
 
 
-def scores_csv_rows_short(scores: DataFrame, bin_lid: Column) -> DataFrame:
-    """Wide score lines of all classes, four places, a trailing ``000`` removed, quoted pid."""
+def scores_csv_rows_short(scores: DataFrame, bin_lid: Column, labels: Sequence[str]) -> DataFrame:
+    """Header and wide score lines of all classes, four places, a trailing ``000`` removed, quoted pid."""
     cells = F.transform("scores", lambda s: F.regexp_replace(F.format_string("%.4f", s), "000$", ""))
     pid = F.concat(F.lit('"'), target_pid(bin_lid, F.col("roi")), F.lit('"'))
-    return scores.select("roi", F.concat_ws(",", pid, F.array_join(cells, ",")).alias("text"))
+    return _with_header(scores.select("roi", F.concat_ws(",", pid, F.array_join(cells, ",")).alias("text")), labels)
 
 
 def score_export_lines(scores: DataFrame, bin_lid: Column, labels: Sequence[str]) -> DataFrame:
