@@ -31,6 +31,14 @@ _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double"
           "array<int>": pa.list_(pa.int32())}
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a written intermediate that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """Arrow schema of a flat column list such as ``"doc_id long, text string"``, for batches that Python tasks return."""
     return pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
@@ -73,7 +81,8 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(small_low, "a")
         star = (joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                 .union(small_low.select("a", F.col("m").alias("b"))).distinct())
-        e = materialize(star, "stars")
+        before, e = e, materialize(star, "stars")
+        discard(before)
         n, sign = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if (n, sign) == state:
             break
