@@ -28,7 +28,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(),
-          "array<int>": pa.list_(pa.int32())}
+          "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
 
 
 def discard(df: DataFrame) -> None:

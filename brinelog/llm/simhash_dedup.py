@@ -196,35 +196,71 @@ def jaccard(a: str, b: str, words: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, reach: int = 12, prints: int = 2) -> DataFrame:
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+
+
+def part_keys(hashes: np.ndarray, pivots: int, similarity: float) -> list[int]:
+    """Keys of long parts of a text, given by the hashes of its words, that a replaced or missing stretch leaves as they are.
+
+    A pivot is the run of three words with the smallest hash under one of ``pivots`` hash functions, so similar texts mostly share
+    it; the words before and from it on are its two parts. Parts with less than a third of the words give no key. Each key also
+    holds the length of the whole text, as one of two overlapping classes, so that texts too different in length do not meet.
+    """
+    n = len(hashes)
+    if n < 3:
+        return []
+    runs = hashes[:-2] * _MIX[0] + hashes[1:-1] * _MIX[1] + hashes[2:] * _MIX[2]
+    size = int(np.log(n) / -np.log(similarity))
+    out = []
+    for k in range(pivots):
+        mixed = (runs ^ (runs >> np.uint64(31))) * (_MIX[1] + np.uint64(2 * k))
+        at = int(np.argmin(mixed ^ (mixed >> np.uint64(29))))
+        for side, part in enumerate((hashes[:at], hashes[at:])):
+            if 3 * len(part) >= n:
+                raw = part.tobytes()
+                out += [signed(xxhash.xxh3_64_intdigest(raw, (2 * k + side) << 32 | size + more)) for more in (0, 1)]
+    return out
+
+
+def part_links(parts: DataFrame) -> DataFrame:
+    """``a, b``: each node of ``parts`` (``node, part``) with the smallest node that has a part in common with it."""
+    lowest = parts.groupBy("part").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("part", "b")
+    return parts.join(lowest, "part").where("node <> b").select(F.col("b").alias("a"), F.col("node").alias("b"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, reach: int = 12, prints: int = 2,
+                         pivots: int = 6) -> DataFrame:
     """``docs`` with one document of each group: the one of the smallest ``doc_id``.
 
     Two texts are linked if the Jaccard similarity of their shingles of ``words`` words is at least ``similarity``. Candidates come from
     ``prints`` independent fingerprints of the set of single words, in which an edit counts once and not once for each
-    shingle over it: pairs in a common grid cell that differ in at most ``reach`` bits. Every candidate link is verified on the two
-    texts. Texts of the same words are one before anything is joined. The fingerprints find most linked pairs, not all of
-    them; the README has the measured share.
+    shingle over it: pairs in a common grid cell that differ in at most ``reach`` bits. These find edits that are spread over a text; one
+    long stretch that is replaced or missing moves more bits, so texts that share a long part (``part_keys``) are candidates, too.
+    Every candidate link is verified on the two texts. Texts of the same words are one before anything is joined. Most linked
+    pairs are found, not all of them; the README has the measured share.
     """
     keyed = docs.withColumn("_llm_text_key", F.xxhash64("text"))
-    schema = "doc_id long, _llm_text_key long, node long, " + ", ".join(f"fp{i} long" for i in range(prints))
+    schema = "doc_id long, _llm_text_key long, node long, " + ", ".join(f"fp{i} long" for i in range(prints)) + ", parts array<long>"
 
     def run(batch: pa.RecordBatch) -> dict:
-        nodes, fps = [], [[] for _ in range(prints)]
+        nodes, keys, fps = [], [], [[] for _ in range(prints)]
         for text in texts_of(batch):
             parts = text.encode().lower().split()
             nodes.append(signed(xxhash.xxh3_64_intdigest(b" ".join(parts))))
             unique = set(parts)
             for seed, held in enumerate(fps):
                 held.append(signed(majority(np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in unique), np.uint64, len(unique)))))
-        return {"doc_id": batch.column(0), "_llm_text_key": batch.column(1), "node": nodes} | {f"fp{i}": v for i, v in enumerate(fps)}
+            hashes = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in parts), np.uint64, len(parts))
+            keys.append(part_keys(hashes, pivots, similarity))
+        return ({"doc_id": batch.column(0), "_llm_text_key": batch.column(1), "node": nodes, "parts": keys}
+                | {f"fp{i}": v for i, v in enumerate(fps)})
 
     rows = materialize(keyed.select(F.col("doc_id").cast("long"), "_llm_text_key", "text").mapInArrow(per_batch(run, schema), schema), "words")
-    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "_llm_text_key")).alias("first"), *[F.first(f"fp{i}").alias(f"fp{i}") for i in range(prints)])
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "_llm_text_key")).alias("first"), *[F.first(c).alias(c) for c in rows.columns if c.startswith("fp") or c == "parts"])
     nodes = materialize(nodes, "nodes")
-    found = None
-    for i in range(prints):  # the fingerprint's number keeps cells of different fingerprints apart
-        part = links(nodes.select("node", F.col(f"fp{i}").alias("fp")), reach, blocks=7, differing=4)
-        found = part if found is None else found.union(part)
+    found = part_links(nodes.select("node", F.explode(F.array_distinct("parts")).alias("part")))
+    for i in range(prints):
+        found = found.union(links(nodes.select("node", F.col(f"fp{i}").alias("fp")), reach, blocks=7, differing=4))
     candidates = materialize(found.distinct(), "candidates")
     ends = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct().join(nodes.select("node", "first"), "node")
     texts = _texts_of_nodes(keyed, ends)

@@ -105,6 +105,29 @@ def test_one_document_of_each_group_stays(spark):
     assert sd.drop_near_duplicates(empty(spark)).collect() == []
 
 
+def test_copies_with_one_long_edit_go(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(3000)]
+    given, linked = [], 0
+    for i in range(60):
+        base = [rng.choice(words) for _ in range(240)]
+        at = rng.randrange(200)
+        copy = base[:200 + i % 40] if i % 2 else base[:at] + [rng.choice(words) for _ in range(18)] + base[at + 18:]
+        given += [(i, " ".join(base)), (1000 + i, " ".join(copy))]
+        linked += sd.jaccard(given[-2][1], given[-1][1], 5) >= 0.8
+    left = [r.doc_id for r in sd.drop_near_duplicates(spark.createDataFrame(given, "doc_id long, text string").repartition(3)).collect()]
+    assert linked == 60 and set(range(60)) <= set(left)
+    assert len(left) <= 60 + 3
+
+
+def test_parts_that_are_equal_link_nothing_unlike(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(3000)]
+    shared = [rng.choice(words) for _ in range(100)]
+    given = [(i, " ".join(shared + [rng.choice(words) for _ in range(100)])) for i in range(40)]
+    assert sd.drop_near_duplicates(spark.createDataFrame(given, "doc_id long, text string")).count() == 40
+
+
 def test_awkward_documents_stay_whole(spark):
     df = awkward(spark)
     left = [r.doc_id for r in sd.drop_near_duplicates(df).collect()]
