@@ -60,7 +60,7 @@ class Transducer:
     TRAINER, NORMALIZER, MODEL_TYPE, BPE = 2, 3, 3, 2
     CHARS_MAP, DUMMY_PREFIX, EXTRA_SPACES, ESCAPE_SPACES = 2, 3, 4, 5
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 120_000):
         from sentencepiece import SentencePieceProcessor
         model = SentencePieceProcessor(model_file=path)
         parts = dict(_fields(model.serialized_model_proto()))
@@ -73,6 +73,7 @@ class Transducer:
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i) for i in range(size)]
         self.text = [model.id_to_piece(i) for i in range(size)]
         self.ids = {self.text[i]: i for i in range(size) if not special[i]}
+        self.own = {p: p for p in self.ids}
         self.rank = {p: -model.get_score(i) for p, i in self.ids.items()}
         self.prefixes = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
         self.inside = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}  # neighbours that some piece covers
@@ -106,9 +107,10 @@ class Transducer:
         if found is None:
             want = [before, piece] if before else [piece]
             found = 0.0 if self.merged(list(before + piece)) == want else INFINITE
-            if len(self.weights) > 1_000_000:
+            if len(self.weights) > 400_000:
                 self.weights.clear()
-            self.weights[key] = found
+            # the model's own strings, so that a kept step costs no copy of its pieces
+            self.weights[self.own.get(before, before), self.own.get(piece, piece)] = found
         return found
 
     def shortest(self, word: str) -> list[int]:

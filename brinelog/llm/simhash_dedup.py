@@ -147,7 +147,7 @@ def links(rows: DataFrame, radius: int = 4, blocks: int = 8, differing: int | No
 
         def new(pairs: np.ndarray):
             fresh = set(map(tuple, np.sort(pairs, axis=1).tolist())) - seen
-            if len(seen) > 500_000:
+            if len(seen) > 200_000:
                 seen.clear()  # only costs repeats
             seen.update(fresh)
             if fresh:
@@ -256,9 +256,9 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
                 | {f"fp{i}": v for i, v in enumerate(fps)})
 
     rows = materialize(keyed.select(F.col("doc_id").cast("long"), "_llm_text_key", "text").mapInArrow(per_batch(run, schema), schema), "words")
-    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "_llm_text_key")).alias("first"), *[F.first(c).alias(c) for c in rows.columns if c.startswith("fp") or c == "parts"])
+    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "_llm_text_key")).alias("first"), *[F.first(c).alias(c) for c in rows.columns if c.startswith("fp")])
     nodes = materialize(nodes, "nodes")
-    found = part_links(nodes.select("node", F.explode(F.array_distinct("parts")).alias("part")))
+    found = part_links(rows.select("node", F.explode("parts").alias("part")))
     for i in range(prints):
         found = found.union(links(nodes.select("node", F.col(f"fp{i}").alias("fp")), reach, blocks=7, differing=4))
     candidates = materialize(found.distinct(), "candidates")
@@ -268,7 +268,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
              .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"))
 
     def verify(batches):
-        for batch in batches:
+        for whole, i in ((b, i) for b in batches for i in range(0, b.num_rows, 500)):
+            batch = whole.slice(i, 500)
             keep = [jaccard(x or "", y or "", words) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
 
