@@ -38,7 +38,8 @@ def pending_nulls(images: DataFrame, value: str, name: str = "imagename") -> Dat
 
 
 def fetch_by_key(rows: DataFrame, key: str, value: object) -> DataFrame:
-    return rows.where(F.col(key) == value).limit(1)
+    """The row with the key; of several the first in order of all columns."""
+    return rows.where(F.col(key) == value).orderBy(*rows.columns).limit(1)
 
 
 def deprecate(rows: DataFrame, key: str, value: object) -> DataFrame:
@@ -160,8 +161,11 @@ def class_label_score(scores: Column, labels: Sequence[str]) -> Column:
 def class_numbers(rows: DataFrame, threshold: float = 0.0) -> DataFrame:
     """Class number of every roi from 0 to the largest: -1 below the threshold, 0 for a roi without scores."""
     found = rows.select("roi", max_class(F.col("scores"), threshold).alias("_k"))
-    top = rows.agg(F.max("roi").alias("m"))
-    spine = top.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m"))).alias("roi"))
+    top = rows.agg(F.max("roi").cast("bigint").alias("m"))
+    step = F.lit(ROIS_PER_ARRAY).cast("bigint")
+    # Blocks of numbers are dealt out first, so that no cell and no task holds the whole range.
+    blocks = top.select("m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m"), step)).alias("_b")).repartition("_b")
+    spine = blocks.select(F.explode(F.sequence("_b", F.least(F.col("_b") + step - 1, "m"))).alias("roi"))
     return spine.join(found, "roi", "left").select("roi", F.coalesce("_k", F.lit(0)).alias("class_number"))
 
 

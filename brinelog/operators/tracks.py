@@ -24,6 +24,7 @@ LEAP_SECONDS = [
 # Run start offsets and uptake times in seconds.
 OFFSET_NO_DEBUBBLE, OFFSET_DEBUBBLE, UPTAKE_SECONDS_PER_ML, VALVE_SECONDS = 35, 182, 10, 6
 UNIX_EPOCH_JULIAN_DAY = 2440588
+SPINE_BLOCK = 4096
 
 
 def gps_to_julian(time_of_week: Column, week: Column, cycle: int = 0) -> Column:
@@ -90,8 +91,12 @@ def time_bin_mean(track: DataFrame, time: str, every: str, cols: Sequence[str],
     if not fill:
         return means
     spans = means.groupBy(*keys).agg(F.min("bin").alias("_a"), F.max("bin").alias("_b"))
-    step = F.expr(f"INTERVAL {every}")
-    spine = spans.select(*keys, F.explode(F.sequence("_a", "_b", step)).alias("bin"))
+    # Blocks of bins are dealt out first, so that no cell and no task holds a whole span.
+    width = F.expr(f"INTERVAL {every}")
+    block = F.expr(f"INTERVAL {every} * {SPINE_BLOCK}")
+    blocks = spans.select(*keys, "_b", F.explode(F.sequence("_a", "_b", block)).alias("_c")).repartition(*keys, "_c")
+    upto = F.least(F.col("_c") + block - width, "_b")
+    spine = blocks.select(*keys, F.explode(F.sequence("_c", upto, width)).alias("bin"))
     return spine.join(means, [*keys, "bin"], "left")
 
 

@@ -173,8 +173,9 @@ def cast_truncate(lines: DataFrame, schema: str) -> DataFrame:
 
 def adc_scan(lines: DataFrame, version: str = "v2") -> DataFrame:
     """Typed targets; the number is the raw line number, empty targets go after numbering."""
-    rows = lines.select("path", F.col("n").alias("targetNumber"), F.from_csv("line", adc_schema(version)).alias("r"))
-    return rows.select("path", "targetNumber", "r.*").where("width * height <> 0")
+    # A generator keeps the filter above the parse; below it each line would be parsed once more.
+    parsed = F.inline(F.array(F.from_csv("line", adc_schema(version))))
+    return lines.select("path", F.col("n").alias("targetNumber"), parsed).where("width * height <> 0")
 
 
 def adc_rule_targets(lines: DataFrame, version: str = "v2") -> DataFrame:
@@ -187,7 +188,7 @@ def adc_slice(lines: DataFrame, offset: int, limit: int, version: str = "v2") ->
 
 
 def adc_target(lines: DataFrame, path: str, number: int, version: str = "v2") -> DataFrame:
-    return adc_scan(lines.where((F.col("path") == path) & (F.col("n") == number)), version).limit(1)
+    return adc_scan(lines.where((F.col("path") == path) & (F.col("n") == number)), version)
 
 
 def hdr_scan(lines: DataFrame) -> DataFrame:

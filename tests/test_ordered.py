@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from brinelog.operators import ordered
+from brinelog.operators import annotations, ordered, tracks
 
 
 @pytest.fixture(scope="module")
@@ -83,3 +83,15 @@ def test_empty_input(df):
     assert ordered.number_rows(empty, ["k"], ["at"], s).count() == 0
     assert ordered.neighbours(empty, ["k"], ["at"], s, prev={"v": "p"}).count() == 0
     assert ordered.fill_forward(empty, ["k"], ["at"], s, ["v"]).count() == 0
+
+
+def test_spines_over_many_blocks(spark):
+    scores = spark.createDataFrame([(0, [0.9, 0.1]), (5000, [0.1, 0.9]), (3 * annotations.ROIS_PER_ARRAY, [0.2, 0.1])], "roi int, scores array<double>")
+    got = annotations.class_numbers(scores, 0.5)
+    assert got.count() == 3 * annotations.ROIS_PER_ARRAY + 1 == got.select("roi").distinct().count()
+    assert {r.roi: r.class_number for r in got.where("class_number <> 0").collect()} == {5000: 1, 3 * annotations.ROIS_PER_ARRAY: -1}
+    assert annotations.class_numbers(scores.limit(0)).count() == 0
+    steps = 2 * tracks.SPINE_BLOCK
+    fixes = spark.range(2).selectExpr(f"timestamp_seconds(id * {steps} * 10) AS ts", "double(id) AS v", "'a' AS k")
+    filled = tracks.time_bin_mean(fixes, "ts", "10 seconds", ["v"], ["k"], fill=True)
+    assert filled.count() == filled.select("bin").distinct().count() == steps + 1 and filled.where("v IS NOT NULL").count() == 2
