@@ -112,8 +112,9 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 def links(rows: DataFrame, radius: int = 4, blocks: int = 8, differing: int | None = None) -> DataFrame:
     """``a, b``: links among different fingerprints, as many as connect the members of each cell.
 
-    ``rows`` holds ``fp`` and, if fingerprints are not nodes themselves, ``node``. Cells are made for ``differing`` bits (the radius
-    unless given): a smaller number makes fewer and larger cells that show wider links only mostly.
+    The members of a cell are taken in order, so the links don't depend on how rows arrive. ``rows`` holds ``fp`` and, if fingerprints
+    are not nodes themselves, ``node``. Cells are made for ``differing`` bits (the radius unless given): a smaller number makes fewer and
+    larger cells that show wider links only mostly.
     """
     differing = radius if differing is None else differing
     if not 0 < differing < blocks <= 64 // SEGMENT_BITS:
@@ -170,7 +171,7 @@ def links(rows: DataFrame, radius: int = 4, blocks: int = 8, differing: int | No
             yield from new(solve(columns[0], columns[1:]))
 
     ddl = ", ".join(f"{k} long" for k in ["cell", *kinds])
-    return (rows.select(*kinds).mapInArrow(spread, ddl).repartition("cell").sortWithinPartitions("cell")
+    return (rows.select(*kinds).mapInArrow(spread, ddl).repartition("cell").sortWithinPartitions("cell", *kinds)
             .mapInArrow(connect, "a long, b long"))
 
 
