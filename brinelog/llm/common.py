@@ -56,9 +56,12 @@ def per_batch(fn: Callable[[pa.RecordBatch], dict], ddl: str) -> Rows:
     return run
 
 
-def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
-    """Texts of a batch, null as empty."""
-    return ["" if t is None else t for t in batch.column(name).to_pylist()]
+def texts_of(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
+    """Texts of a batch, null as empty; only a few at a time are Python strings."""
+    column = batch.column(name)
+    for i in range(0, len(column), 64):
+        for text in column.slice(i, 64).to_pylist():
+            yield "" if text is None else text
 
 
 def components(edges: DataFrame) -> DataFrame:

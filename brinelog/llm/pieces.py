@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinelog.llm.common import arrow_schema
+from brinelog.llm.common import arrow_schema, texts_of
 
 SPACE = "▁"
 INFINITE = float("inf")
@@ -60,7 +60,7 @@ class Transducer:
     TRAINER, NORMALIZER, MODEL_TYPE, BPE = 2, 3, 3, 2
     CHARS_MAP, DUMMY_PREFIX, EXTRA_SPACES, ESCAPE_SPACES = 2, 3, 4, 5
 
-    def __init__(self, path: str, cached: int = 120_000):
+    def __init__(self, path: str, cached: int = 80_000, steps: int = 300_000):
         from sentencepiece import SentencePieceProcessor
         model = SentencePieceProcessor(model_file=path)
         parts = dict(_fields(model.serialized_model_proto()))
@@ -73,18 +73,28 @@ class Transducer:
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i) for i in range(size)]
         self.text = [model.id_to_piece(i) for i in range(size)]
         self.ids = {self.text[i]: i for i in range(size) if not special[i]}
-        self.own = {p: p for p in self.ids}
         self.rank = {p: -model.get_score(i) for p, i in self.ids.items()}
-        self.prefixes = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
+        self.size = size
+        bare = sorted({c for p in self.ids for c in p} - self.ids.keys())  # characters that only longer pieces hold go by bytes
+        self.symbol = [*self.text, *bare, ""]
+        self.begin = len(self.symbol) - 1
+        symbols = self.ids | {c: size + i for i, c in enumerate(bare)}
+        # arcs: for each beginning of a piece the longest piece that it begins with; the next shorter one follows in a chain, -1 ends it
+        self.length, self.shorter, self.arcs = [len(x) for x in self.symbol], [-1] * len(self.symbol), {}
+        self.longest = max(map(len, symbols), default=0)
+        for start in sorted({p[:i] for p in symbols for i in range(1, len(p) + 1)}, key=len):
+            known = self.arcs.get(start[:-1], -1)
+            self.arcs[start] = symbols.get(start, known)
+            if start in symbols:
+                self.shorter[symbols[start]] = known
         self.inside = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}  # neighbours that some piece covers
         self.byte = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_of = {i: bytes([b]) for b, i in enumerate(self.byte)}
         self.control = {i for i in range(size) if model.is_control(i)}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece runs over the beginning of a word")
-        self.weights: dict[tuple[str, str], float] = {}
-        self.alone: dict[str, bool] = {}
-        self.cached, self.new, self.old = cached, {}, {}
+        self.weights: dict[int, float] = {}  # by both symbols, as one number
+        self.cached, self.steps, self.new, self.old = cached, steps, {}, {}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """What the merges make of a short run of characters: lowest rank first, leftmost of equal ones."""
@@ -100,46 +110,59 @@ class Transducer:
                 ranks[i] = rank(symbols[i] + symbols[i + 1], never)
         return symbols
 
-    def weight(self, before: str, piece: str) -> float:
-        """Weight of the step from one piece to the next. ``before`` is empty at the start."""
-        key = (before, piece)
-        found = self.weights.get(key)
-        if found is None:
-            want = [before, piece] if before else [piece]
-            found = 0.0 if self.merged(list(before + piece)) == want else INFINITE
-            if len(self.weights) > 400_000:
-                self.weights.clear()
-            # the model's own strings, so that a kept step costs no copy of its pieces
-            self.weights[self.own.get(before, before), self.own.get(piece, piece)] = found
+    def weight(self, before: int, piece: int) -> float:
+        """Weight of the step from one piece to the next, by their symbols."""
+        first, second = self.symbol[before], self.symbol[piece]
+        found = 0.0 if self.merged(list(first + second)) == ([first, second] if first else [second]) else INFINITE
+        if len(self.weights) >= self.steps:
+            self.weights.clear()
+        self.weights[before * len(self.symbol) + piece] = found
         return found
 
     def shortest(self, word: str) -> list[int]:
-        """Ids along the shortest path over a run of characters."""
-        n = len(word)
-        last: list[str | None] = [""] + [None] * n  # piece that ends at a place on its path of finite weight
-        ids, prefixes, weights = self.ids, self.prefixes, self.weights
-        for start in range(n):
-            before = last[start]
-            if before is None:
-                continue
-            for end in range(start + 1, n + 1):
-                piece = word[start:end]
-                if end > start + 1 and piece not in prefixes:
-                    break
-                if last[end] is None and (piece in ids or end == start + 1):
-                    step = weights.get((before, piece))
+        """Ids along the shortest path over a run of characters.
+
+        Steps weigh zero or infinity, so the first path of finite steps that gets to the end is the shortest. The search goes deep,
+        long pieces first. A place is entered once: only one path of finite weight leads to it.
+        """
+        n, span = len(word), len(self.symbol)
+        arcs, weights, length, shorter = self.arcs, self.weights, self.length, self.shorter
+        if n == 1 and word not in arcs:
+            return [self.byte[b] for b in word.encode()]
+        entered = bytearray(n + 1)
+        path: list[int] = []
+        untried: list[int] = []  # per place of the path, the arc to try next
+        before, start = self.begin, 0
+        while start < n:
+            if len(untried) == len(path):
+                low, high = start + 1, min(n, start + self.longest)
+                while low < high:  # the beginning of a piece that goes furthest; all shorter ones are beginnings, too
+                    middle = (low + high + 1) >> 1
+                    if word[start:middle] in arcs:
+                        low = middle
+                    else:
+                        high = middle - 1
+                untried.append(arcs[word[start:low]])
+            piece = untried[-1]
+            while piece >= 0:
+                end = start + length[piece]
+                if not entered[end]:
+                    step = weights.get(before * span + piece)
                     if (self.weight(before, piece) if step is None else step) == 0.0:
-                        last[end] = piece
-        out: list[int] = []
-        end = n
-        while end:
-            piece = last[end]
-            if piece in ids:
-                out.append(ids[piece])
+                        break
+                piece = shorter[piece]
+            if piece >= 0:
+                entered[end] = 1
+                untried[-1] = shorter[piece]
+                path.append(piece)
+                before, start = piece, end
             else:
-                out += [self.byte[b] for b in reversed(piece.encode())]
-            end -= len(piece)
-        return out[::-1]
+                untried.pop()
+                start -= length[path.pop()]
+                before = path[-1] if path else self.begin
+        if max(path) < self.size:
+            return path
+        return [i for piece in path for i in ([piece] if piece < self.size else [self.byte[b] for b in self.symbol[piece].encode()])]
 
     def word(self, word: str) -> bytes:
         """Ids of a word as little-endian unsigned 32-bit integers, kept for the next time.
@@ -213,7 +236,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
         t = _transducer(model)
         for batch in batches:
-            ids = [np.frombuffer(t.encode(x or ""), "<i4") for x in batch.column(1).to_pylist()]
+            ids = [np.frombuffer(t.encode(x), "<i4") for x in texts_of(batch)]
             lengths = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat, pa.int32()))],
@@ -245,8 +268,7 @@ def report(docs: DataFrame, model: str) -> DataFrame:
         is_byte[t.byte] = True
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                text = text or ""
+            for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch)):
                 raw = t.encode(text)
                 ids = np.frombuffer(raw, "<u4")
                 decoded = t.decode(ids.tolist())
