@@ -60,7 +60,7 @@ class Transducer:
     TRAINER, NORMALIZER, MODEL_TYPE, BPE = 2, 3, 3, 2
     CHARS_MAP, DUMMY_PREFIX, EXTRA_SPACES, ESCAPE_SPACES = 2, 3, 4, 5
 
-    def __init__(self, path: str, cached: int = 80_000, steps: int = 300_000):
+    def __init__(self, path: str, cached: int = 200_000, steps: int = 300_000):
         from sentencepiece import SentencePieceProcessor
         model = SentencePieceProcessor(model_file=path)
         parts = dict(_fields(model.serialized_model_proto()))
