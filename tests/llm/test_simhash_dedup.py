@@ -132,3 +132,21 @@ def test_awkward_documents_stay_whole(spark):
     df = awkward(spark)
     left = [r.doc_id for r in sd.drop_near_duplicates(df).collect()]
     assert sorted(map(repr, left)) == sorted(map(repr, [1, None, None, 6, 7, 9, 9, 10, 11, 12, 13, 14]))
+
+
+def test_links_do_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(12)
+    prints = []
+    for _ in range(40):
+        p = rng.getrandbits(64)
+        for _ in range(8):
+            prints.append(p)
+            for b in rng.sample(range(64), 5):
+                p ^= 1 << b
+    given = [(sd.signed(p), i) for i, p in enumerate(prints)]
+    found = []
+    for parts in (1, 3, 7):
+        rng.shuffle(given)
+        df = spark.createDataFrame(given, "fp long, node long").repartition(parts)
+        found.append({tuple(r) for r in sd.links(df, 12, blocks=7, differing=4).collect()})
+    assert found[0] and found[0] == found[1] == found[2]
