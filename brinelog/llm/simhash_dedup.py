@@ -17,6 +17,8 @@ part and gets the id of its group; groups of only null ids have a null id; repea
 
 from __future__ import annotations
 
+import math
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -197,90 +199,244 @@ def jaccard(a: str, b: str, words: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_SLOTS = 20  # bits of a shingle hash that name its slot in the table of counts
+TOKENS = "token long, node long, size int, place int"
 
 
-def part_keys(hashes: np.ndarray, pivots: int, similarity: float) -> list[int]:
-    """Keys of long parts of a text, given by the hashes of its words, that a replaced or missing stretch leaves as they are.
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Sorted different 64-bit hashes of the shingles of a text, computed from the hashes of its words."""
+    parts = text.encode().lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in parts), np.uint64, len(parts))
+    k = min(words, len(parts))
+    out = np.full(len(parts) - k + 1, k, np.uint64)
+    for i in range(k):
+        out = out * _MIX[0] + hashes[i:i + len(out)]
+    out = (out ^ (out >> np.uint64(31))) * _MIX[1]
+    return np.unique(out ^ (out >> np.uint64(29)))
+
+
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two ``shingle_set`` is at least ``similarity``; two empty sets are alike."""
+    shared = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+    whole = len(x) + len(y) - shared
+    return not whole or shared / whole >= similarity
 
-    A pivot is the run of three words with the smallest hash under one of ``pivots`` hash functions, so similar texts mostly share
-    it; the words before and from it on are its two parts. Parts with less than a third of the words give no key. Each key also
-    holds the length of the whole text, as one of two overlapping classes, so that texts too different in length do not meet.
+
+def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
+    """How many documents have a shingle in each slot. Only the order of ``prefixes`` depends on it, never the pairs that are found."""
+    ddl, blocks = "block int, counts binary", 16
+
+    def parts(counts: np.ndarray):
+        raw = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, blocks)]
+        return pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array(raw, pa.binary())], schema=arrow_schema(ddl))
+
+    def count(batches):
+        counts = np.zeros(1 << _SLOTS, np.uint32)
+        for batch in batches:
+            for text in texts_of(batch):
+                np.add.at(counts, shingle_set(text, words) >> np.uint64(64 - _SLOTS), 1)
+        yield parts(counts)
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held[k] = held.get(k, 0) + np.frombuffer(zlib.decompress(raw), np.uint32)
+        raw = [zlib.compress(c.tobytes(), 1) for c in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(raw, pa.binary())], schema=arrow_schema(ddl))
+
+    out = np.zeros((blocks, (1 << _SLOTS) // blocks), np.uint32)
+    for r in docs.select("text").mapInArrow(count, ddl).repartition(blocks, "block").mapInArrow(add, ddl).collect():
+        out[r.block] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
+    return out.ravel()
+
+
+def prefixes(docs: DataFrame, counts: np.ndarray, words: int, similarity: float) -> DataFrame:
+    """``token, node, size, place``: the first shingles of each text in one order for all texts, seldom ones first.
+
+    Of ``size`` shingles as many come first as two sets can't both do without: sets of a Jaccard similarity of ``similarity`` or more
+    have one of these in common.
     """
-    n = len(hashes)
-    if n < 3:
-        return []
-    runs = hashes[:-2] * _MIX[0] + hashes[1:-1] * _MIX[1] + hashes[2:] * _MIX[2]
-    size = int(np.log(n) / -np.log(similarity))
-    out = []
-    for k in range(pivots):
-        mixed = (runs ^ (runs >> np.uint64(31))) * (_MIX[1] + np.uint64(2 * k))
-        at = int(np.argmin(mixed ^ (mixed >> np.uint64(29))))
-        for side, part in enumerate((hashes[:at], hashes[at:])):
-            if 3 * len(part) >= n:
-                raw = part.tobytes()
-                out += [signed(xxhash.xxh3_64_intdigest(raw, (2 * k + side) << 32 | size + more)) for more in (0, 1)]
-    return out
-
-
-def part_links(parts: DataFrame) -> DataFrame:
-    """``a, b``: each node of ``parts`` (``node, part``) with the smallest node that has a part in common with it."""
-    lowest = parts.groupBy("part").agg(F.min("node").alias("b"), F.max("node").alias("most")).where("b < most").select("part", "b")
-    return parts.join(lowest, "part").where("node <> b").select(F.col("b").alias("a"), F.col("node").alias("b"))
-
-
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, reach: int = 12, prints: int = 2,
-                         pivots: int = 6) -> DataFrame:
-    """``docs`` with one document of each group: the one of the smallest ``doc_id``.
+    held = docs.sparkSession.sparkContext.broadcast(counts)
 
-    Two texts are linked if the Jaccard similarity of their shingles of ``words`` words is at least ``similarity``. Candidates come from
-    ``prints`` independent fingerprints of the set of single words, in which an edit counts once and not once for each
-    shingle over it: pairs in a common grid cell that differ in at most ``reach`` bits. These find edits that are spread over a text; one
-    long stretch that is replaced or missing moves more bits, so texts that share a long part (``part_keys``) are candidates, too.
-    Every candidate link is verified on the two texts. Texts of the same words are one before anything is joined. Most linked
-    pairs are found, not all of them; the README has the measured share.
+    def run(batches):
+        schema = arrow_schema(TOKENS)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                tokens, sizes = [np.zeros(0, np.uint64)], []
+                for text in texts_of(part):
+                    own = shingle_set(text, words)
+                    order = np.lexsort((own, held.value[own >> np.uint64(64 - _SLOTS)]))
+                    sizes.append(len(own))
+                    tokens.append(own[order[:len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]])
+                taken = np.array([len(t) for t in tokens[1:]], np.int64)
+                rows = np.repeat(np.arange(part.num_rows), taken)
+                place = np.arange(len(rows)) - np.repeat(np.cumsum(taken) - taken, taken)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate(tokens).view(np.int64)), part.column("node").take(pa.array(rows)),
+                    pa.array(np.array(sizes, np.int32)[rows]), pa.array(place.astype(np.int32))], schema=schema)
+
+    return docs.select("node", "text").mapInArrow(run, TOKENS)
+
+
+def per_token(rows: DataFrame, solve, ddl: str) -> DataFrame:
+    """``solve`` of the columns of each run of equal tokens; ``rows`` has ``token`` first, a run is in the order of place and node.
+
+    ``solve`` takes the edges of the runs of a stretch and its columns as arrays and yields lists of columns.
     """
-    keyed = docs.withColumn("_llm_text_key", F.xxhash64("text"))
-    schema = "doc_id long, _llm_text_key long, node long, " + ", ".join(f"fp{i} long" for i in range(prints)) + ", parts array<long>"
+    names, schema = rows.columns, arrow_schema(ddl)
 
-    def run(batch: pa.RecordBatch) -> dict:
-        nodes, keys, fps = [], [], [[] for _ in range(prints)]
-        for text in texts_of(batch):
-            parts = text.encode().lower().split()
-            nodes.append(signed(xxhash.xxh3_64_intdigest(b" ".join(parts))))
-            unique = set(parts)
-            for seed, held in enumerate(fps):
-                held.append(signed(majority(np.fromiter((xxhash.xxh64_intdigest(p, seed) for p in unique), np.uint64, len(unique)))))
-            hashes = np.fromiter((xxhash.xxh3_64_intdigest(p) for p in parts), np.uint64, len(parts))
-            keys.append(part_keys(hashes, pivots, similarity))
-        return ({"doc_id": batch.column(0), "_llm_text_key": batch.column(1), "node": nodes, "parts": keys}
-                | {f"fp{i}": v for i, v in enumerate(fps)})
+    def run(batches):
+        held: list[list[np.ndarray]] = []  # stretches of the token that may go on
 
-    rows = materialize(keyed.select(F.col("doc_id").cast("long"), "_llm_text_key", "text").mapInArrow(per_batch(run, schema), schema), "words")
-    nodes = rows.groupBy("node").agg(F.min(F.struct("doc_id", "_llm_text_key")).alias("first"), *[F.first(c).alias(c) for c in rows.columns if c.startswith("fp")])
-    nodes = materialize(nodes, "nodes")
-    found = part_links(rows.select("node", F.explode("parts").alias("part")))
-    for i in range(prints):
-        found = found.union(links(nodes.select("node", F.col(f"fp{i}").alias("fp")), reach, blocks=7, differing=4))
-    candidates = materialize(found.distinct(), "candidates")
-    ends = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct().join(nodes.select("node", "first"), "node")
-    texts = _texts_of_nodes(keyed, ends)
+        def give(columns):
+            token = columns[0]
+            edges = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1], [True])))
+            for out in solve(edges, columns):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema)], schema=schema)
+
+        for batch in batches:
+            columns = [np.asarray(c) for c in batch.columns]
+            if not len(columns[0]):
+                continue
+            held.append(columns)
+            if columns[0][-1] == held[0][0][0]:
+                continue
+            columns = [np.concatenate(c) for c in zip(*held)]
+            last = int(np.searchsorted(columns[0], columns[0][-1]))
+            held = [[c[last:].copy() for c in columns]]
+            yield from give([c[:last] for c in columns])
+        if held:
+            yield from give([np.concatenate(c) for c in zip(*held)])
+
+    return rows.repartition("token").sortWithinPartitions("token", "place", *names[1:]).mapInArrow(run, ddl)
+
+
+def shared_tokens(tokens: DataFrame) -> DataFrame:
+    """``tokens`` without repeated rows and without those that only one node has."""
+    def solve(edges, columns):
+        token, node = columns[0], columns[1]
+        order = np.lexsort((node, token))
+        first = np.ones(len(token), bool)
+        first[order[1:]] = (token[order[1:]] != token[order[:-1]]) | (node[order[1:]] != node[order[:-1]])
+        keep = first & np.repeat(np.add.reduceat(first.astype(np.int64), edges[:-1]) > 1, np.diff(edges))
+        yield [c[keep] for c in columns]
+
+    return per_token(tokens, solve, TOKENS)
+
+
+def unjoined(tokens: DataFrame, roots: DataFrame, used: int) -> DataFrame:
+    """Rows of ``tokens``, with ``root``, of the tokens whose nodes are not all joined and of which over ``used`` have one."""
+    def solve(edges, columns):
+        root, sizes = columns[-1], np.diff(edges)
+        several = np.maximum.reduceat(root, edges[:-1]) != np.minimum.reduceat(root, edges[:-1])
+        keep = np.repeat(several & (sizes > used), sizes)
+        yield [c[keep] for c in columns]
+
+    joined = tokens.select("token", "node", "size", "place").join(roots.withColumnRenamed("root", "_root"), "node", "left")
+    return per_token(joined.select("token", "node", "size", "place", F.coalesce("_root", "node").alias("root")), solve, TOKENS + ", root long")
+
+
+def star_pairs(tokens: DataFrame, first: int, end: int, similarity: float) -> DataFrame:
+    """``a, b``: of each token the members ``first`` to ``end`` with all later ones that are not joined to them.
+
+    Members where the token comes early have few shingles of their own: the text that others were made from comes before its copies.
+    Pairs that can't be similar by their sizes, or by the number of shingles from the token on, are left out.
+    """
+    def solve(edges, columns):
+        _, node, size, place, root = columns
+        for a, z in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            for at in range(a + first, min(a + end, z - 1)):
+                rest = slice(at + 1, z)
+                other = size[rest].astype(np.int64)
+                own = int(size[at])
+                most = np.minimum(own - int(place[at]), other - place[rest])
+                near = ((root[rest] != root[at]) & (np.minimum(own, other) >= similarity * np.maximum(own, other) - 1e-6)
+                        & (most >= similarity / (1 + similarity) * (own + other) - 1e-6))
+                b = node[rest][near]
+                if len(b):
+                    yield [np.minimum(b, node[at]), np.maximum(b, node[at])]
+
+    return per_token(tokens, solve, "a long, b long").distinct()
+
+
+def verified(candidates: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs of ``candidates`` (``a, b``) whose texts are similar."""
     pairs = (candidates.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
              .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"))
 
-    def verify(batches):
-        for whole, i in ((b, i) for b in batches for i in range(0, b.num_rows, 500)):
-            batch = whole.slice(i, 500)
-            keep = [jaccard(x or "", y or "", words) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
+    def run(batches):
+        known: dict[int, np.ndarray] = {}
+
+        def own(node: int, text: str | None) -> np.ndarray:
+            if node not in known:
+                if len(known) >= 256:
+                    known.pop(next(iter(known)))
+                known[node] = shingle_set(text or "", words)
+            return known[node]
+
+        for whole, i in ((b, i) for b in batches for i in range(0, b.num_rows, 200)):
+            batch = whole.slice(i, 200)
+            keep = [similar(own(a, x), own(b, y), similarity) for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    roots = components(pairs.select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"))
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, growth: int = 8) -> DataFrame:
+    """``docs`` with one document of each group: the one of the smallest ``doc_id``.
+
+    Two texts are linked if the Jaccard similarity of their sets of shingles of ``words`` words is at least ``similarity``; a group is what
+    links connect. All links count: sets that similar have one of their first shingles in common (``prefixes``), so all
+    pairs are found among the nodes of a token. Pairs are verified first and joined afterwards, in rounds: the first member of each
+    token with all others, then ``growth`` times as many members, until the members of each token are joined or every pair of them is
+    refuted. Texts of the same words are one before anything is joined. Shingles are compared by 64-bit hashes.
+    """
+    keyed = docs.withColumn("_llm_text_key", F.xxhash64("text"))
+    schema = "doc_id long, _llm_text_key long, node long"
+
+    def run(batch: pa.RecordBatch) -> dict:
+        nodes = [signed(xxhash.xxh3_64_intdigest(b" ".join(t.encode().lower().split()))) for t in texts_of(batch)]
+        return {"doc_id": batch.column(0), "_llm_text_key": batch.column(1), "node": nodes}
+
+    rows = materialize(keyed.select(F.col("doc_id").cast("long"), "_llm_text_key", "text").mapInArrow(per_batch(run, schema), schema), "words")
+    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("doc_id", "_llm_text_key")).alias("first")), "nodes")
+    counts = shingle_counts(docs, words)
+    tokens = materialize(shared_tokens(prefixes(_noded(keyed), counts, words, similarity)), "tokens")
+    texts = _texts_of_nodes(keyed, tokens.select("node").distinct().join(nodes, "node"))
+    found, tried, roots = None, None, nodes.select("node", F.col("node").alias("root")).limit(0)
+    first, end = 0, 1
+    while True:
+        tokens = materialize(unjoined(tokens, roots, first + 1), "tokens")
+        if tokens.isEmpty():
+            break
+        pairs = star_pairs(tokens, first, end, similarity)
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
+        new = materialize(verified(pairs, texts, words, similarity), "links")
+        tried, found = (pairs, new) if tried is None else (tried.union(pairs), found.union(new))
+        if not new.isEmpty():
+            roots = components(found)
+        first, end = end, end * growth
     kept = (nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
             .agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_llm_id"), F.col("first._llm_text_key").alias("_llm_key")))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_llm_id")) & F.col("_llm_text_key").eqNullSafe(F.col("_llm_key"))
     return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_llm_text_key"]).select(*docs.columns)
 
 
+def _noded(keyed: DataFrame) -> DataFrame:
+    """``node, text`` of every document."""
+    def run(batches):
+        for batch in batches:
+            nodes = [signed(xxhash.xxh3_64_intdigest(b" ".join(t.encode().lower().split()))) for t in texts_of(batch)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column("text")], names=["node", "text"])
+
+    return keyed.select("text").mapInArrow(run, "node long, text string")
+
+
 def _texts_of_nodes(keyed: DataFrame, ends: DataFrame) -> DataFrame:
     """``node, text``: one text for every node of ``ends``."""
     wanted = ends.select("node", F.col("first.doc_id").alias("_llm_id"), F.col("first._llm_text_key").alias("_llm_key"))

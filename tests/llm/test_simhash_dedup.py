@@ -150,3 +150,55 @@ def test_links_do_not_depend_on_the_order_of_rows(spark):
         df = spark.createDataFrame(given, "fp long, node long").repartition(parts)
         found.append({tuple(r) for r in sd.links(df, 12, blocks=7, differing=4).collect()})
     assert found[0] and found[0] == found[1] == found[2]
+
+
+def left_by_all_pairs(given):
+    """Smallest id of each component of all pairs of similar texts."""
+    sets = [set(sd.shingles(t, 5)) for _, t in given]
+    root = list(range(len(given)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(given)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if shared and shared / (len(sets[i]) + len(sets[j]) - shared) >= 0.8:
+                root[find(i)] = find(j)
+    low = {}
+    for i, (d, _) in enumerate(given):
+        low[find(i)] = min(d, low.get(find(i), d))
+    return sorted(low.values())
+
+
+@pytest.mark.parametrize("copies", [50, 300, 1000])
+def test_copies_that_are_near_the_original_only(spark, copies):
+    rng = random.Random(copies)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(3000)]
+    base = [rng.choice(words) for _ in range(300)]
+    given = [(0, " ".join(base))]
+    for i in range(1, copies + 1):
+        copy = list(base)
+        for at in rng.sample(range(300), 6 + i % 2):
+            copy[at] = rng.choice(words)
+        given.append((i, " ".join(copy)))
+    want = left_by_all_pairs(given)
+    left = sd.drop_near_duplicates(spark.createDataFrame(given, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(r.doc_id for r in left) == want
+
+
+@pytest.mark.parametrize("share", [100, 200])
+def test_true_pairs_among_many_that_share_a_passage(spark, share):
+    rng = random.Random(share)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(3000)]
+    shared = [rng.choice(words) for _ in range(share)]
+    given = []
+    for i in range(150):
+        own = shared + [rng.choice(words) for _ in range(300 - share)]
+        at = rng.randrange(share, 280)
+        given += [(i, " ".join(own)), (1000 + i, " ".join(own[:at] + [rng.choice(words) for _ in range(20)] + own[at + 20:]))]
+    want = left_by_all_pairs(given)
+    left = sd.drop_near_duplicates(spark.createDataFrame(given, "doc_id long, text string").repartition(4)).collect()
+    assert sorted(r.doc_id for r in left) == want == list(range(150))
