@@ -1,11 +1,12 @@
 """Secret scans: fixed rules plus formats inferred from labelled credentials.
 
 Base spans come from three fixed patterns. What they match in a bounded sample of documents is the labelled data: values of assignments,
-access keys and hexadecimal strings as credentials by kind, other long tokens of the sample as ordinary. For every kind a prefix tree of
+access keys and hexadecimal strings as credentials by kind. Ordinary tokens are those of words and short numbers (words, paths, hosts,
+file names); other long tokens have no label and are not learned from, so any number of them may be spans. For every kind a prefix tree of
 character classes is built and its states are merged as long as their continuations are statistically compatible (Hoeffding bound, red
 and blue states), which leaves a probabilistic automaton. A candidate is a long token with a digit and a letter outside the base spans; it is
 scored under every automaton, and is a span if the best credential format beats the ordinary automaton by the margin that parts
-the labelled sample.
+credentials and ordinary tokens held out from learning.
 
 Scanning reads whole texts and all documents; only the fit is on a sample, whose bound is a parameter.
 
@@ -33,9 +34,13 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # the pattern [0-9a-f]+ with 16 characters a
 ASSIGN_VALUE = 12
 KINDS = ("assign", "access", "hex")
 INFERRED = "inferred"
+FOLDS = 4
 
 _WORDS = ("passw", "secret", "token", "api")  # each match of ASSIGN holds one of these
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+ORDINARY = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{10,}")
+_WORDLIKE = re.compile(r"[+/_.=-]*(?:(?:[A-Z]?[a-z]{1,15}|[A-Z]{1,15})[0-9]{0,4}|[0-9]{1,4})"
+                       r"(?:[+/_.=-]+(?:(?:[A-Z]?[a-z]{1,15}|[A-Z]{1,15})[0-9]{0,4}|[0-9]{1,4}))*[+/_.=-]*")
 _CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", ".", "=", "-")
 _CLASS_OF = {c: i for i, chars in enumerate(_CLASSES) for c in chars}
 _WIDTH = [math.log(len(chars)) for chars in _CLASSES]
@@ -68,6 +73,16 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int,
     return out
 
 
+def ordinary(text: str, taken: list[tuple[int, int, str]]) -> list[str]:
+    """Tokens that touch no base span and are made of words and short numbers, and long words."""
+    clear, at = [], 0
+    for a, b, _ in sorted(taken):
+        clear.append(text[at:a])
+        at = max(at, b)
+    clear.append(text[at:])
+    return [m for part in clear for m in ORDINARY.findall(part) if _WORDLIKE.fullmatch(m)]
+
+
 class Automaton:
     """Probabilistic automaton over character classes."""
 
@@ -167,13 +182,22 @@ class Formats:
         for kind, token in sorted(set(labelled)):
             if all(c in _CLASS_OF for c in token):
                 by_kind[kind].append(token)
-        self.kinds = {k: Automaton(v) for k, v in by_kind.items() if len(v) >= 8}
+        by_kind = {k: v for k, v in by_kind.items() if len(v) >= 8}
         words = sorted({t for t in ordinary if all(c in _CLASS_OF for c in t)})
-        self.ordinary = Automaton(words)
-        gains = sorted(self.gain(t) for k in self.kinds for t in by_kind[k] if len(t) >= 16)
+        gains, others = [], []
+        for i in range(FOLDS):  # each token is judged by automata that have not seen it
+            self._learn({k: [t for n, t in enumerate(v) if n % FOLDS != i] for k, v in by_kind.items()}, [t for n, t in enumerate(words) if n % FOLDS != i])
+            gains += [self.gain(t) for v in by_kind.values() for t in v[i::FOLDS] if len(t) >= 16]
+            others += [self.gain(t) for t in words[i::FOLDS] if len(t) >= 16]
+        gains, others = sorted(gains), sorted(others)
         least = gains[len(gains) // 20] if gains else math.inf  # all but a twentieth of the labelled credentials pass
-        others = sorted(self.gain(t) for t in words if candidates(t, []))  # a hundredth may be credentials that no rule knows
-        self.margin = max([least, 0.0, *(g + 1e-9 for g in others[:len(others) - len(others) // 100][-1:])])
+        most = others[len(others) - 1 - len(others) // 100] + 1e-9 if others else 0.0  # and no more than a hundredth of ordinary tokens
+        self.margin = max(least, most, 0.0)
+        self._learn(by_kind, words)
+
+    def _learn(self, by_kind: dict[str, list[str]], words: list[str]) -> None:
+        self.kinds = {k: Automaton(v) for k, v in by_kind.items()}
+        self.ordinary = Automaton(words)
 
     def gain(self, token: str) -> float:
         return max((a.score(token) for a in self.kinds.values()), default=-math.inf) - self.ordinary.score(token)
@@ -195,8 +219,7 @@ def fit(docs: DataFrame, rows: int = 20_000, each: int = 2000, max_chars: int =
                 for a, b, kind in taken:
                     token = text[a:b]
                     out.append((kind, ASSIGN.match(token)[2] if kind == "assign" else token))
-                out += [("ordinary", text[a:b]) for a, b in candidates(text, taken)]
-                out += [("ordinary", w) for w in re.findall(r"[A-Za-z]{10,}", text)[:20]]
+                out += [("ordinary", w) for w in ordinary(text, taken)]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.string()), pa.array([t for _, t in out], pa.string())], schema=schema)
 
     n = docs.count()

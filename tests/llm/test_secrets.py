@@ -56,3 +56,19 @@ def test_a_spared_format_is_found(spark):
 def test_no_labels_no_formats():
     formats = secrets.Formats([], ["ordinary-token-number-1"])
     assert not formats.secret("A8" * 20)
+
+
+def keys(rng, n, length=40):
+    return ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=length)) for _ in range(n)]
+
+
+def test_many_credentials_that_no_rule_knows_are_found(spark):
+    for planted, others in ((300, 100), (20, 20)):  # more than a hundredth of the candidates; fewer than a hundred candidates
+        rng = random.Random(planted)
+        rows = [(i, f"some words token = {k} and more", "en") for i, k in enumerate(keys(rng, 100))]
+        rows += [(1000 + i, f"see chapter-{i}-of-the-annual-report at /srv/data/files{i}/reports/summary.txt", "en") for i in range(others)]
+        rows += [(5000 + i, f"it was {k} there", "en") for i, k in enumerate(keys(rng, planted))]
+        df = awkward(spark, rows)
+        got = {r.doc_id: r.n_inferred for r in secrets.scan(df, secrets.fit(df)).collect()}
+        assert sum(got[5000 + i] for i in range(planted)) >= 0.9 * planted
+        assert sum(got[1000 + i] for i in range(others)) <= 0.02 * others
