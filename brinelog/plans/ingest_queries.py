@@ -144,11 +144,10 @@ def _(t):
 def _(t):
     # The stored table files themselves serve as image files.
     listing = readers.path_scan(t.spark, t.sf_dir, "orders.parquet").select("path", "length")
-    span = t.targets.where("targetNumber = 1").agg(F.max("byteOffset")).scalar()
-    rows = t.targets.where("targetNumber = 1").withColumn("byteOffset", F.coalesce(span, F.lit(0)) + F.col("bin"))
-    placed = rows.withColumn("path", listing.select("path").scalar())
-    pixels = readers.roi_pixels_scan(placed.select("bin", "path", "byteOffset", "width", "height"), ["bin"])
-    return pixels.groupBy("bin").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    # The image file of a bin begins at the byte of the bin's number.
+    placed = t.targets.withColumns({"path": listing.select("path").scalar(), "byteOffset": F.col("byteOffset") + F.col("bin")})
+    pixels = readers.roi_pixels_scan(placed.select("bin", "targetNumber", "path", "byteOffset", "width", "height"), ["bin", "targetNumber"])
+    return pixels.groupBy("bin", "targetNumber").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
 def _hdr_lines(t):

@@ -107,3 +107,16 @@ def test_documents_are_written_in_order(spark, tmp_path):
     for name, make in (("x", sinks.xml_bin_lines), ("r", sinks.rdf_bin_lines)):
         sinks.write_document(make(bins.where("pid = 'b1'"), ctx, props, targets), str(tmp_path / name))
         et.fromstring("".join(open(p).read() for p in sorted(str(x) for x in (tmp_path / name).glob("part-*"))))
+
+
+def test_pixels_of_every_target(spark, sf_dir):
+    import __spark_entry__ as entry
+    from brinelog.plans.bindings import Tables
+    got = {(r.bin, r.targetNumber): (r.n, r.total) for r in entry.queries()["roi_pixels_scan"](spark, sf_dir).collect()}
+    data = open(f"{sf_dir}/orders.parquet", "rb").read()
+    want = {}
+    for r in Tables(spark, sf_dir).targets.where("width * height > 0").collect():
+        part = data[r.byteOffset + r.bin:][:r.width * r.height]
+        want[r.bin, r.targetNumber] = (len(part), sum(part))
+    assert max(k for _, k in want) > 1 and got == want
+    assert all(n for n, _ in want.values())
