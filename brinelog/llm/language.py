@@ -138,12 +138,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the documents whose language is undetermined (no text, or no letter in it)."""
+    """``docs`` without the documents whose language is undetermined (no text, or no letter in it), also when nothing was learned."""
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            labels, _ = held.value.predict(batch.column(at).to_pylist())
+            texts = batch.column(at).to_pylist()
+            labels = held.value.predict(texts)[0] if held.value.labels else ["und" if not any(map(str.isalpha, t or "")) else "" for t in texts]
             yield batch.filter(pa.array([x != "und" for x in labels], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

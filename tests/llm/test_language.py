@@ -50,3 +50,9 @@ def test_one_label(spark):
     from pyspark.sql import functions as F
     df = awkward(spark).withColumn("lang", F.lit("en"))
     assert {r.lang_pred for r in language.identify(df, language.fit(df)).collect()} == {"en", "und"}
+
+
+def test_letters_decide_when_nothing_was_learned(spark):
+    df = awkward(spark)
+    kept = language.keep_identified(df, language.fit(empty(spark)))
+    assert kept.count() == sum(any(c.isalpha() for c in t) for _, t in texts_of(df)) > 0
