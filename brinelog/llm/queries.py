@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, with production parameters, and the SQL twins of those that SQL can express."""
+"""The operators over their whole tables, with production parameters, and the SQL twins of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinelog.llm import (chat, decontamination, fingerprints, language, line_dedup, pieces, secrets, sharding, simhash_dedup,
-                          token_files)
+from brinelog.llm import (chat, decontamination, fingerprints, language, lexical_search, line_dedup, pieces, secrets, sharding,
+                          simhash_dedup, token_files)
 from brinelog.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -130,3 +130,32 @@ FROM line LEFT JOIN gone USING (doc_id, i) GROUP BY doc_id
 """)
 def op10(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query("op11_lexical_search", r"""
+WITH item AS (
+  SELECT item_id, text AS own, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark)),
+asked AS (SELECT item_id, own, term, count(*) AS k FROM (SELECT item_id, own, unnest(w) AS term FROM item) GROUP BY ALL),
+doc AS (
+  SELECT row_number() OVER () AS r, doc_id, w, len(w)::BIGINT AS n FROM (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents WHERE text IS NOT NULL)
+  WHERE len(w) > 0),
+facts AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM doc),
+freq AS (
+  SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(w) AS term FROM doc)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weight AS (
+  SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM freq GROUP BY term), facts),
+part AS (
+  SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // length))) AS part
+  FROM freq JOIN weight USING (term), facts),
+total AS (SELECT item_id, own, r, doc_id, sum(k * part)::BIGINT AS score FROM asked JOIN part USING (term) GROUP BY ALL)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id, own ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM total WHERE score > 0)
+WHERE rank <= 20
+""")
+def op11(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
