@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinelog.llm import (chat, decontamination, fingerprints, language, lexical_search, line_dedup, pieces, secrets, sharding,
-                          simhash_dedup, token_files)
+                          simhash_dedup, spelling, token_files)
 from brinelog.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,8 @@ WHERE rank <= 20
 """)
 def op11(spark, sf_dir):
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+@query("op13_spelling_variants")
+def op13(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
