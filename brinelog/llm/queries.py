@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinelog.llm import (chat, decontamination, fingerprints, language, lexical_search, line_dedup, pieces, secrets, sharding,
-                          simhash_dedup, spelling, token_files)
+from brinelog.llm import (chat, decontamination, fingerprints, language, lexical_search, line_dedup, packing, pieces, secrets,
+                          sharding, simhash_dedup, spelling, token_files)
 from brinelog.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,6 +161,11 @@ def op11(spark, sf_dir):
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
+@query("op12_packing")
+def op12(spark, sf_dir):
+    return packing.report(packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=2048, end_id=1))
+
+
 @query("op13_spelling_variants")
 def op13(spark, sf_dir):
     return spelling.variants(table(spark, sf_dir, "documents"))
