@@ -33,21 +33,27 @@ from brinelog.llm.common import arrow_schema, materialize
 DIMENSIONS, BITS = 4, 15  # 60 bits of key
 BUCKETS = 4096
 SAMPLES_PER_RANGE = 32
-_WORD_AND_MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+TOKENS_PER_RANGE = 1 << 24
+_LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
+_WORD_AND_MARKS = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
 
 
 class WordEncoder:
-    """Ids of texts by a file of the tokenizers library whose words never reach across white space.
+    """Ids of texts by a file of the tokenizers library whose words never reach across white space and whose letters are lower-cased.
 
-    A text is parted at ASCII white space. Parts that are letters with marks behind them are learned as word and marks, many words in one
-    call, cut behind the tokens that end a word; other parts are encoded whole.
+    Texts are lower-cased in A-Z and parted at ASCII white space; texts with ``<|`` are encoded whole, as special tokens are told by case. Parts
+    of letters with marks behind them are learned as word and marks, many words in one call without the steps that do not change them, cut behind the
+    tokens that end a word; other parts are encoded whole.
     """
 
     def __init__(self, path: str, special: bool = True, cached: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for every core
-        from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
+        from tokenizers import Tokenizer, pre_tokenizers
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.ends = np.zeros(size, bool)
@@ -55,42 +61,58 @@ class WordEncoder:
             self.ends[i] = token.endswith("</w>")
         self.cached, self.new, self.old = cached, {}, {}
 
-    def plain(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned integers of ``dtype``."""
-        parts = text.encode().split()
-        found = list(map(self.new.get, parts))
-        if None in found:
-            self._learn({p for p, f in zip(parts, found) if f is None})
-            found = [self.new[p] for p in parts]
-        out = b"".join(found)
+    def plain(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned integers of ``dtype``. Texts are learned from together: give a megabyte or so at once."""
+        parts = [None if "<|" in t else t.encode().translate(_LOWER).split() for t in texts]
+        missing = set().union(*(own for own in parts if own))
+        missing.difference_update(self.new)
+        self._learn(missing)
+        out = [self.plain([t])[0] if own is None else b"".join(map(self.new.__getitem__, own)) for t, own in zip(texts, parts)]
         if len(self.new) > self.cached:
             self.old, self.new = self.new, {}
         return out
 
+    def _known(self, part: bytes) -> bytes | None:
+        ids = self.new.get(part)
+        if ids is None and part in self.old:
+            ids = self.new[part] = self.old[part]
+        return ids
+
     def _learn(self, missing: set[bytes]) -> None:
-        again = {p: self.old[p] for p in missing if p in self.old}
-        self.new.update(again)
-        simple, whole = {}, []
-        for part in missing - again.keys():
-            match = _WORD_AND_MARKS.fullmatch(part.decode())
-            if match:
-                simple[part] = match[1].lower(), match[2]
-            else:
-                whole.append(part)
-        wanted = sorted({x for pair in simple.values() for x in pair if x})
-        if wanted:
-            ids = np.array(self.plain([" ".join(wanted)])[0], self.dtype)
+        split, whole = [], []
+        for part in missing:
+            if self._known(part) is None:
+                match = _WORD_AND_MARKS.fullmatch(part.decode())
+                if match:
+                    split.append((part, match[1].encode(), match[2].encode()))
+                else:
+                    whole.append(part)
+        words = sorted(w for w in {x for _, *pair in split for x in pair if x} if self._known(w) is None)
+        if words:
+            ids = np.array(self.bare.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.dtype)
             ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
-            if len(ends) == len(wanted):
-                own = {w: ids[a:b].tobytes() for w, a, b in zip(wanted, [0, *ends], ends)} | {"": b""}
-                self.new.update((part, own[word] + own[marks]) for part, (word, marks) in simple.items())
+            if len(ends) == len(words):
+                raw, width = ids.tobytes(), self.dtype.itemsize
+                self.new.update((w, raw[a * width:b * width]) for w, a, b in zip(words, [0, *ends], ends))
             else:
-                whole += simple
+                self.new.update(zip(words, self.plain([w.decode() for w in words])))
+        known = self.new
+        known.update((part, known[word] + known[marks]) for part, word, marks in split if marks)
         if whole:
-            self.new.update((p, np.array(i, self.dtype).tobytes()) for p, i in zip(whole, self.plain([p.decode() for p in whole])))
+            known.update(zip(whole, self.plain([p.decode() for p in whole])))
+
+
+def in_groups(texts: list[str], size: int = 1 << 20):
+    """Ranges of texts of about ``size`` characters."""
+    start = held = 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= size or i + 1 == len(texts):
+            yield slice(start, i + 1)
+            start, held = i + 1, 0
 
 
 _ENCODERS: dict[tuple, WordEncoder] = {}
@@ -160,7 +182,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, special: bool = True) -
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
-                raw = [encoder.encode(t) if t else b"" for t in texts]
+                texts = [t or "" for t in texts]
+                raw = [r for own in in_groups(texts) for r in encoder.encode(texts[own])]
                 places = np.array([project(np.frombuffer(r, encoder.dtype)) for r in raw])
                 raw = [r + end for r in raw]
                 yield pa.RecordBatch.from_arrays(
@@ -241,9 +264,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, r
     ``sequence_id``, ``offset``. Sequences shorter than ``length`` have a power of two of ids. ``special``: strings of special tokens in a text are these tokens.
     """
     spark = docs.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = encode(docs, tokenizer, end_id, special)
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TOKENS_PER_RANGE)
     placed = along_curve(rows)
     number = range_number(splitters(placed, total, ranges) if total else [])
     placed = placed.withColumn("range", number("key", "tie"))

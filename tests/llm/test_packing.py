@@ -12,7 +12,7 @@ from tests.llm.cases import awkward, empty, texts_of
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", " ", "a", "A", " a ", "a  b", "it's we'll I'm 'S o'clock 'tis", "foo,bar. (baz)! ...", "a\x1cb c\x1fd", "a\x85b\xa0c d　e",
        "é É ́x x ́", "ÀÉß×÷ÿ Àé, ẞ", "你好 世界 123 4.5 १२", "<|endoftext|> b<|startoftext|>c", "\0 a\0b", "ΟΔΟΣ Σ", "a'", "x' s", "İstanbul ǅ",
-       "word" * 3000, "don't,", "naïve café!?", "a_b-c", "\U0001F600 ok\U0001F600"]
+       "word" * 3000, "don't,", "<|ENDOFTEXT|> <|EndOfText|>x", "ÀB, ß. ÷x ×y", "naïve café!?", "a_b-c", "\U0001F600 ok\U0001F600"]
 
 
 @pytest.fixture(scope="module")
@@ -57,10 +57,13 @@ def check(df, plain, length=2048, **more):
 
 def test_same_as_the_library(plain):
     encoder = pk.WordEncoder(PATH, cached=5)
-    for text in [*ODD, " ".join(ODD), *ODD]:
-        assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == plain(text), repr(text)
+    for texts in ([x] for x in [*ODD, " ".join(ODD), *ODD]), [ODD, ODD * 2]:
+        for own in texts:
+            for text, ids in zip(own, encoder.encode(own), strict=True):
+                assert np.frombuffer(ids, encoder.dtype).tolist() == plain(text), repr(text)
     ordinary = pk.WordEncoder(PATH, special=False)
-    assert 49407 not in np.frombuffer(ordinary.encode("a <|endoftext|>"), ordinary.dtype)
+    assert 49407 not in np.frombuffer(ordinary.encode(["a <|endoftext|>"])[0], ordinary.dtype)
+    assert [(s.start, s.stop) for s in pk.in_groups(["a" * 5, "b", "", "c" * 9, ""], 6)] == [(0, 2), (2, 4), (4, 5)]
 
 
 def test_documents(spark, docs, plain):
