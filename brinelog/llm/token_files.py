@@ -7,9 +7,10 @@ up), and ``<name>.index.arrow`` with ``doc_id, start, n_tokens``. Batches are no
 sequence without a copy. A task writes under a name of its own and the manifest, a Parquet table committed by Spark, lists only the
 files of tasks that succeeded, so a repeated task or a lost executor leaves no doubtful file in the set.
 
-Texts are encoded by the tokenizers library. Words repeat, so a task keeps the ids of pieces that it has met: a text without two
+Texts are encoded by the tokenizers library. Words repeat, so the encoder keeps the ids of pieces that it has met: a text without two
 white-space characters in a row is parted before every single space and around every line break, where the tokenizer's own
-pre-tokenizer parts it too; the tests compare with the plain call. Other texts are encoded whole.
+pre-tokenizer parts it too; the tests compare with the plain call. Other texts are encoded whole. A Python worker keeps its encoder, words
+included, from task to task. A special token's string in a text is that token, as in the plain call; with ``special=False`` it is ordinary text.
 
 Defined results: a null or empty text is the end id alone; a null ``doc_id`` comes first, equal ids in order of their text; an empty
 table writes no file and gives no rows; other columns are ignored.
@@ -17,6 +18,7 @@ table writes no file and gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 import os
 import re
 import uuid
@@ -38,11 +40,11 @@ _TWO_SPACES = re.compile(r"\s\s")
 class Encoder:
     """Ids of whole texts by a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, cached: int = 400_000):
+    def __init__(self, path: str, special: bool = True, cached: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for every core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.starts = np.zeros(size, bool)  # ids of tokens that begin with a space
@@ -55,7 +57,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned integers of ``dtype``."""
-        if _TWO_SPACES.search(text) or "\0" in text:
+        if _TWO_SPACES.search(text) or "\0" in text or "<|" in text:
             return np.array(self.plain([text])[0], self.dtype).tobytes()
         pieces = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         found = list(map(self.new.get, pieces))
@@ -86,12 +88,23 @@ class Encoder:
             self.new.update((p, np.array(i, self.dtype).tobytes()) for p, i in zip(rest, self.plain(rest)))
 
 
+_ENCODERS: dict[tuple, Encoder] = {}
+
+
+def encoder_of(path: str, special: bool) -> Encoder:
+    """The encoder of this Python worker for a file; only the last one asked for is kept."""
+    if (path, special) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, special] = Encoder(path, special)
+    return _ENCODERS[path, special]
+
+
 def _filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:/") else f"file://{folder}")
 
 
 def write_files(docs: DataFrame, tokenizer: str, folder: str | None = None, length: int = 2048, end_id: int = 0,
-                parts: int | None = None) -> DataFrame:
+                parts: int | None = None, special: bool = True) -> DataFrame:
     """Encode ``docs`` into files below ``folder`` (a fresh one in the shared folder unless given); returns the manifest in file order."""
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "token-files")
@@ -103,7 +116,7 @@ def write_files(docs: DataFrame, tokenizer: str, folder: str | None = None, leng
         part = TaskContext.get().partitionId()
         fs, base = _filesystem(folder)
         fs.create_dir(base, recursive=True)
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer, special)
         name = f"{base}/part-{part:06d}-{uuid.uuid4().hex[:12]}"
         ids_type = pa.uint16() if encoder.dtype.itemsize == 2 else pa.uint32()
         layout = pa.schema([("input_ids", pa.list_(ids_type, length)), ("mask", pa.list_(pa.bool_(), length))])
@@ -173,12 +186,12 @@ class Reader:
 
     def sequence(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and mask of the n-th sequence."""
-        for i, (a, b) in enumerate(self.batches):
-            if a <= n * self.length < b:
-                batch, row = self.file.get_batch(i), n - a // self.length
-                ids, mask = (batch.column(c).values.slice(row * self.length, self.length) for c in (0, 1))
-                return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
-        raise IndexError(n)
+        i = bisect.bisect_right(self.batches, n * self.length, key=lambda b: b[0]) - 1
+        if i < 0 or n * self.length >= self.batches[i][1]:
+            raise IndexError(n)
+        batch, row = self.file.get_batch(i), n - self.batches[i][0] // self.length
+        ids, mask = (batch.column(c).values.slice(row * self.length, self.length) for c in (0, 1))
+        return ids.to_numpy(), mask.to_numpy(zero_copy_only=False)
 
     def documents(self):
         """``doc_id, start, ids`` in file order; start counts ids from the beginning of this file."""

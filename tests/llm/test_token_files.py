@@ -18,7 +18,6 @@ ODD = ["", " ", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "\n", " \n", "a \nb",
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -40,6 +39,16 @@ def test_same_as_the_library(plain):
     encoder = tf.Encoder(PATH, cached=5)
     for text in [*ODD, " ".join(ODD), *ODD]:
         assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == plain(text), repr(text)
+    assert 50256 in plain("<|endoftext|> b")
+
+
+def test_special_strings_as_ordinary_text():
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    encoder = tf.Encoder(PATH, special=False)
+    for text in ("<|endoftext|> b", "a <|endoftext|><|endoftext|>"):
+        ids = np.frombuffer(encoder.encode(text), encoder.dtype).tolist()
+        assert 50256 not in ids and ids == t.encode(text, add_special_tokens=False).ids
 
 
 def test_documents(spark, docs, plain):
