@@ -101,8 +101,7 @@ def list_images(imagelist: DataFrame, assignment: object, limit: int | None = No
 def find_image(imagelist: DataFrame, assignment: object, offset: int, status: str, slice_by: Column | None = None) -> DataFrame:
     """1-based place in name order of the first row after ``offset`` with the status; none gives ``offset``."""
     rows = imagelist.where(F.col("assignment_id") == assignment)
-    by = F.substring("imagename", 1, 8) if slice_by is None else slice_by
-    placed = ordered.number_rows(rows, [], ["imagename"], by, out="place")
+    placed = ordered.number_rows(rows, [], ["imagename"], slice_by, out="place")
     hit = F.min(F.when((F.col("place") > offset) & (F.col("status") == status), F.col("place")))
     return placed.agg(F.coalesce(hit, F.lit(offset).cast("bigint")).alias("place"))
 
@@ -129,8 +128,8 @@ def altitude_metadata_join(altitudes: DataFrame, metadata: DataFrame | None = No
     return rows.join(meta, "imagename")
 
 
-def every_nth(rows: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column, step: int,
-              limit: int | None = None) -> DataFrame:
+def every_nth(rows: DataFrame, keys: Sequence[str], order: Sequence[str], step: int, limit: int | None = None,
+              slice_by: Column | None = None) -> DataFrame:
     """Every ``step``-th row of each key from the first on, at most ``limit`` of them (the strided choice of the batch)."""
     numbered = ordered.number_rows(rows, keys, order, slice_by, out="_rn")
     kept = numbered.where((F.col("_rn") - 1) % step == 0)

@@ -17,8 +17,8 @@ def drop_sentinel(points: DataFrame) -> DataFrame:
     return points.where((F.col("x") != SENTINEL) & (F.col("y") != SENTINEL))
 
 
-def index_normalize(rows: DataFrame, keys: list[str], value: str, tie: list[str], slices: Column) -> DataFrame:
-    """``i``: 0..1 place in value order; ``s``: value scaled to 0..1. ``slices`` never decreases with the value."""
+def index_normalize(rows: DataFrame, keys: list[str], value: str, tie: list[str], slices: Column | None = None) -> DataFrame:
+    """``i``: 0..1 place in value order; ``s``: value scaled to 0..1. ``slices``, if given, never decreases with the value."""
     one = F.lit(1).cast("bigint")
     ranked = ordered.accumulate(rows, keys, [value, *tie], slices, {"_rn": one},
                                 whole={"_lo": ("min", F.col(value)), "_hi": ("max", F.col(value)), "_n": ("sum", one)})

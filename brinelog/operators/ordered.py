@@ -2,16 +2,21 @@
 
 A plain ``Window.partitionBy(key)`` sorts a whole key in one task. Here every key is cut into slices that follow the
 order, the window runs inside a slice, and a small table with one row per (key, slice) carries the state across slices.
-``slice_by`` is any column that never decreases along ``order``, for example an hour number or ``n div 65536``.
+
+Without ``slice_by`` the slices are ranges of (keys, order) between quantiles of a bounded sample: ranges hold about equal numbers of rows and grow in number
+with the input, so one hot key, a burst within an hour or one path prefix becomes several even tasks, and many small keys share
+a range. ``slice_by`` may name a column that never decreases along ``order`` instead, where such a column bounds the slices; that saves the sample.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 G, S, R = "_group", "_slice", "_local"
 
@@ -28,7 +33,43 @@ def block_slice(n: str | Column, width: int = 65536) -> Column:
     return F.floor(col / width)
 
 
-def _sliced(df: DataFrame, keys: Sequence[str], slice_by: Column) -> DataFrame:
+RANGE_ROWS = 1 << 20  # rows of a range, beyond as many ranges as there are shuffle partitions
+SAMPLES_PER_RANGE = 64
+
+
+def _literal(value: object, kind: T.DataType) -> Column:
+    """A collected value as a literal of the type it had (times are collected as text)."""
+    return F.lit(value).cast(kind)
+
+
+def range_slice(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges: int | None = None) -> Column:
+    """Number of the range of (keys, order) that holds a row, from 0.
+
+    Bounds are quantiles of a sample of about ``SAMPLES_PER_RANGE`` rows a range; they only decide how even the ranges are. Rows that agree in all
+    of ``keys`` and ``order`` fall into one range.
+    """
+    names = [*dict.fromkeys([*keys, *order])]
+    kinds = {f.name: f.dataType for f in df.select(*names).schema}
+    timed = [n for n in names if isinstance(kinds[n], T.TimestampType | T.TimestampNTZType)]
+    narrow = df.select(*names)
+    rows = narrow.count()
+    ranges = ranges or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // RANGE_ROWS)
+    drawn = narrow.sample(min(1.0, SAMPLES_PER_RANGE * ranges / max(rows, 1)), 17).orderBy(*names)
+    drawn = drawn.withColumns({n: F.col(n).cast("string") for n in timed}).collect()
+    cuts = list(dict.fromkeys(tuple(drawn[len(drawn) * i // ranges]) for i in range(1, ranges))) if drawn else []
+    if not cuts:
+        return F.lit(0)
+    bounds = [F.struct(*[_literal(v, kinds[n]).alias(n) for n, v in zip(names, cut)]) for cut in cuts]
+    place = F.struct(*names)
+    width = math.isqrt(len(bounds)) + 1  # first among every width-th bound, then among those that follow it
+    groups = [bounds[i:i + width] for i in range(0, len(bounds), width)]
+    coarse = F.size(F.filter(F.array(*[g[0] for g in groups]), lambda b: b <= place))
+    fine = F.get(F.array(*[F.array(*g) for g in groups]), F.greatest(coarse - 1, F.lit(0)))
+    return F.greatest((coarse - 1) * width, F.lit(0)) + F.size(F.filter(fine, lambda b: b <= place))
+
+
+def _sliced(df: DataFrame, keys: Sequence[str], slice_by: Column | None, order: Sequence[str]) -> DataFrame:
+    slice_by = range_slice(df, keys, order) if slice_by is None else slice_by
     # Structs are never null, so rows with a null key or order value keep their place in the join as well.
     group = F.struct(*keys) if keys else F.lit(0)
     return df.withColumns({G: group, S: F.struct(slice_by.alias("at"))})
@@ -55,7 +96,7 @@ def _attach(rows: DataFrame, carried: DataFrame) -> DataFrame:
     return rows.join(carried, [G, S]).drop(G, S)
 
 
-def accumulate(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column,
+def accumulate(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column | None,
                totals: dict[str, Column], exclusive: Sequence[str] = (), whole: dict[str, tuple[str, Column]] | None = None
                ) -> DataFrame:
     """Running sums ``name: addend`` up to the row (names in ``exclusive``: before it), all in one pass.
@@ -64,7 +105,7 @@ def accumulate(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_b
     slice table as well, so they cost no further pass over the rows.
     """
     whole = whole or {}
-    rows = _sliced(df, keys, slice_by)
+    rows = _sliced(df, keys, slice_by, order)
     every = Window.partitionBy(G)
     parts = [F.sum(v).alias(f"_{n}") for n, v in totals.items()]
     parts += [getattr(F, fn)(v).alias(n) for n, (fn, v) in whole.items()]
@@ -79,22 +120,22 @@ def accumulate(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_b
     return joined.withColumns({n: F.col(n) + F.col(f"_{n}") for n in totals}).drop(*[f"_{n}" for n in totals])
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column, out: str = "rn") -> DataFrame:
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column | None = None, out: str = "rn") -> DataFrame:
     """1-based position within ``keys``."""
     return accumulate(df, keys, order, slice_by, {out: F.lit(1).cast("bigint")})
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column, value: str,
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column | None, value: str,
                 out: str, exclusive: bool = False) -> DataFrame:
     """Sum of ``value`` up to this row (``exclusive``: before it)."""
     return accumulate(df, keys, order, slice_by, {out: F.col(value)}, [out] if exclusive else [])
 
 
-def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column,
+def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column | None = None,
                prev: dict[str, str] | None = None, next: dict[str, str] | None = None) -> DataFrame:
     """Values of the previous and next row: ``prev``/``next`` map a source column to its output name."""
     prev, next = prev or {}, next or {}
-    rows = _sliced(df, keys, slice_by)
+    rows = _sliced(df, keys, slice_by, order)
     aggs, carry, local = [], [G, S], {R: F.struct(F.row_number().over(_inside(order)).alias("up"),
                                                   F.lead(F.lit(1)).over(_inside(order)).alias("more"))}
     position = _position(order)
@@ -117,11 +158,11 @@ def neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_b
     return done.withColumns(fixed).drop(G, S, R, *borders)
 
 
-def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column,
+def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column | None,
                  cols: Sequence[str], position: Column | None = None) -> DataFrame:
     """Last non-null value at or before the row, each column on its own. ``position`` may name a plain column that
     orders the rows that hold values."""
-    rows = _sliced(df, keys, slice_by)
+    rows = _sliced(df, keys, slice_by, order)
     position = _position(order) if position is None else position
     carried = rows.groupBy(G, S).agg(
         *[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_{c}") for c in cols]

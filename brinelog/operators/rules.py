@@ -81,8 +81,6 @@ def post_block(df: DataFrame, distinct: Sequence[str] | None = None, order: Sequ
     if nth is not None:
         return rows.orderBy(*order).offset(nth - 1).limit(1).withColumn(count or "_n", F.lit(nth).cast("bigint")).drop(
             *([] if count else ["_n"]))
-    if slice_by is None:
-        raise ValueError("numbering needs slice_by: an expression that follows the order and cuts the rows into tasks")
     return ordered.number_rows(rows, [], order, slice_by, count)
 
 

@@ -74,14 +74,14 @@ def asof_join_track(bins: DataFrame, track: DataFrame, keys: Sequence[str] = (),
     """Latest latitude and longitude at or before each bin, each on its own; bins before the first fix are dropped."""
     fixes = track.select(*keys, F.col("ts").alias(time), "latitude", "longitude", F.lit(0).alias("_bin"))
     rows = bins.withColumn("_bin", F.lit(1)).unionByName(fixes, allowMissingColumns=True)
-    filled = ordered.fill_forward(rows, keys, [time, "_bin"], ordered.hour_slice(time), ["latitude", "longitude"],
+    filled = ordered.fill_forward(rows, keys, [time, "_bin"], None, ["latitude", "longitude"],
                                   position=F.col(time))
     return filled.where("_bin = 1 AND latitude IS NOT NULL AND longitude IS NOT NULL").drop("_bin")
 
 
 def forward_fill(rows: DataFrame, keys: Sequence[str], time: str, cols: Sequence[str]) -> DataFrame:
     """Last value before each row, then rows that still lack one are dropped."""
-    return ordered.fill_forward(rows, keys, [time], ordered.hour_slice(time), cols).na.drop(subset=list(cols))
+    return ordered.fill_forward(rows, keys, [time], None, cols).na.drop(subset=list(cols))
 
 
 def time_bin_mean(track: DataFrame, time: str, every: str, cols: Sequence[str], keys: Sequence[str] = (),
@@ -102,14 +102,12 @@ def time_bin_mean(track: DataFrame, time: str, every: str, cols: Sequence[str],
 
 def next_bin(files: DataFrame, folder: str = "dir", path: str = "path", slice_by: Column | None = None) -> DataFrame:
     """Next file of the sorted folder."""
-    by = F.substring(path, 1, 12) if slice_by is None else slice_by
-    return ordered.neighbours(files, [folder], [path], by, next={path: "next_path"})
+    return ordered.neighbours(files, [folder], [path], slice_by, next={path: "next_path"})
 
 
 def next_bin_offset(headers: DataFrame, folder: str = "dir", slice_by: Column | None = None, ml: float = 1.0) -> DataFrame:
     """Seconds from start-up to sample uptake; ``headers`` has ``dir, path, init_time, run_time, debubble``."""
-    by = F.substring("path", 1, 12) if slice_by is None else slice_by
-    rows = ordered.neighbours(headers, [folder], ["path"], by, next={"init_time": "_next"})
+    rows = ordered.neighbours(headers, [folder], ["path"], slice_by, next={"init_time": "_next"})
     gap = seconds_between(F.col("_next"), F.col("init_time"))
     used = F.col("run_time") + VALVE_SECONDS + ml * UPTAKE_SECONDS_PER_ML
     last = F.when(F.col("debubble") == "1", OFFSET_DEBUBBLE).otherwise(OFFSET_NO_DEBUBBLE).cast("double")

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from brinelog.functions import text
-from brinelog.operators import annotations, ordered, products, tracks
+from brinelog.operators import annotations, products, tracks
 from brinelog.plans.registry import query
 from brinelog.session import scratch_path
 
@@ -447,7 +447,7 @@ def _(t):
 @query("find_image", IMG + """SELECT min(place) AS place FROM (SELECT status, row_number() OVER (ORDER BY imagename) AS place FROM il WHERE assignment_id = 'view')
   WHERE place > 3 AND status = 'done'""")
 def _(t):
-    return annotations.find_image(_imagelist(t), "view", 3, "done", F.substring("imagename", 1, 2))
+    return annotations.find_image(_imagelist(t), "view", 3, "done")
 
 
 @query("set_status", IMG + "SELECT assignment_id, imagename, CASE WHEN imagename = 'i17' AND assignment_id = (SELECT ts_label FROM bins WHERE id = 17) THEN 'seen' ELSE status END AS status FROM il")
@@ -466,7 +466,7 @@ def _(t):
 
 @query("every_nth", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY ts_label ORDER BY sample_time) AS rn FROM bins) WHERE (rn - 1) % 7 = 0")
 def _(t):
-    return annotations.every_nth(t.bins, ["ts_label"], ["sample_time"], ordered.hour_slice("sample_time"), 7).select("id")
+    return annotations.every_nth(t.bins, ["ts_label"], ["sample_time"], 7).select("id")
 
 
 # -- scores -----------------------------------------------------------------------------------------------------------

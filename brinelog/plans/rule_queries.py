@@ -36,7 +36,7 @@ def _(t):
 @query("post_block", """SELECT p_type, p_size, row_number() OVER (ORDER BY p_type, p_size) AS n
   FROM (SELECT DISTINCT p_type, p_size FROM part)""")
 def _(t):
-    return rules.post_block(t.part, ["p_type", "p_size"], ["p_type", "p_size"], F.ascii("p_type"), count="n")
+    return rules.post_block(t.part, ["p_type", "p_size"], ["p_type", "p_size"], count="n")
 
 
 @query("retain", "SELECT o_orderkey, o_orderkey + 1 AS nxt FROM orders")
@@ -268,8 +268,7 @@ def _(t):
   l_orderkey, l_partkey, l_linenumber, l_extendedprice) AS n FROM lineitem""")
 def _(t):
     rows = ordered.number_rows(t.lineitem, ["l_returnflag"],
-                               ["l_shipdate", "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice"],
-                               F.date_trunc("month", "l_shipdate"), out="n")
+                               ["l_shipdate", "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice"], out="n")
     return rows.select("l_orderkey", "l_partkey", "l_shipdate", "n")
 
 

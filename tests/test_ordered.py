@@ -95,3 +95,33 @@ def test_spines_over_many_blocks(spark):
     fixes = spark.range(2).selectExpr(f"timestamp_seconds(id * {steps} * 10) AS ts", "double(id) AS v", "'a' AS k")
     filled = tracks.time_bin_mean(fixes, "ts", "10 seconds", ["v"], ["k"], fill=True)
     assert filled.count() == filled.select("bin").distinct().count() == steps + 1 and filled.where("v IS NOT NULL").count() == 2
+
+
+def test_ranges_split_one_key_one_hour_and_one_prefix(spark):
+    """A single key whose rows lie in one hour and share a long prefix: even ranges, right numbers."""
+    rows = spark.range(20_000).select(
+        F.lit("one").alias("k"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 1000).cast("timestamp_ntz").alias("ts"),
+        F.concat(F.lit("the-same-long-prefix-"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("path"), "id").repartition(5)
+    for order in (["ts"], ["path"], ["id"]):
+        sizes = [r["count"] for r in rows.groupBy(ordered.range_slice(rows, ["k"], order, ranges=16)).count().collect()]
+        assert len(sizes) == 16 and max(sizes) < 2 * 20_000 / 16
+        got = ordered.number_rows(rows, ["k"], order, out="n")
+        assert got.where(F.col("n") != F.col("id") + 1).count() == 0
+    hot = ordered.neighbours(rows, ["k"], ["path"], next={"id": "after"})
+    assert hot.where("after <> id + 1 OR after IS NULL AND id < 19999").count() == 0
+
+
+def test_ranges_follow_nulls_and_mixed_keys(df, rows, spark):
+    for keys, order in ((["k"], ["at"]), ([], ["k", "at"]), (["k"], ["v", "at"])):
+        number = ordered.range_slice(df, keys, order, ranges=12)
+        placed = df.withColumn("r", number).orderBy(*keys, *order).toPandas()["r"]
+        assert placed.is_monotonic_increasing and placed.nunique() == 12
+    got = by_place(ordered.number_rows(df, ["k"], ["at"], out="n"), "n")["n"]
+    want = expected(rows).set_index("at").groupby("k").cumcount() + 1
+    assert (got == want.sort_index()).all()
+    kinds = spark.range(300).selectExpr("date_add(DATE'2020-01-01', int(id / 3)) AS d", "decimal(id) AS m", "timestamp_seconds(id * 7) AS z",
+                                        "binary(string(id)) AS b", "id")
+    for order in (["d", "m"], ["z"], ["b"]):
+        placed = kinds.withColumn("r", ordered.range_slice(kinds, [], order, ranges=7)).orderBy(*order).toPandas()["r"]
+        assert placed.is_monotonic_increasing and placed.nunique() == 7
+    assert ordered.number_rows(df.where("at < 0"), ["k"], ["at"]).count() == 0
