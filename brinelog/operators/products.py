@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinelog.functions.times import instant
-from brinelog.session import cut_lineage
+from brinelog.session import drop_written, written
 
 # States, default role and the time to live that clears an expiry.
 WAITING, RUNNING, AVAILABLE, COMPLETED, ERROR = "waiting", "running", "available", "completed", "error"
@@ -83,25 +83,47 @@ def intermediates(products: DataFrame, dependencies: DataFrame, state: str = AVA
 
 # -- closure ----------------------------------------------------------------------------------------------------------
 
-def closure(dependencies: DataFrame, seeds: DataFrame, up: bool = True) -> DataFrame:
-    """(seed, pid) of everything upstream (or downstream) of each seed, each pair once.
+def _reach(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """``start`` rows (``_at`` and other columns, distinct) moved along one or more ``edges`` (``_at, _next``), each result once.
 
-    One frontier join per level; every level is checkpointed, so the plan stays short and a lost executor only costs the
-    level at work. The loop ends when a level is empty.
+    Path doubling: after round k the rows lie 1 to 2^k edges from their start, and the doubled edges join nodes that are 2^k edges apart, so the
+    rounds grow with the logarithm of the longest path. The loop ends when a round finds nothing new, also on cycles. Levels are
+    written and deleted once the next one stands.
     """
-    near, far = ("downstream", "upstream") if up else ("upstream", "downstream")
-    edges = dependencies.select(F.col(near).alias("_at"), F.col(far).alias("_next")).distinct()
-    frontier = seeds.select(F.col("pid").alias("seed"), F.col("pid").alias("_at"))
-    found: DataFrame | None = None
+    carried = [c for c in start.columns if c != "_at"]
+    hop = written(edges.distinct(), "edges")
+    found = written(start.join(hop, "_at").select(*carried, F.col("_next").alias("_at")).distinct(), "reached")
     while True:
-        step = frontier.join(edges, "_at").select("seed", F.col("_next").alias("pid")).distinct()
-        if found is not None:
-            step = step.join(found, ["seed", "pid"], "left_anti")
-        step = cut_lineage(step)
-        if step.isEmpty():
-            return step if found is None else found
-        found = step if found is None else found.unionByName(step)
-        frontier = step.select("seed", F.col("pid").alias("_at"))
+        further = found.join(hop, "_at").select(*carried, F.col("_next").alias("_at")).distinct()
+        fresh = written(further.join(found, [*carried, "_at"], "left_anti"), "reached")
+        if fresh.isEmpty():
+            drop_written(hop)
+            drop_written(fresh)
+            return found
+        longer = written(hop.join(hop.select(F.col("_at").alias("_next"), F.col("_next").alias("_far")), "_next")
+                         .select("_at", F.col("_far").alias("_next")).distinct(), "edges")
+        both = written(found.unionByName(fresh), "reached")
+        for old in (hop, found, fresh):
+            drop_written(old)
+        hop, found = longer, both
+
+
+def _edges(dependencies: DataFrame, up: bool) -> DataFrame:
+    near, far = ("downstream", "upstream") if up else ("upstream", "downstream")
+    known = dependencies.where(F.col(near).isNotNull() & F.col(far).isNotNull())
+    return known.select(F.col(near).alias("_at"), F.col(far).alias("_next"))
+
+
+def closure(dependencies: DataFrame, seeds: DataFrame, up: bool = True) -> DataFrame:
+    """(seed, pid) of everything upstream (or downstream) of each seed, each pair once."""
+    start = seeds.select(F.col("pid").alias("seed"), F.col("pid").alias("_at")).distinct()
+    return _reach(_edges(dependencies, up), start).select("seed", F.col("_at").alias("pid"))
+
+
+def reachable(dependencies: DataFrame, seeds: DataFrame, up: bool = True) -> DataFrame:
+    """``pid`` of everything upstream (or downstream) of any seed, each once: a set of nodes, without pairs."""
+    start = seeds.select(F.col("pid").alias("_at")).distinct()
+    return _reach(_edges(dependencies, up), start).select(F.col("_at").alias("pid"))
 
 
 def ancestors(dependencies: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -114,15 +136,13 @@ def descendants(dependencies: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def dependency_graph(dependencies: DataFrame, seeds: DataFrame) -> DataFrame:
     """Edges into the seeds, their ancestors and their descendants."""
-    nodes = seeds.select("pid").union(ancestors(dependencies, seeds).select("pid")).union(
-        descendants(dependencies, seeds).select("pid"))
+    nodes = seeds.select("pid").union(reachable(dependencies, seeds)).union(reachable(dependencies, seeds, up=False))
     return dependencies.join(nodes.select(F.col("pid").alias("downstream")), "downstream", "left_semi")
 
 
 def delete_tree(products: DataFrame, dependencies: DataFrame, seeds: DataFrame) -> DataFrame:
     """Products without the seeds and all their ancestors."""
-    gone = seeds.select("pid").union(ancestors(dependencies, seeds).select("pid"))
-    return products.join(gone, "pid", "left_anti")
+    return products.join(seeds.select("pid").union(reachable(dependencies, seeds)), "pid", "left_anti")
 
 
 def add_dependency(products: DataFrame, dependencies: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -202,23 +222,31 @@ def conditional_update(products: DataFrame, updates: DataFrame) -> DataFrame:
                              "event": F.when(hit, "update_if").otherwise(F.col("event"))}).drop("expected", "new_state")
 
 
-def work_outcome(jobs: DataFrame, callback, message: str | None = None) -> DataFrame:
-    """Run ``callback(row) -> None`` on every job; a failed one gets state error with the exception text."""
-    keep = jobs.select("pid")
+def work_outcome(jobs: DataFrame, work, message: str | None = None) -> DataFrame:
+    """Outcome of every job as an event; a failed job gets state error with the text of its failure.
+
+    ``work`` is an expression that gives this text, null where the job succeeds, or, where no expression can do the work, a
+    Python function of a row that raises.
+    """
+    if isinstance(work, Column):
+        failed = F.col("_failure").isNotNull()
+        return jobs.select("pid", work.cast("string").alias("_failure")).select(
+            "pid", F.when(failed, ERROR).otherwise(AVAILABLE).alias("state"), F.when(failed, "exception").otherwise(COMPLETED).alias("event"),
+            F.coalesce("_failure", F.lit(message)).alias("message"))
 
-    def work(batches):
+    def run(batches):
         for pdf in batches:
             states, events, messages = [], [], []
             for row in pdf.to_dict("records"):
                 try:
-                    callback(row)
+                    work(row)
                     states.append(AVAILABLE), events.append(COMPLETED), messages.append(message)
                 except Exception as e:  # the text is the result
                     states.append(ERROR), events.append("exception"), messages.append(f"{type(e).__name__}: {e}")
             yield pdf[["pid"]].assign(state=states, event=events, message=messages)
 
-    pid_type = keep.schema["pid"].dataType.simpleString()
-    return jobs.mapInPandas(work, f"pid {pid_type}, state string, event string, message string")
+    pid_type = jobs.schema["pid"].dataType.simpleString()
+    return jobs.mapInPandas(run, f"pid {pid_type}, state string, event string, message string")
 
 
 # -- provenance -------------------------------------------------------------------------------------------------------

@@ -123,22 +123,26 @@ def _(t):
 
 
 
-@query("ancestors", """, up AS (SELECT p_partkey AS seed, unnest([p_partkey // 2, p_partkey // 4, p_partkey // 8, p_partkey // 16, p_partkey // 32,
-  p_partkey // 64, p_partkey // 128, p_partkey // 256, p_partkey // 512, p_partkey // 1024, p_partkey // 2048, p_partkey // 4096,
-  p_partkey // 8192, p_partkey // 16384, p_partkey // 32768, p_partkey // 65536, p_partkey // 131072, p_partkey // 262144]) AS pid FROM part)
+@query("ancestors", """, up AS (SELECT p_partkey AS seed, p_partkey // CAST(2 ** k AS BIGINT) AS pid FROM part, range(1, 60) levels(k))
 SELECT seed, pid FROM up WHERE pid >= 1""")
 def _(t):
     return products.ancestors(t.dependencies, t.products)
 
 
-@query("descendants", """, up AS (SELECT p_partkey AS pid, unnest([p_partkey // 2, p_partkey // 4, p_partkey // 8, p_partkey // 16, p_partkey // 32,
-  p_partkey // 64, p_partkey // 128, p_partkey // 256, p_partkey // 512, p_partkey // 1024, p_partkey // 2048, p_partkey // 4096,
-  p_partkey // 8192, p_partkey // 16384, p_partkey // 32768, p_partkey // 65536, p_partkey // 131072, p_partkey // 262144]) AS seed FROM part)
+@query("descendants", """, up AS (SELECT p_partkey AS pid, p_partkey // CAST(2 ** k AS BIGINT) AS seed FROM part, range(1, 60) levels(k))
 SELECT seed, pid FROM up WHERE seed >= 1""")
 def _(t):
     return products.descendants(t.dependencies, t.products)
 
 
+@query("reachable_chain", "SELECT p_partkey AS pid FROM part WHERE p_partkey < (SELECT max(p_partkey) FROM part)")
+def _(t):
+    """Every product depends on the one before it: a chain as long as the table."""
+    pid = F.col("p_partkey")
+    chain = t.part.where("p_partkey > 0").select(pid.alias("downstream"), (pid - 1).alias("upstream"))
+    return products.reachable(chain, t.part.agg(F.max("p_partkey").alias("pid")))
+
+
 NODE = """, down AS (SELECT p_partkey AS pid FROM part WHERE 5 IN (p_partkey // 2, p_partkey // 4, p_partkey // 8, p_partkey // 16, p_partkey // 32,
   p_partkey // 64, p_partkey // 128, p_partkey // 256, p_partkey // 512, p_partkey // 1024, p_partkey // 2048, p_partkey // 4096, p_partkey // 8192)),
 nodes AS (SELECT pid FROM down UNION SELECT unnest([5, 2, 1]))"""
@@ -184,15 +188,12 @@ def _(t):
     return ingest.batch_schedule(t.bins, known, "n/")
 
 
-def _fragile(row):
-    if row["priority"] > 40:
-        raise ValueError("too large")
-
 
 @query("work_outcome", """SELECT pid, CASE WHEN priority > 40 THEN 'error' ELSE 'available' END AS state, CASE WHEN priority > 40 THEN 'exception' ELSE 'completed' END
   AS event, CASE WHEN priority > 40 THEN 'ValueError: too large' ELSE 'done' END AS message FROM products""")
 def _(t):
-    return products.work_outcome(t.products.select("pid", "priority"), _fragile, "done")
+    failure = F.when(F.col("priority") > 40, "ValueError: too large")
+    return products.work_outcome(t.products.select("pid", "priority"), failure, "done")
 
 
 @query("open_process", """SELECT 'used' AS kind, o_orderkey AS process_id, CAST(o_custkey AS VARCHAR) AS detail FROM orders UNION ALL
