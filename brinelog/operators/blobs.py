@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brinelog.operators import ordered, pixels
 from brinelog.operators.grouped import per_group
-from brinelog.session import cut_lineage
+from brinelog.session import cut_lineage, drop_written, written
 
 ROW = 1 << 31
 # Fixed value: height and width of the camera frame, the bound of one image.
@@ -26,34 +26,54 @@ def components(edges: DataFrame) -> DataFrame:
     """(img, node, root) of nodes with edges ``img, u, v``: root is the smallest node of the component.
 
     Alternating star contraction (Kiveris et al., 2014): a few rounds even for long snakes. Every step is a minimum per
-    node, combined before the shuffle, joined back to the edges; no neighbour list is ever gathered.
+    node, combined before the shuffle, joined back to the edges; no neighbour list is ever gathered. Rounds end as soon as the edges
+    are stars: no node is both below and above another, and none has two parents. Rounds are written and deleted once replaced.
     """
-    work = cut_lineage(edges.select("img", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    last = None
+    work = written(edges.select("img", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "component-edges")
     while True:
+        ends = work.select("img", "u", F.lit(1).alias("below"), F.lit(0).alias("above")).unionByName(
+            work.select("img", F.col("v").alias("u"), F.lit(0).alias("below"), F.lit(1).alias("above")))
+        open_ = ends.groupBy("img", "u").agg(F.sum("below").alias("n"), F.max("above").alias("above")).where("n > 1 OR n = 1 AND above = 1")
+        if open_.isEmpty():
+            return work.select("img", F.col("u").alias("node"), F.col("v").alias("root"))
         both = work.unionByName(work.select("img", F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("img", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, ["img", "u"]).select("img", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("img", "u").agg(F.min("v").alias("m"))
         chained = large.join(low, ["img", "u"])
         small = chained.where("v <> m").select("img", F.col("v").alias("u"), F.col("m").alias("v"))
-        work = cut_lineage(small.unionByName(low.select("img", "u", F.col("m").alias("v"))).where("u <> v").distinct())
-        mark = work.agg(F.count("*"), F.sum(F.xxhash64("img", "u", "v").cast("decimal(38,0)"))).first()
-        if mark == last:
-            return work.select("img", F.col("u").alias("node"), F.col("v").alias("root"))
-        last = mark
+        before = work
+        work = written(small.unionByName(low.select("img", "u", F.col("m").alias("v"))).where("u <> v").distinct(), "component-edges")
+        drop_written(before)
+
+
+RUN_BLOCK = 64  # pixels of a line among which runs of the next line are looked up
+
+
+def line_runs(mask: DataFrame) -> DataFrame:
+    """``img, y, x0, x1`` of the runs of set pixels in each image line. A line is bounded by the width of its image."""
+    nth = F.row_number().over(Window.partitionBy("img", "y").orderBy("x"))
+    return mask.select("img", "y", "x", (F.col("x") - nth).alias("_run")).groupBy("img", "y", "_run").agg(
+        F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_run")
+
+
+def run_edges(runs: DataFrame) -> DataFrame:
+    """``img, u, v``: runs of neighbouring lines that touch, corners included; a run is named by its first pixel."""
+    named = runs.select("img", "y", "x0", "x1", _node(F.col("y"), F.col("x0")).alias("u"))
+    block = lambda a, b: F.explode(F.sequence(F.floor(a / RUN_BLOCK), F.floor(b / RUN_BLOCK)))
+    here = named.select("img", (F.col("y") + 1).alias("y"), "x0", "x1", "u", block(F.col("x0") - 1, F.col("x1") + 1).alias("_b"))
+    below = named.select("img", "y", F.col("x0").alias("_x0"), F.col("x1").alias("_x1"), F.col("u").alias("v"), block(F.col("x0"), F.col("x1")).alias("_b"))
+    touching = here.join(below, ["img", "y", "_b"]).where("_x0 <= x1 + 1 AND _x1 >= x0 - 1")
+    return touching.select("img", "u", "v").distinct()
 
 
 def label_blobs(mask: DataFrame) -> DataFrame:
-    """``img, y, x, root`` of 8-connected components of set pixels."""
-    nodes = mask.select("img", "y", "x", _node(F.col("y"), F.col("x")).alias("u"))
-    # Each pixel looks at four of its eight neighbours; the others look at it.
-    ahead = F.explode(F.array(*[F.lit(dy * ROW + dx) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]))
-    asked = nodes.select("img", "u", ahead.alias("_d")).select("img", "u", (F.col("u") + F.col("_d")).alias("v"))
-    edges = asked.join(nodes.select("img", F.col("u").alias("v")), ["img", "v"], "left_semi")
-    roots = components(edges)
-    return nodes.join(roots.withColumnRenamed("node", "u"), ["img", "u"], "left").select(
-        "img", "y", "x", F.coalesce("root", "u").alias("root"))
+    """``img, y, x, root`` of 8-connected components of set pixels, found by contracting runs of lines, not pixels."""
+    runs = written(line_runs(mask.select("img", "y", "x").distinct()), "line-runs")
+    roots = components(run_edges(runs)).withColumnRenamed("node", "_u")
+    named = runs.withColumn("_u", _node(F.col("y"), F.col("x0")))
+    labelled = named.join(roots, ["img", "_u"], "left")
+    return labelled.select("img", "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.coalesce("root", "_u").alias("root"))
 
 
 def connected_components(mask: DataFrame) -> DataFrame:

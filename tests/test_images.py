@@ -48,6 +48,20 @@ def test_random_components(spark):
     assert len(pairs) == groups == out.root.nunique() and len(out) == a.sum()
 
 
+def test_wide_lines_touch_at_corners_and_across_blocks(spark):
+    """Runs longer than a block, gaps of one pixel, corners, repeated pixels."""
+    lines = {0: [(0, 300), (302, 310)], 1: [(301, 301), (320, 400)], 3: [(0, 63), (65, 127), (129, 129)], 4: [(64, 64)], 5: [(128, 128)], 6: [(126, 126), (130, 130)]}
+    rows = [(1, y, x) for y, runs in lines.items() for a, b in runs for x in range(a, b + 1)]
+    mask = spark.createDataFrame(rows + rows[:50], "img long, y long, x long")
+    runs = blobs.line_runs(mask.distinct())
+    assert sorted((r.y, r.x0, r.x1) for r in runs.collect()) == sorted((y, a, b) for y, own in lines.items() for a, b in own)
+    got = blobs.label_blobs(mask)
+    assert got.count() == len(rows)
+    boxes = sorted((r.y0, r.y1, r.x0, r.x1, r.area) for r in blobs.find_blobs(got).collect())
+    assert boxes == sorted([(0, 1, 0, 310, 311), (1, 1, 320, 400, 81), (3, 4, 0, 127, 128), (3, 3, 129, 129, 1), (5, 5, 128, 128, 1),
+                            (6, 6, 126, 126, 1), (6, 6, 130, 130, 1)])
+
+
 def test_no_set_pixel(spark):
     empty = mask_of(spark, [np.eye(2, dtype=int)]).where("y < 0")
     assert blobs.connected_components(empty).count() == 0
