@@ -54,49 +54,82 @@ def _standard(filename: Column, version: str) -> list[Column]:
     return [_fill(f, day=_fill(d, **v), **v) for d in DAY_FOLDERS[version] for f in STANDARD_FOLDERS]
 
 
-def file_path_candidates(parsed: DataFrame, filename: Column | None = None) -> DataFrame:
-    """``prio, file_path``: where a file of a parsed identifier may lie under ``root``, best place first."""
+def _by_version(v1: Column, v2: Column) -> Column:
+    return F.when(F.col("schema_version") == "v1", v1).otherwise(v2)
+
+
+def raw_paths(filename: Column | None = None) -> Column:
+    """Where a file of a parsed identifier may lie under ``root``, best place first."""
     name = F.concat_ws(".", "bin_lid", "extension") if filename is None else filename
-    paths = F.when(F.col("schema_version") == "v1", F.array(*_standard(name, "v1"))).otherwise(
-        F.array(*_standard(name, "v2")))
-    return parsed.select("*", F.posexplode(paths).alias("prio", "file_path"))
+    return _by_version(*[F.array(*_standard(name, v)) for v in ("v1", "v2")])
+
+
+def file_path_candidates(parsed: DataFrame, filename: Column | None = None) -> DataFrame:
+    """``prio, file_path``: every place of ``raw_paths``."""
+    return parsed.select("*", F.posexplode(raw_paths(filename)).alias("prio", "file_path"))
 
 
 def raw_destination(parsed: DataFrame) -> DataFrame:
-    return file_path_candidates(parsed).where("prio = 0").drop("prio")
+    name = F.concat_ws(".", "bin_lid", "extension")
+    return parsed.withColumn("file_path", _by_version(*[_standard(name, v)[0] for v in ("v1", "v2")]))
 
 
-def product_path_candidates(parsed: DataFrame) -> DataFrame:
-    """As ``file_path_candidates`` for the file names and folders of the row's ``product``."""
-    v = _row_values()
-    arrays = F.array().cast("array<string>")
-    for product, files in PRODUCT_FILES.items():
+def _product_options(product: str, version: str) -> list[Column]:
+    """Paths of a product below ``root``, best first."""
+    v, options = _row_values(), []
+    for name in (_fill(f, **v) for f in PRODUCT_FILES[product]):
+        options += [_fill(folder, filename=name, **v) for folder in PRODUCT_FOLDERS.get(product, [])]
+        options += _standard(name, version)
+    return options
+
+
+def _per_product(value, otherwise: Column) -> Column:
+    """``value(options)`` for the options of the row's product and version."""
+    out = otherwise
+    for product in PRODUCT_FILES:
         for version in ("v1", "v2"):
-            options = []
-            for name in (_fill(f, **v) for f in files):
-                options += [_fill(folder, filename=name, **v) for folder in PRODUCT_FOLDERS.get(product, [])]
-                options += _standard(name, version)
             hit = (F.col("product") == product) & (F.col("schema_version") == version)
-            arrays = F.when(hit, F.array(*options)).otherwise(arrays)
-    return parsed.select("*", F.posexplode(arrays).alias("prio", "file_path"))
+            out = F.when(hit, value(_product_options(product, version))).otherwise(out)
+    return out
+
+
+def product_paths() -> Column:
+    """As ``raw_paths`` for the file names and folders of the row's ``product``."""
+    return _per_product(lambda options: F.array(*options), F.array().cast("array<string>"))
 
 
-def first_existing(candidates: DataFrame, listing: DataFrame, key: Sequence[str], rank: Sequence[str] = ("prio",)) -> DataFrame:
-    """The best candidate that is in the listing; a minimum per key, combined before the shuffle."""
-    found = candidates.join(listing.select(F.col("path").alias("file_path")), "file_path", "left_semi")
-    return found.groupBy(*key).agg(F.min_by("file_path", F.struct(*rank)).alias("file_path"))
+def product_path_candidates(parsed: DataFrame) -> DataFrame:
+    return parsed.select("*", F.posexplode(product_paths()).alias("prio", "file_path"))
+
+
+def _file_name(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def _rank(path: Column, options: Sequence[Column]) -> Column:
+    """Place of a path among its options, null for none; later options are only built if the earlier ones differ."""
+    return F.coalesce(*[F.when(path == o, F.lit(i)) for i, o in enumerate(options)])
+
+
+def _raw_rank(path: Column, name: Column) -> Column:
+    return _by_version(*[_rank(path, _standard(name, v)) for v in ("v1", "v2")])
 
 
 def raw_file_find(parsed: DataFrame, listing: DataFrame, key: Sequence[str]) -> DataFrame:
-    return first_existing(file_path_candidates(parsed), listing, key)
+    """Best listed place of each identifier's file: joined by file name, then ranked by folder."""
+    named = parsed.withColumn("_name", F.concat_ws(".", "bin_lid", "extension"))
+    listed = listing.select(F.col("path").alias("file_path"), _file_name(F.col("path")).alias("_name"))
+    found = named.join(listed, "_name").withColumn("_prio", _raw_rank(F.col("file_path"), F.col("_name"))).where("_prio IS NOT NULL")
+    return found.groupBy(*key).agg(F.min_by("file_path", "_prio").alias("file_path"))
 
 
 def fileset_multi_root(parsed: DataFrame, listing: DataFrame, key: Sequence[str]) -> DataFrame:
     """First root (by ``root_order``) that holds all three files of a bin."""
-    three = parsed.drop("extension").withColumn("extension", F.explode(F.array(*[F.lit(e) for e in EXTENSIONS])))
-    found = file_path_candidates(three).join(listing.select(F.col("path").alias("file_path")), "file_path", "left_semi")
-    best = [F.min_by(F.when(F.col("extension") == e, F.col("file_path")),
-                     F.when(F.col("extension") == e, F.col("prio"))).alias(f"{e}_path") for e in EXTENSIONS]
+    name = _file_name(F.col("path"))
+    listed = listing.select(F.col("path").alias("file_path"), name.alias("_name"), F.substring_index(name, ".", -1).alias("_ext")).where(
+        F.col("_ext").isin(*EXTENSIONS)).withColumn("bin_lid", F.expr("substring(_name, 1, length(_name) - 4)"))
+    found = parsed.drop("extension").join(listed, "bin_lid").withColumn("_prio", _raw_rank(F.col("file_path"), F.col("_name"))).where("_prio IS NOT NULL")
+    best = [F.min_by(F.when(F.col("_ext") == e, F.col("file_path")), F.when(F.col("_ext") == e, F.col("_prio"))).alias(f"{e}_path") for e in EXTENSIONS]
     per_root = found.groupBy(*key, "root_order").agg(*best).na.drop(subset=[f"{e}_path" for e in EXTENSIONS])
     paths = F.struct(*[f"{e}_path" for e in EXTENSIONS])
     return per_root.groupBy(*key).agg(F.min_by(paths, "root_order").alias("p")).select(*key, "p.*")
@@ -106,14 +139,25 @@ def raw_fileset_find(parsed: DataFrame, listing: DataFrame, key: Sequence[str])
     return fileset_multi_root(parsed.withColumn("root_order", F.lit(0)), listing, key)
 
 
-def product_find(parsed: DataFrame, listing: DataFrame, key: Sequence[str]) -> DataFrame:
-    found = first_existing(product_path_candidates(parsed), listing, key)
-    return found.withColumnRenamed("file_path", "product_path")
+def product_files(listing: DataFrame) -> DataFrame:
+    """``file_path, product, bin_lid`` of listed files whose name ends like a file of a product; a name may be read in several ways."""
+    endings = {(p, f.rsplit("/", 1)[-1].removeprefix("{lid}")) for p, fs in (PRODUCT_FILES | {p: PRODUCT_FILES[p] + [
+        f for f in PRODUCT_FOLDERS[p] if not f.endswith("{filename}")] for p in PRODUCT_FOLDERS}).items() for f in fs}
+    rows = listing.select(F.col("path").alias("file_path"), _file_name(F.col("path")).alias("_name"))
+    read = [F.when(F.col("_name").endswith(e), F.struct(F.lit(p).alias("product"), F.expr(f"substring(_name, 1, length(_name) - {len(e)})").alias("bin_lid")))
+            for p, e in sorted(endings)]
+    return rows.select("file_path", F.explode(F.array_compact(F.array(*read))).alias("_as")).select("file_path", "_as.*")
+
 
+def product_find_multi_root(parsed: DataFrame, listing: DataFrame, key: Sequence[str], rank: Sequence[str] = ("root_order", "_prio")) -> DataFrame:
+    """Best listed file of each identifier's product over several roots: joined by what the file names say, then ranked by folder."""
+    found = parsed.join(product_files(listing), ["product", "bin_lid"])
+    ranked = found.withColumn("_prio", F.array_position(product_paths(), F.col("file_path"))).where("_prio > 0")
+    return ranked.groupBy(*key).agg(F.min_by("file_path", F.struct(*rank)).alias("product_path"))
 
-def product_find_multi_root(parsed: DataFrame, listing: DataFrame, key: Sequence[str]) -> DataFrame:
-    found = first_existing(product_path_candidates(parsed), listing, key, ("root_order", "prio"))
-    return found.withColumnRenamed("file_path", "product_path")
+
+def product_find(parsed: DataFrame, listing: DataFrame, key: Sequence[str]) -> DataFrame:
+    return product_find_multi_root(parsed, listing, key, ["_prio"])
 
 
 def _three_of(files: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -202,7 +246,8 @@ def product_destination(parsed: DataFrame, series: DataFrame, data_dirs: DataFra
         F.min_by("path", F.struct("priority", "path")).alias("root"))
     typed = parsed.withColumn("_type", F.when(F.col("product") == "multiblob", "features").otherwise(F.col("product")))
     placed = typed.join(first, ["ts_label", "_type"]).drop("_type")
-    return product_path_candidates(placed).where("prio = 0").drop("prio").withColumnRenamed("file_path", "destination")
+    best = _per_product(lambda options: options[0], F.lit(None).cast("string"))
+    return placed.withColumn("destination", best).where("destination IS NOT NULL")
 
 
 def check_roots(data_dirs: DataFrame, listing: DataFrame) -> DataFrame:

@@ -487,9 +487,9 @@ LISTED = PARSED + """, listing AS (SELECT DISTINCT file_path AS path FROM cand W
 
 def _cand_listing(t):
     """Existing files: some candidates of the orders themselves."""
-    cand = files.file_path_candidates(_parsed(t).withColumn("root", F.lit("/r")))
-    there = (F.col("o_orderkey") % 4 == F.col("prio") % 4) & ~F.col("prio").isin(1, 4, 7)
-    return cand.where(there).select(F.col("file_path").alias("path")).distinct()
+    rows = _parsed(t).withColumn("root", F.lit("/r"))
+    there = F.filter(files.raw_paths(), lambda p, i: (F.col("o_orderkey") % 4 == i % 4) & ~i.isin(1, 4, 7))
+    return rows.select(F.explode(there).alias("path")).distinct()
 
 
 @query("raw_file_find", LISTED + """SELECT o_orderkey, arg_min(file_path, prio) AS file_path FROM cand WHERE file_path IN
@@ -523,20 +523,22 @@ def _(t):
 
 
 @query("raw_fileset_find", SETS + """, one AS (SELECT bin_lid, min(yearday) AS yearday, min(year) AS year FROM have GROUP BY bin_lid HAVING count(DISTINCT e) = 3)
-SELECT o_orderkey, '/r/' || p.year || '/D' || p.yearday || '/' || p.bin_lid || '.hdr' AS hdr_path FROM parsed p JOIN one USING (bin_lid)""")
+SELECT o_orderkey, base || '.hdr' AS hdr_path, base || '.adc' AS adc_path, base || '.roi' AS roi_path FROM
+  (SELECT o_orderkey, '/r/' || p.year || '/D' || p.yearday || '/' || p.bin_lid AS base FROM parsed p JOIN one USING (bin_lid))""")
 def _(t):
     rows = _parsed(t).withColumn("root", F.lit("/r"))
-    return files.raw_fileset_find(rows, _fileset_files(t), ["o_orderkey"]).select("o_orderkey", "hdr_path")
+    return files.raw_fileset_find(rows, _fileset_files(t), ["o_orderkey"])
 
 
-@query("list_raw_filesets", SETS + "SELECT bin_lid AS lid, base || '.hdr' AS hdr_path, base || '.roi' AS roi_path FROM complete WHERE root = '/a'")
+@query("list_raw_filesets", SETS + """SELECT bin_lid AS lid, base || '.hdr' AS hdr_path, base || '.adc' AS adc_path, base || '.roi' AS roi_path
+  FROM complete WHERE root = '/a'""")
 def _(t):
-    return files.list_raw_filesets(_fileset_files(t, ("/a", "/b")), "/a").select("lid", "hdr_path", "roi_path")
+    return files.list_raw_filesets(_fileset_files(t, ("/a", "/b")), "/a")
 
 
-@query("union_roots", SETS + "SELECT bin_lid AS lid, base || '.hdr' AS hdr_path FROM complete")
+@query("union_roots", SETS + "SELECT bin_lid AS lid, base || '.hdr' AS hdr_path, base || '.adc' AS adc_path, base || '.roi' AS roi_path FROM complete")
 def _(t):
-    return files.union_roots(_fileset_files(t, ("/a", "/b")), ["/a", "/b"]).select("lid", "hdr_path")
+    return files.union_roots(_fileset_files(t, ("/a", "/b")), ["/a", "/b"])
 
 
 @query("validate_data_dir", "SELECT '/a' AS root UNION ALL SELECT '/b'")
