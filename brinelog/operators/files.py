@@ -152,7 +152,8 @@ def product_files(listing: DataFrame) -> DataFrame:
 def product_find_multi_root(parsed: DataFrame, listing: DataFrame, key: Sequence[str], rank: Sequence[str] = ("root_order", "_prio")) -> DataFrame:
     """Best listed file of each identifier's product over several roots: joined by what the file names say, then ranked by folder."""
     found = parsed.join(product_files(listing), ["product", "bin_lid"])
-    ranked = found.withColumn("_prio", F.array_position(product_paths(), F.col("file_path"))).where("_prio > 0")
+    # behind an explode the long expression is evaluated once, not in the filter and again in the aggregate
+    ranked = found.withColumn("_prio", F.explode(F.array(F.array_position(product_paths(), F.col("file_path"))))).where("_prio > 0")
     return ranked.groupBy(*key).agg(F.min_by("file_path", F.struct(*rank)).alias("product_path"))
 
 
