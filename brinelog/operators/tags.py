@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brinelog.functions.stems import stem
 from brinelog.operators.feed import having_all_tags, page_query, skip_clause
-from brinelog.operators.ordered import all_of
+from brinelog.operators.ordered import all_of, any_of
 
 # English words a comment search ignores.
 STOP_WORDS = set(
@@ -86,24 +88,42 @@ def tag_autocomplete(bin_tags: DataFrame, stem: str) -> DataFrame:
 
 
 def search_terms(text: str) -> list[str]:
+    """Different stems of the words of a query, without stop words."""
     words = re.findall(r"[a-z0-9]+", text.lower())
-    return [re.sub(r"(?<=\w{3})(ing|ed|es|s)$", "", w) for w in words if w not in STOP_WORDS]
+    return sorted({stem(w) for w in words if w not in STOP_WORDS})
 
 
-def term_pattern(term: str) -> str:
-    """The term or one of its plain inflections as a whole word (approximate stemming)."""
-    return f"(^|[^a-z0-9]){term}(ing|ed|es|s)?([^a-z0-9]|$)"
+def comment_words(comments: DataFrame, key: str = "id") -> DataFrame:
+    """``key, word``: each word of a comment once, in lower case."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("comment"), F.lit("[a-z0-9]+"), 0))
+    return comments.select(key, F.explode(words).alias("word"))
 
 
-def search_comments(comments: DataFrame, text: str, bins: DataFrame | None = None, label: str | None = None) -> DataFrame:
-    """Comments that hold every term of ``text``; stop words and inflections do not count."""
+def inflections(words: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """``word, term``: the different words among ``words`` whose stem is one of ``terms``.
+
+    Only words that begin like a term are stemmed, each once: stemming never changes the first letter.
+    """
+    @F.pandas_udf("string")
+    def stems(column: pd.Series) -> pd.Series:
+        return column.map(stem)
+
+    near = words.where(any_of([F.col("word").startswith(t[:1]) for t in terms])).select("word").distinct()
+    return near.withColumn("term", stems("word")).where(F.col("term").isin(*terms))
+
+
+def search_comments(comments: DataFrame, text: str, bins: DataFrame | None = None, label: str | None = None, key: str = "id") -> DataFrame:
+    """Comments that hold every term of ``text``, in any inflection; stop words do not count. ``key`` names a comment."""
     terms = search_terms(text)
-    low = F.lower("comment")
-    found = comments.where(all_of([low.rlike(term_pattern(t)) for t in terms]) if terms else F.lit(False))
+    if not terms:
+        return comments.limit(0)
     if label is not None:
         wanted = bins.where(F.col("ts_label") == label).select(F.col("id").alias("bin_id"))
-        found = found.join(wanted, "bin_id", "left_semi")
-    return found
+        comments = comments.join(wanted, "bin_id", "left_semi")
+    words = comment_words(comments, key)
+    held = words.join(inflections(words, terms), "word").groupBy(key).agg(*[F.bool_or(F.col("term") == t).alias(f"_t{i}") for i, t in enumerate(terms)])
+    hits = held.where(all_of([F.col(f"_t{i}") for i in range(len(terms))]))
+    return comments.join(hits.select(key), key, "left_semi")
 
 
 def author_lookup(rows: DataFrame, users: DataFrame) -> DataFrame:

@@ -47,11 +47,11 @@ def _(t):
 
 
 @query("search_comments", r"""SELECT id FROM bin_comments WHERE regexp_matches(lower(comment),
-  '(^|[^a-z0-9])tion(ing|ed|es|s)?([^a-z0-9]|$)') OR regexp_matches(lower(comment),
-  '(^|[^a-z0-9])license(ing|ed|es|s)?([^a-z0-9]|$)')""")
+  '(^|[^a-z0-9])(tion|tions|tione|tiones|tioned|tionedly|tioning|tioningly|tionly|tionlyed|tionlying|tionlys|tionness)([^a-z0-9]|$)') OR
+  regexp_matches(lower(comment), '(^|[^a-z0-9])(license|licenses|licensed|licensing|licens)([^a-z0-9]|$)')""")
 def _(t):
     one = tags.search_comments(t.bin_comments, "the tion").select("id")
-    two = tags.search_comments(t.bin_comments, "the license").select("id")
+    two = tags.search_comments(t.bin_comments, "the licenses").select("id")
     return one.union(two).distinct()
 
 

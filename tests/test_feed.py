@@ -66,7 +66,7 @@ def test_tags_and_terms(spark, bins):
     added = tags.add_tag(t, spark.createDataFrame([(0, "X!"), (3, "New Tag"), (3, "new tag")], "bin_id long, tag string"))
     assert sorted((r.bin_id, r.tag) for r in added.collect()) == [(0, "x"), (0, "y"), (1, "x"), (2, "y"), (3, "new tag")]
     c = spark.createDataFrame([(1, "Two diatoms were seen."), (2, "a diatom"), (3, "seeing nothing")], "bin_id long, comment string")
-    assert {r.bin_id for r in tags.search_comments(c, "the diatoms").collect()} == {1, 2}
+    assert {r.bin_id for r in tags.search_comments(c, "the diatoms", key="bin_id").collect()} == {1, 2}
     assert tags.search_comments(c, "the").count() == 0
 
 
