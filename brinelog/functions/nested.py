@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,18 +14,39 @@ def selector_steps(expr: str) -> list[str]:
     return [s for s in re.split(r"\s+", re.sub(r":", " :", expr)) if s]
 
 
-def json_select(df: DataFrame, col: str, expr: str, out: str) -> DataFrame:
-    """One row per hit of a selector chain: ``key``, ``key=value``, ``:first``, ``:last``.
+def json_hits(df: DataFrame, col: str, expr: str, out: str) -> DataFrame:
+    """One row per hit of a selector chain, as a variant: ``key``, ``key=value``, ``:first``, ``:last``.
 
-    A list passes its items on, an object without the key is itself a hit, a scalar is a hit even with steps left.
-    Hits come out as text: scalars plain, objects as JSON. The JSON is parsed once into a variant.
+    A list passes its items on, an object without the key is itself a hit, a scalar is a hit even with steps left. The JSON is parsed once;
+    a null document has no hits.
     """
     work = df.withColumns({"_v": F.parse_json(col), "_done": F.lit(False)})
     for step in selector_steps(expr):
         work = _step(work, step)
     items = F.when(_kind(F.col("_v"), "ARRAY"), F.col("_v").cast("array<variant>")).otherwise(F.array("_v"))
     work = work.withColumn("_v", F.explode(F.when(F.col("_done"), F.array("_v")).otherwise(items)))
-    return work.withColumn(out, F.col("_v").cast("string")).drop("_done", "_v")
+    return work.withColumn(out, F.col("_v")).drop("_done", "_v")
+
+
+def json_select(df: DataFrame, col: str, expr: str, out: str) -> DataFrame:
+    """Hits as text: scalars plain, objects as JSON."""
+    return json_hits(df, col, expr, out).withColumn(out, F.col(out).cast("string"))
+
+
+def json_bind(df: DataFrame, col: str, expr: str = "", names: Sequence[str] | None = None) -> DataFrame:
+    """Every object that a selector chain hits binds all its keys: one row per object, one text column per key.
+
+    A key that an object has replaces a column of the same name; one that it lacks leaves that column as it was, or null where there is none. Hits that
+    are no objects bind nothing and give no row. Without ``names`` one pass over the hits finds the keys that occur; with them there is no
+    such pass, and other keys are left out.
+    """
+    hits = json_hits(df, col, expr, "_hit").where(_kind(F.col("_hit"), "OBJECT"))
+    hits = hits.withColumn("_keys", F.from_json(F.to_json("_hit"), "map<string,string>")).drop("_hit")
+    if names is None:
+        names = sorted(r.key for r in hits.select(F.explode(F.map_keys("_keys")).alias("key")).distinct().collect())
+    held = F.col("_keys")
+    bound = {n: F.when(F.map_contains_key(held, n), held[n]).otherwise(F.col(n).cast("string")) if n in df.columns else held[n] for n in names}
+    return hits.withColumns(bound).drop("_keys")
 
 
 def _kind(value: Column, name: str) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 from brinelog.functions import ids, nested, text, times
 from brinelog.operators import ordered, rules
 from brinelog.plans.registry import query
+from brinelog.session import scratch_path
+from brinelog.sources import readers
 
 L = "l_orderkey, l_linenumber, l_partkey, l_quantity"
 LC = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
@@ -301,6 +303,33 @@ def _(t):
     return nested.json_select(rows, "props", "k", "k").select("id", "k")
 
 
+def _catalogue(t):
+    """One document per order: a list of two objects with different keys, and a note."""
+    key = F.col("o_orderkey").cast("string")
+    plain = F.struct(F.concat_ws("_", key, F.lit("1")).alias("pid"), (F.col("o_custkey") % 2).alias("stitched"))
+    more = F.struct(F.concat_ws("_", key, F.lit("2")).alias("pid"), F.lit(1).alias("stitched"), F.col("o_orderstatus").alias("status"))
+    lists = F.array(F.to_json(plain), F.to_json(more))
+    return F.concat(F.lit('{"note": "made", "targets": ['), F.concat_ws(",", lists), F.lit("]}"))
+
+
+@query("json_scan_open", """, j AS (SELECT o_orderkey, o_orderstatus, o_custkey, unnest([1, 2]) AS i FROM orders)
+SELECT o_orderkey, o_orderkey || '_' || i AS pid, CASE i WHEN 1 THEN (o_custkey % 2)::VARCHAR ELSE '1' END AS stitched,
+  CASE i WHEN 2 THEN o_orderstatus ELSE 'outer' END AS status FROM j WHERE i = 2 OR o_custkey % 2 = 1""")
+def _(t):
+    rows = t.orders.select("o_orderkey", F.lit("outer").alias("status"), _catalogue(t).alias("doc"))
+    return nested.json_bind(rows, "doc", "targets stitched=1").drop("doc")
+
+
+@query("json_file_scan", "SELECT 's' || s_suppkey AS pid, s_name AS name, s_acctbal::VARCHAR AS balance FROM supplier")
+def _(t):
+    """Documents as files, one for each supplier, read whole."""
+    doc = F.to_json(F.struct(F.struct(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("pid"), F.col("s_name").alias("name"),
+                                      F.col("s_acctbal").cast("string").alias("balance")).alias("supplier")), {"pretty": "true"})
+    folder = scratch_path(t.spark, "json-files")
+    t.supplier.select(doc.alias("value"), "s_suppkey").write.partitionBy("s_suppkey").text(folder)
+    return nested.json_bind(readers.json_file_scan(t.spark, folder).select("doc"), "doc", "supplier").drop("doc")
+
+
 @query("map_recursive", """SELECT p_partkey, p_name || '!' AS name, p_size || '!' AS size FROM part""")
 def _(t):
     d = t.part.select("p_partkey", F.struct("p_name", F.array("p_size").alias("sizes")).alias("s"))

@@ -89,6 +89,17 @@ def test_json_selectors(spark, expr, want):
     assert [r.v for r in nested.json_select(df, "j", expr, "v").collect()] == want
 
 
+def test_json_objects_bind_their_keys(spark):
+    docs = [{"rows": [{"a": 1, "it's": [1, 2]}, {"b": {"c": None}, "a": None}, 7, "text", [{"a": 9}]]}, {"rows": []}, {"other": {"a": "x"}}, 5, None]
+    df = spark.createDataFrame([(k, "outer", None if d is None else json.dumps(d)) for k, d in enumerate(docs)], "k int, b string, j string")
+    got = nested.json_bind(df, "j", "rows").drop("j")
+    assert got.columns == ["k", "b", "a", "it's", "other"]
+    rows = sorted(map(tuple, got.collect()), key=repr)
+    assert rows == [(0, "outer", "1", "[1,2]", None), (0, '{"c":null}', None, None, None), (2, "outer", None, None, '{"a":"x"}')]
+    assert [tuple(r) for r in nested.json_bind(df.where("k = 0"), "j", "rows:first", ["a", "none"]).select("k", "a", "none").collect()] == [(0, "1", None)]
+    assert nested.json_bind(df.limit(0), "j").columns == ["k", "b", "j"]
+
+
 def test_json_object_without_the_key_is_a_hit(spark):
     df = spark.createDataFrame([('{"a":1}',)], "j string")
     assert json.loads(nested.json_select(df, "j", "zzz", "v").first().v) == {"a": 1}
