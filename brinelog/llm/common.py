@@ -44,11 +44,28 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(name: tuple, make: Callable[[], object]) -> object:
+    """An object, such as an encoder with the words it has met, that a Python worker keeps from task to task; only the last one asked for."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def nothing_kept() -> None:
+    """Let go what an earlier task of another operator has kept: workers are used again, and several share the memory of an executor."""
+    _KEPT.clear()
+
+
 def per_batch(fn: Callable[[pa.RecordBatch], dict], ddl: str) -> Rows:
     """Task function that turns each batch into the columns ``fn`` gives (name to list or array)."""
     schema = arrow_schema(ddl)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing_kept()
         for batch in batches:
             columns = fn(batch)
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)

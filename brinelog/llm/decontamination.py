@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinelog.llm.common import arrow_schema, materialize, texts_of
+from brinelog.llm.common import arrow_schema, materialize, nothing_kept, texts_of
 
 BLOCK_BYTES = 32 << 20
 _FOLD = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 32 for c in range(256))
@@ -98,6 +98,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: i
         held = spark.sparkContext.broadcast(block)
 
         def run(batches, held=held, columns=len(docs.columns)):
+            nothing_kept()
             for batch in batches:
                 table: Windows = held.value
                 n_words, spans, items = [], [], []
@@ -131,6 +132,7 @@ def report(scanned: DataFrame) -> DataFrame:
     schema = arrow_schema(REPORT)
 
     def run(batches):
+        nothing_kept()
         for batch in batches:
             ids, n_words, spans, items = (c.to_pylist() for c in batch.columns)
             hit = [int(_covered(n, s).sum()) if s else 0 for n, s in zip(n_words, spans)]
@@ -156,6 +158,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, remov
     at, schema = docs.columns.index("text"), docs.schema
 
     def cut(batches):
+        nothing_kept()
         for batch in batches:
             texts = [t if t is None or not s else _without(t, n, s) for t, n, s in zip(
                 batch.column(at).to_pylist(), batch.column("_llm_words").to_pylist(), batch.column("_llm_spans").to_pylist())]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brinelog.llm.common import arrow_schema
+from brinelog.llm.common import arrow_schema, nothing_kept
 
 ORDERS = (2, 3, 4)
 SLOTS = 1 << 18
@@ -129,6 +129,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        nothing_kept()
         schema = arrow_schema(ddl)
         for batch in batches:
             labels, scores = held.value.predict(batch.column(2).to_pylist())
@@ -142,6 +143,7 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches):
+        nothing_kept()
         for batch in batches:
             texts = batch.column(at).to_pylist()
             labels = held.value.predict(texts)[0] if held.value.labels else ["und" if not any(map(str.isalpha, t or "")) else "" for t in texts]

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinelog.llm.common import arrow_schema, materialize
+from brinelog.llm.common import arrow_schema, materialize, nothing_kept
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -110,6 +110,7 @@ def _rows_of(docs: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, min_words: int, gram_words: int) -> DataFrame:
     """``anchor``: fingerprints of every document, each once per place."""
     def run(batches):
+        nothing_kept()
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 lines = Lines(batch.column(0).slice(i, 500).to_pylist(), min_words, gram_words)
@@ -123,6 +124,7 @@ def fingerprints(docs: DataFrame, min_words: int, gram_words: int) -> DataFrame:
 def windows(docs: DataFrame, min_words: int, gram_words: int) -> DataFrame:
     """Windows of every document by fingerprint, packed: hash, first line, end."""
     def run(batches):
+        nothing_kept()
         schema = arrow_schema(WINDOWS)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
@@ -148,6 +150,7 @@ def windows(docs: DataFrame, min_words: int, gram_words: int) -> DataFrame:
 
 
 def _unpack(batches):
+    nothing_kept()
     schema = arrow_schema("anchor long, doc_id long, text_key long, hash long, start int, end int")
     for batch in batches:
         sizes = np.array([len(x) for x in batch.column(3).to_pylist()], np.int64) // _WINDOW.itemsize
@@ -187,6 +190,7 @@ def _apply(docs: DataFrame, min_words: int, gram_words: int) -> DataFrame:
     out = docs.withColumns({"_llm_lines": F.lit(0).cast("long"), "_llm_deleted": F.lit(0).cast("long")}).schema
 
     def run(batches):
+        nothing_kept()
         schema = None
         for batch in batches:
             texts = batch.column(at).to_pylist()
@@ -219,6 +223,7 @@ REPORT = "doc_id long, n_lines long, n_deleted long, kept_chars long, kept_sha25
 def report(docs: DataFrame, min_words: int = 50, gram_words: int = 20) -> DataFrame:
     """Per document: its lines, the deleted ones, and length and hash of the text that is left (null: empty)."""
     def run(batches):
+        nothing_kept()
         schema = arrow_schema(REPORT)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.column(1).to_pylist()]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinelog.llm.common import arrow_schema, materialize
+from brinelog.llm.common import arrow_schema, kept, materialize
 
 DIMENSIONS, BITS = 4, 15  # 60 bits of key
 BUCKETS = 4096
@@ -115,15 +115,9 @@ def in_groups(texts: list[str], size: int = 1 << 20):
             start, held = i + 1, 0
 
 
-_ENCODERS: dict[tuple, WordEncoder] = {}
-
-
 def encoder_of(path: str, special: bool) -> WordEncoder:
-    """One encoder for a Python worker and file, kept from task to task."""
-    if (path, special) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path, special] = WordEncoder(path, special)
-    return _ENCODERS[path, special]
+    """One encoder for a Python worker and file."""
+    return kept(("packing", path, special), lambda: WordEncoder(path, special))
 
 
 class Projection:

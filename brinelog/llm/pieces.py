@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinelog.llm.common import arrow_schema, texts_of
+from brinelog.llm.common import arrow_schema, kept, texts_of
 
 SPACE = "▁"
 INFINITE = float("inf")
@@ -221,14 +221,11 @@ class Transducer:
 
 
 ENCODED = "doc_id long, ids array<int>"
-_model: dict[str, Transducer] = {}
 
 
 def _transducer(path: str) -> Transducer:
     """One transducer per Python worker."""
-    if path not in _model:
-        _model[path] = Transducer(path)
-    return _model[path]
+    return kept(("pieces", path), lambda: Transducer(path))
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinelog.llm.common import arrow_schema, components, materialize, per_batch, texts_of
+from brinelog.llm.common import arrow_schema, components, materialize, nothing_kept, per_batch, texts_of
 
 SEGMENT_BITS = 2
 
@@ -124,6 +124,7 @@ def links(rows: DataFrame, radius: int = 4, blocks: int = 8, differing: int | No
     kinds = ["fp"] + ["node"] * ("node" in rows.columns)
 
     def spread(batches):
+        nothing_kept()
         for batch in batches:
             columns = [np.asarray(c) for c in batch.columns]
             for i in range(0, batch.num_rows, 2000):
@@ -145,6 +146,7 @@ def links(rows: DataFrame, radius: int = 4, blocks: int = 8, differing: int | No
         return np.concatenate(found)
 
     def connect(batches):
+        nothing_kept()
         held: list[list[np.ndarray]] = []  # stretches of the cell that may go on
         seen: set[tuple[int, int]] = set()
 
@@ -225,6 +227,11 @@ def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     return not whole or shared / whole >= similarity
 
 
+def node_of(text: str) -> int:
+    """Hash of the words of a text: texts of the same words are one node."""
+    return signed(xxhash.xxh3_64_intdigest(b" ".join(text.encode().lower().split())))
+
+
 def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
     """How many documents have a shingle in each slot. Only the order of ``prefixes`` depends on it, never the pairs that are found."""
     ddl, blocks = "block int, counts binary", 16
@@ -234,6 +241,7 @@ def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array(raw, pa.binary())], schema=arrow_schema(ddl))
 
     def count(batches):
+        nothing_kept()
         counts = np.zeros(1 << _SLOTS, np.uint32)
         for batch in batches:
             for text in texts_of(batch):
@@ -241,6 +249,7 @@ def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
         yield parts(counts)
 
     def add(batches):
+        nothing_kept()
         held: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -263,24 +272,26 @@ def prefixes(docs: DataFrame, counts: np.ndarray, words: int, similarity: float)
     held = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches):
+        nothing_kept()
         schema = arrow_schema(TOKENS)
         for batch in batches:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
-                tokens, sizes = [np.zeros(0, np.uint64)], []
+                tokens, sizes, nodes = [np.zeros(0, np.uint64)], [], []
                 for text in texts_of(part):
                     own = shingle_set(text, words)
                     order = np.lexsort((own, held.value[own >> np.uint64(64 - _SLOTS)]))
                     sizes.append(len(own))
                     tokens.append(own[order[:len(own) - math.ceil(similarity * len(own) - 1e-9) + 1]])
+                    nodes.append(node_of(text))
                 taken = np.array([len(t) for t in tokens[1:]], np.int64)
                 rows = np.repeat(np.arange(part.num_rows), taken)
                 place = np.arange(len(rows)) - np.repeat(np.cumsum(taken) - taken, taken)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(tokens).view(np.int64)), part.column("node").take(pa.array(rows)),
+                    pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.array(nodes, np.int64)[rows]),
                     pa.array(np.array(sizes, np.int32)[rows]), pa.array(place.astype(np.int32))], schema=schema)
 
-    return docs.select("node", "text").mapInArrow(run, TOKENS)
+    return docs.select("text").mapInArrow(run, TOKENS)
 
 
 def per_token(rows: DataFrame, solve, ddl: str) -> DataFrame:
@@ -291,6 +302,7 @@ def per_token(rows: DataFrame, solve, ddl: str) -> DataFrame:
     names, schema = rows.columns, arrow_schema(ddl)
 
     def run(batches):
+        nothing_kept()
         held: list[list[np.ndarray]] = []  # stretches of the token that may go on
 
         def give(columns):
@@ -370,6 +382,7 @@ def verified(candidates: DataFrame, texts: DataFrame, words: int, similarity: fl
              .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"))
 
     def run(batches):
+        nothing_kept()
         known: dict[int, np.ndarray] = {}
 
         def own(node: int, text: str | None) -> np.ndarray:
@@ -400,13 +413,13 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     schema = "doc_id long, _llm_text_key long, node long"
 
     def run(batch: pa.RecordBatch) -> dict:
-        nodes = [signed(xxhash.xxh3_64_intdigest(b" ".join(t.encode().lower().split()))) for t in texts_of(batch)]
+        nodes = [node_of(t) for t in texts_of(batch)]
         return {"doc_id": batch.column(0), "_llm_text_key": batch.column(1), "node": nodes}
 
     rows = materialize(keyed.select(F.col("doc_id").cast("long"), "_llm_text_key", "text").mapInArrow(per_batch(run, schema), schema), "words")
     nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("doc_id", "_llm_text_key")).alias("first")), "nodes")
     counts = shingle_counts(docs, words)
-    tokens = materialize(shared_tokens(prefixes(_noded(keyed), counts, words, similarity)), "tokens")
+    tokens = materialize(shared_tokens(prefixes(docs, counts, words, similarity)), "tokens")
     texts = _texts_of_nodes(keyed, tokens.select("node").distinct().join(nodes, "node"))
     found, tried, roots = None, None, nodes.select("node", F.col("node").alias("root")).limit(0)
     first, end = 0, 1
@@ -427,16 +440,6 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_llm_text_key"]).select(*docs.columns)
 
 
-def _noded(keyed: DataFrame) -> DataFrame:
-    """``node, text`` of every document."""
-    def run(batches):
-        for batch in batches:
-            nodes = [signed(xxhash.xxh3_64_intdigest(b" ".join(t.encode().lower().split()))) for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), batch.column("text")], names=["node", "text"])
-
-    return keyed.select("text").mapInArrow(run, "node long, text string")
-
-
 def _texts_of_nodes(keyed: DataFrame, ends: DataFrame) -> DataFrame:
     """``node, text``: one text for every node of ``ends``."""
     wanted = ends.select("node", F.col("first.doc_id").alias("_llm_id"), F.col("first._llm_text_key").alias("_llm_key"))

@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinelog.llm.common import arrow_schema, materialize
+from brinelog.llm.common import arrow_schema, kept, materialize
 from brinelog.session import scratch_path
 
 MANIFEST = "part int, path string, n_ids long, n_docs long"
@@ -88,15 +88,9 @@ class Encoder:
             self.new.update((p, np.array(i, self.dtype).tobytes()) for p, i in zip(rest, self.plain(rest)))
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def encoder_of(path: str, special: bool) -> Encoder:
-    """The encoder of this Python worker for a file; only the last one asked for is kept."""
-    if (path, special) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path, special] = Encoder(path, special)
-    return _ENCODERS[path, special]
+    """The encoder of this Python worker for a file."""
+    return kept(("token files", path, special), lambda: Encoder(path, special))
 
 
 def _filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
