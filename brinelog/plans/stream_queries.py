@@ -56,6 +56,24 @@ def _(t):
     return t.spark.read.parquet(out).select("ts_label", "lid")
 
 
+def _all_windows(t, name, every, sums, slide=None):
+    out, checkpoint = flows.scratch(t.spark, name)
+    flows.windowed_with_late(_stream(t, "events"), "ts", every, sums, out, checkpoint, ["event_type"], slide)
+    return flows.all_windows(t.spark, out, ["event_type"], list(sums))
+
+
+@query("tenmin_window_late", "SELECT event_type, time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def _(t):
+    return _all_windows(t, "tenmin-late", "10 minutes", {"n": F.lit(1)})
+
+
+@query("metric_windows_late", """, w AS (SELECT event_type, k, time_bucket(INTERVAL 6 HOUR, ts) - to_hours(6 * unnest([0, 1, 2, 3])) AS start FROM event_k)
+SELECT event_type, start, CAST(sum(k) AS BIGINT) AS total, count(*) AS n FROM w GROUP BY 1, 2""")
+def _(t):
+    k = F.get_json_object("props", "$.k").cast("int")
+    return _all_windows(t, "metric-late", "1 day", {"total": k, "n": F.lit(1)}, "6 hours")
+
+
 @query("tenmin_window", """SELECT event_type, time_bucket(INTERVAL 10 MINUTE, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2
   HAVING time_bucket(INTERVAL 10 MINUTE, any_value(ts)) + INTERVAL 20 MINUTE <= (SELECT max(ts) FROM events)""")
 def _(t):

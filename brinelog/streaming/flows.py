@@ -5,11 +5,13 @@ Each flow takes a streaming (or, where noted, a batch) DataFrame; ``run_once`` d
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from brinelog.functions.times import instant, seconds_between
 from brinelog.operators import files, products
@@ -26,12 +28,29 @@ def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parque[t]")
 
 
-def run_once(stream: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None) -> None:
-    """Append all available input to a Parquet table, exactly once per input file."""
+def run_once(stream: DataFrame, path: str, checkpoint: str, partition_by: list[str] | None = None) -> StreamingQuery:
+    """Append all available input to a Parquet table, exactly once per input file; the finished query has the progress of its batches."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.trigger(availableNow=True).start(path).awaitTermination()
+    query = writer.trigger(availableNow=True).start(path)
+    query.awaitTermination()
+    return query
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB on the executors' disks; a batch reads its own keys and checkpoints its own changes."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+              "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -74,16 +93,14 @@ def accession(filesets: DataFrame, register: Callable[[DataFrame], DataFrame], o
     run_batches(filesets, each, checkpoint)
 
 
-def dedup(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Keep the first row of each (label, lid), however late another one comes: an anti-join with the batches stored before."""
-    def each(batch: DataFrame, number: int) -> None:
-        rows = batch.dropDuplicates(["ts_label", "lid"])
-        if number > 0:
-            stored = batch.sparkSession.read.parquet(out).where(F.col("batch") < number)
-            rows = rows.join(stored.select("ts_label", "lid"), ["ts_label", "lid"], "left_anti")
-        rows.write.mode("overwrite").parquet(_batch_path(out, number))
+def dedup(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Keep the first row of each (label, lid), however late another one comes; a missing label or lid is a value like any other.
 
-    run_batches(stream, each, checkpoint)
+    The state holds every key once, so it grows with the keys; a batch looks up its own keys only. The number of state partitions is
+    ``spark.sql.shuffle.partitions`` of the first start.
+    """
+    with keyed_state(stream.sparkSession):
+        return run_once(stream.dropDuplicates(["ts_label", "lid"]), out, checkpoint)
 
 
 # -- windows ----------------------------------------------------------------------------------------------------------
@@ -105,6 +122,49 @@ def metric_windows(stream: DataFrame, time: str, metric: Column, keys: list[str]
     return windowed(stream, time, every, [F.sum(metric).alias("total"), F.count("*").alias("n")], keys, slide)
 
 
+def windowed_with_late(stream: DataFrame, time: str, every: str, sums: Mapping[str, Column], out: str, checkpoint: str,
+                       keys: list[str] = [], slide: str | None = None, late: str = "10 minutes") -> None:
+    """Window sums with two outputs: ``out/closed`` has each closed window once, ``out/late`` the rows that came after one was closed.
+
+    A window closes once the latest time seen passed its end by ``late``. A row of ``late`` has the columns of the stream, the ``start`` of
+    the window it missed and its terms of the sums; with sliding windows it may miss some and reach others. Windows that are still open
+    are a table per micro-batch, read by the next one only. Rows without a time are in no window.
+    """
+    wait = F.expr(f"INTERVAL {late}")
+    shape = [*keys, "start", "end"]
+
+    def each(batch: DataFrame, number: int) -> None:
+        read = batch.sparkSession.read
+        put = lambda rows, part: rows.write.mode("overwrite").parquet(_batch_path(f"{out}/{part}", number))
+        before = {part: read.parquet(_batch_path(f"{out}/{part}", number - 1)) for part in ("state", "seen")} if number else {}
+        seen = before["seen"].agg(F.max("seen")).scalar() if number else F.lit(None).cast(batch.schema[time].dataType)
+        w = F.window(time, every, slide) if slide else F.window(time, every)
+        rows = batch.withColumns(dict(sums)).withColumn("_w", w).withColumns(
+            {"start": F.col("_w.start"), "end": F.col("_w.end")}).drop("_w")
+        missed = F.coalesce(F.col("end") <= seen - wait, F.lit(False))
+        put(rows.where(missed).drop("end"), "late")
+        fresh = rows.where(~missed).groupBy(*shape).agg(*[F.sum(c).alias(c) for c in sums], F.max(time).alias("_last"))
+        if number:
+            both = fresh.unionByName(before["state"].where(~missed))
+            merged = both.groupBy(*shape).agg(*[F.sum(c).alias(c) for c in sums], F.max("_last").alias("_last"))
+            fresh = merged.select([F.col(f.name).cast(f.dataType) for f in fresh.schema])
+        put(fresh, "state")
+        state = read.parquet(_batch_path(f"{out}/state", number))
+        put(state.agg(F.greatest(F.max("_last"), seen).alias("seen")), "seen")
+        seen = read.parquet(_batch_path(f"{out}/seen", number)).agg(F.max("seen")).scalar()
+        closes = F.coalesce(F.col("end") <= seen - wait, F.lit(False))
+        put(state.where(closes).drop("end", "_last"), "closed")
+        state.where(~closes).drop("end", "_last").write.mode("overwrite").parquet(f"{out}/open")
+
+    run_batches(stream, each, checkpoint)
+
+
+def all_windows(spark: SparkSession, out: str, keys: list[str], sums: list[str]) -> DataFrame:
+    """Closed and open windows of ``windowed_with_late``, with the late rows added to the windows they missed."""
+    closed, still_open, late = (spark.read.parquet(f"{out}/{part}").select(*keys, "start", *sums) for part in ("closed", "open", "late"))
+    return closed.unionByName(still_open).unionByName(late).groupBy(*keys, "start").agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def feed_freshness(bins: DataFrame, now: datetime) -> DataFrame:
     """Seconds since the latest bin of each series; the same aggregate runs on a stream in complete mode."""
     newest = bins.groupBy("ts_label").agg(F.max("sample_time").alias("latest"))

@@ -54,6 +54,42 @@ def test_late_rows_and_duplicates(spark, tmp_path):
     assert sorted((r.ts_label, r.lid) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", "1"), ("a", "2"), ("a", "3"), ("b", "1")]
 
 
+def test_seen_keys_cost_a_batch_no_more_than_its_own(spark, tmp_path):
+    schema, per_batch = "ts_label string, lid string, sample_time timestamp_ntz", 200
+    rows = [[("a" if b % 2 else None, str(k), datetime(2020, 1, 1)) for k in range(b * per_batch - per_batch // 2, (b + 1) * per_batch)] for b in range(20)]
+    stream = feed_files(spark, tmp_path / "in", rows, schema)
+    query = flows.dedup(stream, str(tmp_path / "out"), str(tmp_path / "check"))
+    got = [(r.ts_label, r.lid) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(map(str, got)) == sorted({str((x, k)) for batch in rows for x, k, _ in batch})
+    states = [p["stateOperators"][0] for p in query.recentProgress if p["numInputRows"]]
+    assert len(states) == 20 and states[-1]["numRowsTotal"] == len(got)
+    looked_up = [s["customMetrics"]["rocksdbGetCount"] for s in states]
+    written = [s["customMetrics"]["rocksdbBytesCopied"] for s in states]
+    assert max(looked_up) <= 2 * len(rows[0]) and max(written[5:]) <= 2 * max(written[:5]) + 100_000
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")  # set for this flow alone
+
+
+@pytest.mark.parametrize("slide", [None, "5 minutes"])
+def test_late_rows_are_kept(spark, tmp_path, slide):
+    schema, at = "k string, ts timestamp_ntz, v long", lambda h, m=0: datetime(2020, 1, 1, h, m)
+    batches = [[("a", at(1), 1), ("a", at(1, 5), 2), ("b", at(1, 2), 4)], [("a", at(2), 8), ("b", None, 16)], [("a", at(1, 3), 32), ("b", at(1, 58), None)],
+               [("b", at(1, 1), 64), ("b", at(1, 1), 64)], [("b", None, 1)], [("a", at(5), 128), ("a", at(1, 56), 256)]]
+    stream = feed_files(spark, tmp_path / "in", batches, schema)
+    sums = {"total": F.col("v"), "n": F.lit(1)}
+    out = str(tmp_path / "out")
+    flows.windowed_with_late(stream, "ts", "10 minutes", sums, out, str(tmp_path / "check"), ["k"], slide)
+    rows = spark.createDataFrame([r for b in batches for r in b], schema)
+    w = F.window("ts", "10 minutes", slide) if slide else F.window("ts", "10 minutes")
+    want = rows.groupBy("k", w.alias("w")).agg(F.sum("v").alias("total"), F.count("*").alias("n")).select("k", "w.start", "total", "n")
+    key = lambda df: sorted(map(repr, df.select("k", "start", "total", "n").collect()))
+    assert key(flows.all_windows(spark, out, ["k"], ["total", "n"])) == key(want)
+    closed = spark.read.parquet(f"{out}/closed")
+    assert closed.groupBy("k", "start").count().where("count > 1").isEmpty() and closed.count() > 0
+    if slide is None:
+        assert sorted((r.k, r.ts, r.v) for r in spark.read.parquet(f"{out}/late").collect()) == [("a", at(1, 3), 32), ("b", at(1, 1), 64), ("b", at(1, 1), 64)]
+        assert [(r.k, r.start) for r in spark.read.parquet(f"{out}/open").collect()] == [("a", at(5))]
+
+
 @pytest.mark.parametrize("files", [1, 3])
 def test_a_table_may_be_a_file_or_a_folder(spark, sf_dir, tmp_path, files):
     if files > 1:
