@@ -328,10 +328,7 @@ def filename_signature_count(paths: DataFrame, col: str = "path", share: float =
 
 
 def path_self_similarity(paths: DataFrame, col: str = "path") -> DataFrame:
-    """Per path length n and places (i, j): share of paths with equal characters there, the common prefix stripped.
-
-    Each Arrow batch is summed to one matrix per length inside the task, so that rows never multiply by n squared.
-    """
+    """Per path length n and places (i, j): share of paths with equal characters there, the common prefix stripped."""
     # The common prefix of all paths is that of the smallest and the largest one.
     ends = paths.agg(F.min(col).alias("lo"), F.max(col).alias("hi"))
     at = F.sequence(F.lit(1), F.greatest(F.length("lo"), F.lit(1)))
@@ -339,21 +336,43 @@ def path_self_similarity(paths: DataFrame, col: str = "path") -> DataFrame:
         (n == i - 1) & (F.substr("lo", F.lit(1), i) == F.substr("hi", F.lit(1), i)) & (i <= F.length("hi")), i).otherwise(n))
     prefix = ends.select(shared.alias("p")).scalar()
     rest = paths.select(F.substr(F.col(col), prefix + 1).alias("s")).where(F.length("s") > 0)
+    return equal_places(rest).groupBy("n", "i", "j").agg((F.sum("hits") / F.sum("paths")).alias("share"))
+
+
+def equal_places(strings: DataFrame, cells: int = 8_000_000) -> DataFrame:
+    """Per task, length n and places (i, j) of the strings ``s``: how many have equal characters there, of how many.
 
-    def partial(batches):
+    A task holds one matrix per length and gives it out at its end, so its rows depend on the lengths it meets, not on its strings. Once the
+    matrices have more than ``cells`` places together, they are given out and started anew.
+    """
+    def run(batches):
         import numpy as np
         import pandas as pd
+        sums, count, block = {}, {}, 500_000
+
+        def flushed():
+            for n, equal in sums.items():
+                step = max(1, block // n)
+                for a in range(0, n, step):
+                    i, j = np.indices(equal[a:a + step].shape)
+                    yield pd.DataFrame({"n": n, "i": (i + a).ravel(), "j": j.ravel(), "hits": equal[a:a + step].ravel(), "paths": count[n]})
+            sums.clear()
+            count.clear()
+
         for pdf in batches:
-            for n, group in pdf.groupby(pdf["s"].str.len()):
-                chars = np.array([[ord(ch) for ch in s] for s in group["s"]], dtype=np.int32)
-                equal = np.zeros((n, n), dtype=np.int64)
+            for n, group in pdf["s"].groupby(pdf["s"].str.len()):
+                n = int(n)
+                if n not in sums:
+                    if sums and sum(k * k for k in sums) + n * n > cells:
+                        yield from flushed()
+                    sums[n], count[n] = np.zeros((n, n), dtype=np.int64), 0
+                chars = np.frombuffer("".join(group).encode("utf-32-le"), dtype=np.uint32).reshape(-1, n)
                 for j in range(n):
-                    equal[:, j] = (chars == chars[:, j:j + 1]).sum(axis=0)
-                i, j = np.indices((n, n))
-                yield pd.DataFrame({"n": n, "i": i.ravel(), "j": j.ravel(), "hits": equal.ravel(), "paths": len(group)})
+                    sums[n][:, j] += (chars == chars[:, j:j + 1]).sum(axis=0)
+                count[n] += len(group)
+        yield from flushed()
 
-    sums = rest.mapInPandas(partial, "n long, i long, j long, hits long, paths long")
-    return sums.groupBy("n", "i", "j").agg((F.sum("hits") / F.sum("paths")).alias("share"))
+    return strings.select("s").mapInPandas(run, "n long, i long, j long, hits long, paths long")
 
 
 def diagonal_runs(similarity: DataFrame, at_least: float = 1.0, strict: bool = False, longer_than: int = 2) -> DataFrame:

@@ -74,3 +74,22 @@ def test_odd_listings(spark, parsed):
     assert files.raw_file_find(parsed, odd, ["k"]).collect() == []
     assert files.product_find(parsed, odd.limit(0), ["k"]).collect() == []
     assert files.fileset_multi_root(parsed, odd, ["k"]).collect() == []
+
+
+def test_places_are_summed_per_length_not_per_batch(spark):
+    words = ["".join(chr(97 + (i * j) % 3) for j in range(1 + i % 6)) for i in range(500)] + ["ü€", "x" * 50]
+    strings = spark.createDataFrame([(w,) for w in words], "s string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        whole, split = (files.equal_places(strings, cells).collect() for cells in (8_000_000, 30))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(whole) == sum(n * n for n in {len(w) for w in words})
+    want = {(n, i, j): (sum(w[i] == w[j] for w in words if len(w) == n), sum(len(w) == n for w in words))
+            for n in {len(w) for w in words} for i in range(n) for j in range(n)}
+    assert {(r.n, r.i, r.j): (r.hits, r.paths) for r in whole} == want
+    again = {}
+    for r in split:
+        a, b = again.get((r.n, r.i, r.j), (0, 0))
+        again[r.n, r.i, r.j] = (a + r.hits, b + r.paths)
+    assert again == want and len(split) > len(whole)
