@@ -16,8 +16,10 @@ from brinelog.functions.times import instant, micros, seconds_between
 
 def having_all_tags(bin_tags: DataFrame, tags: Sequence[str]) -> DataFrame:
     """Bins that hold every tag; any number of tags."""
-    hits = bin_tags.where(F.col("tag").isin(*tags)).groupBy("bin_id").agg(F.count_distinct("tag").alias("_n"))
-    return hits.where(F.col("_n") == len(set(tags))).select("bin_id")
+    asked = list(dict.fromkeys(tags))
+    hits = bin_tags.where(F.col("tag").isin(*asked)).groupBy("bin_id").agg(
+        *[F.bool_or(F.col("tag") == tag).alias(f"_{i}") for i, tag in enumerate(asked)])
+    return hits.where(" AND ".join(f"_{i}" for i in range(len(asked)))).select("bin_id")
 
 
 def tag_semi_join(bins: DataFrame, bin_tags: DataFrame, tags: Sequence[str]) -> DataFrame:
@@ -124,8 +126,9 @@ def file_totals(files: DataFrame) -> DataFrame:
 
 
 def total_data_volume(bins: DataFrame, files: DataFrame, label: str | None = None) -> DataFrame:
-    joined = bin_file_join(ts_query(bins, label, include_skip=True), file_totals(files))
-    return joined.agg(F.sum("bytes").alias("total_bytes"))
+    """Bytes of the files of these bins: files are semi-joined, then summed at once, so no row per bin is made."""
+    chosen = ts_query(bins, label, include_skip=True)
+    return files.join(chosen, files.bin_id == chosen.id, "left_semi").agg(F.sum("length").alias("total_bytes"))
 
 
 def _volume_by_day(bins: DataFrame, files: DataFrame, unit: int) -> DataFrame:

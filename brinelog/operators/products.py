@@ -58,9 +58,10 @@ def downstream_ready(products: DataFrame, dependencies: DataFrame, roles: Sequen
         up = products.where(F.col("state") == upstream_state).select(F.col("pid").alias("upstream"))
         edges = edges.join(up, "upstream", "left_semi")
     distinct = sorted(set(roles or []))
-    met = edges.groupBy(F.col("downstream").alias("pid")).agg(F.count("role").alias("_n"), F.count_distinct("role").alias("_roles"))
+    met = edges.groupBy(F.col("downstream").alias("pid")).agg(
+        F.count("role").alias("_n"), *[F.bool_or(F.col("role") == role).alias(f"_{i}") for i, role in enumerate(distinct)])
     if roles:
-        met = met.where((F.col("_n") == len(roles)) & (F.col("_roles") == len(distinct)))
+        met = met.where(F.col("_n") == len(roles)).where(" AND ".join(f"_{i}" for i in range(len(distinct))))
     wanted = products if state is None else products.where(F.col("state") == state)
     return wanted.join(met.select("pid"), "pid", "left_semi").orderBy("priority", "pid")
 
