@@ -2,16 +2,19 @@
 
 Base spans come from three fixed patterns. What they match in a bounded sample of documents is the labelled data: values of assignments,
 access keys and hexadecimal strings as credentials by kind. Ordinary tokens are those of words and short numbers (words, paths, hosts,
-file names); other long tokens have no label and are not learned from, so any number of them may be spans. For every kind a prefix tree of
-character classes is built and its states are merged as long as their continuations are statistically compatible (Hoeffding bound, red
-and blue states), which leaves a probabilistic automaton. A candidate is a long token with a digit and a letter outside the base spans; it is
-scored under every automaton, and is a span if the best credential format beats the ordinary automaton by the margin that parts
-credentials and ordinary tokens held out from learning.
+file names); other long tokens have no label and are not learned from, so any number of them may be spans. For every kind, however few its
+tokens, a prefix tree of character classes is built and its states are merged as long as they are statistically compatible (red and blue
+states): their continuations by the Hoeffding bound, and the lengths of what is left of their strings. Deep states see single strings, whose
+continuations are compatible with anything; the lengths keep them apart, so a format of fixed length becomes a chain of layers and one of
+varying length gets loops. A candidate is a long token with a digit and a letter outside the base spans; it is scored under every automaton.
+It is a span if its characters and its end are as likely under one credential format as those of credentials of that kind held out from
+learning (all but a hundredth of them), and it beats the ordinary automaton by the margin that parts held-out credentials and ordinary tokens.
 
 Scanning reads whole texts and all documents; only the fit is on a sample, whose bound is a parameter.
 
 Defined results: a null text is empty; positions are code points, ends exclusive; without labelled credentials no format is inferred and
-the base spans remain; repeated rows are scanned alike; other columns are ignored.
+the base spans remain; a kind whose labelled tokens are all shorter than a candidate has no format; repeated rows are scanned alike; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ ASSIGN_VALUE = 12
 KINDS = ("assign", "access", "hex")
 INFERRED = "inferred"
 FOLDS = 4
+CANDIDATE = 16  # characters a candidate has at least, as in TOKEN
+SHARE = 0.9  # of the lengths left in the thinner of two states that the other has seen too
 
 _WORDS = ("passw", "secret", "token", "api")  # each match of ASSIGN holds one of these
 TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
@@ -91,17 +96,20 @@ class Automaton:
         self.ends: list[int] = [0]
         self.next: list[dict[int, int]] = [{}]
         self.passed: list[dict[int, int]] = [{}]  # strings that leave a state by a class
+        self.left: list[dict[int, int]] = [{}]  # strings by the number of characters they have left in a state
         for s in strings:
             at = 0
             self.count[0] += 1
-            for c in (_CLASS_OF[x] for x in s):
+            self.left[0][len(s)] = self.left[0].get(len(s), 0) + 1
+            for rest, c in zip(range(len(s) - 1, -1, -1), (_CLASS_OF[x] for x in s)):
                 if c not in self.next[at]:
                     self.next[at][c] = len(self.count)
-                    for column, value in ((self.count, 0), (self.ends, 0), (self.next, {}), (self.passed, {})):
+                    for column, value in ((self.count, 0), (self.ends, 0), (self.next, {}), (self.passed, {}), (self.left, {})):
                         column.append(value)
                 self.passed[at][c] = self.passed[at].get(c, 0) + 1
                 at = self.next[at][c]
                 self.count[at] += 1
+                self.left[at][rest] = self.left[at].get(rest, 0) + 1
             self.ends[at] += 1
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
         self._merge_states()
@@ -109,7 +117,16 @@ class Automaton:
     def _differ(self, x: int, n: int, y: int, m: int) -> bool:
         return bool(n and m) and abs(x / n - y / m) > self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
 
+    def _same_lengths(self, a: int, b: int) -> bool:
+        thin, thick = sorted((a, b), key=lambda x: self.count[x])
+        x, y, n, m = self.left[thin], self.left[thick], self.count[thin], self.count[thick]
+        if sum(k for length, k in x.items() if length in y) < SHARE * n:
+            return False
+        return not any(self._differ(x.get(length, 0), n, y.get(length, 0), m) for length in x.keys() | y.keys())
+
     def _compatible(self, a: int, b: int) -> bool:
+        if not self._same_lengths(a, b):
+            return False
         todo = [(a, b)]
         seen = set()
         while todo:
@@ -136,6 +153,8 @@ class Automaton:
                 continue
             self.count[a] += self.count[b]
             self.ends[a] += self.ends[b]
+            for length, n in self.left[b].items():
+                self.left[a][length] = self.left[a].get(length, 0) + n
             for c, n in self.passed[b].items():
                 self.passed[a][c] = self.passed[a].get(c, 0) + n
                 if c in self.next[a]:
@@ -160,39 +179,50 @@ class Automaton:
             blue = [(r, k) for r in red for k in sorted(self.next[r]) if self.next[r][k] not in red]
         self.states = len(red)
 
-    def score(self, token: str) -> float:
-        """Log likelihood per character, ends included; a step never seen counts as a part of one string."""
+    def walk(self, token: str) -> tuple[float, float]:
+        """Log likelihood of the characters and of ending where they end. A step never seen counts as a part of one string and goes where
+        most strings go on, so that the place in the format is kept."""
         at, total = 0, 0.0
         for x in token:
             c = _CLASS_OF[x]
             n = self.count[at] if at is not None else 0
             seen = self.passed[at].get(c, 0) if at is not None else 0
             total += math.log((seen + 0.05) / (n + 0.05 * (len(_CLASSES) + 1))) - _WIDTH[c]
-            at = self.next[at].get(c) if at is not None else None
+            if at is not None:
+                steps = self.next[at]
+                at = steps[c] if c in steps else steps[max(steps, key=lambda k: (self.passed[at][k], -k))] if steps else None
         n, seen = (self.count[at], self.ends[at]) if at is not None else (0, 0)
-        total += math.log((seen + 0.05) / (n + 0.05 * (len(_CLASSES) + 1)))
-        return total / (len(token) + 1)
+        return total, math.log((seen + 0.05) / (n + 0.05 * (len(_CLASSES) + 1)))
+
+    def score(self, token: str) -> float:
+        """Log likelihood per character, the end included."""
+        return sum(self.walk(token)) / (len(token) + 1)
 
 
 class Formats:
-    """Automata of the kinds, of ordinary tokens, and the margin that parts them."""
+    """Automata of the kinds and of ordinary tokens; per kind, the likelihoods (characters, end) and the gain over ordinary tokens that a
+    span needs."""
 
     def __init__(self, labelled: list[tuple[str, str]], ordinary: list[str]):
         by_kind: dict[str, list[str]] = defaultdict(list)
         for kind, token in sorted(set(labelled)):
             if all(c in _CLASS_OF for c in token):
                 by_kind[kind].append(token)
-        by_kind = {k: v for k, v in by_kind.items() if len(v) >= 8}
+        by_kind = {k: v for k, v in by_kind.items() if any(len(t) >= CANDIDATE for t in v)}
         words = sorted({t for t in ordinary if all(c in _CLASS_OF for c in t)})
-        gains, others = [], []
-        for i in range(FOLDS):  # each token is judged by automata that have not seen it
-            self._learn({k: [t for n, t in enumerate(v) if n % FOLDS != i] for k, v in by_kind.items()}, [t for n, t in enumerate(words) if n % FOLDS != i])
-            gains += [self.gain(t) for v in by_kind.values() for t in v[i::FOLDS] if len(t) >= 16]
-            others += [self.gain(t) for t in words[i::FOLDS] if len(t) >= 16]
-        gains, others = sorted(gains), sorted(others)
-        least = gains[len(gains) // 20] if gains else math.inf  # all but a twentieth of the labelled credentials pass
-        most = others[len(others) - 1 - len(others) // 100] + 1e-9 if others else 0.0  # and no more than a hundredth of ordinary tokens
-        self.margin = max(least, most, 0.0)
+        held: dict[str, list[tuple[float, float, float]]] = defaultdict(list)  # likelihoods and gain of labelled tokens
+        others: list[float] = []
+        for i in range(FOLDS):  # each token is judged by automata that have not seen it; a kind's only token by its own
+            self._learn({k: [t for n, t in enumerate(v) if n % FOLDS != i or len(v) == 1] for k, v in by_kind.items()},
+                        [t for n, t in enumerate(words) if n % FOLDS != i])
+            for k, v in by_kind.items():
+                held[k] += [self._judge(k, t, self.ordinary.score(t)) for t in v[i::FOLDS] if len(t) >= CANDIDATE]
+            others += [self.gain(t) for t in words[i::FOLDS] if len(t) >= CANDIDATE]
+        others = sorted(others)
+        most = others[len(others) - 1 - len(others) // 100] + 1e-9 if others else 0.0  # no more than a hundredth of ordinary tokens pass
+        # and all but a hundredth of the labelled credentials of a kind by each likelihood, all but a fiftieth by gain
+        self.least = {k: (*(sorted(x)[len(v) // 100] for x in list(zip(*v))[:2]), max(sorted(g for _, _, g in v)[len(v) // 50], most, 0.0))
+                      for k, v in held.items()}
         self._learn(by_kind, words)
 
     def _learn(self, by_kind: dict[str, list[str]], words: list[str]) -> None:
@@ -202,12 +232,18 @@ class Formats:
     def gain(self, token: str) -> float:
         return max((a.score(token) for a in self.kinds.values()), default=-math.inf) - self.ordinary.score(token)
 
+    def _judge(self, kind: str, token: str, plain: float) -> tuple[float, float, float]:
+        chars, end = self.kinds[kind].walk(token)
+        return chars / len(token), end, (chars + end) / (len(token) + 1) - plain
+
     def secret(self, token: str) -> bool:
-        return bool(self.kinds) and self.gain(token) >= self.margin
+        plain = self.ordinary.score(token)
+        return any(all(x >= y for x, y in zip(self._judge(k, token, plain), self.least[k])) for k in self.kinds)
 
 
-def fit(docs: DataFrame, rows: int = 20_000, each: int = 2000, max_chars: int = 20_000) -> Formats:
-    """Formats from at most ``rows`` documents of at most ``max_chars`` characters, drawn by a hash, and at most ``each`` tokens of a kind."""
+def fit(docs: DataFrame, rows: int = 20_000, each: int = 2000, max_chars: int = 20_000, max_token: int = 200) -> Formats:
+    """Formats from at most ``rows`` documents of at most ``max_chars`` characters, drawn by a hash, and at most ``each`` tokens of a kind,
+    of at most ``max_token`` characters; these bound what is learned from, not what is scanned."""
     ddl = "kind string, token string"
 
     def label(batches):
@@ -225,7 +261,7 @@ def fit(docs: DataFrame, rows: int = 20_000, each: int = 2000, max_chars: int =
     n = docs.count()
     draw = F.pmod(F.xxhash64(F.lit("secrets"), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = docs.where((F.char_length("text") <= max_chars) & (draw < F.lit(rows / max(1, n)))).select("text")
-    tokens = sample.mapInArrow(label, ddl).where(F.char_length("token") <= 200).distinct()
+    tokens = sample.mapInArrow(label, ddl).where(F.char_length("token") <= max_token).distinct()
     labelled: list[tuple[str, str]] = []
     for kind in (*KINDS, "ordinary"):
         labelled += [(kind, r.token) for r in tokens.where(F.col("kind") == kind).orderBy(F.xxhash64("token"), "token").limit(each).collect()]

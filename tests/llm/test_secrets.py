@@ -53,6 +53,46 @@ def test_a_spared_format_is_found(spark):
     assert sum(got[1000 + i].n_inferred for i in range(200)) == 0
 
 
+def hexes(rng, n, length):
+    return ["".join(rng.choices("0123456789abcdef", k=length)) for _ in range(n)]
+
+
+def test_a_format_of_fixed_length_rejects_other_lengths():
+    for labels in (5, 30, 300):
+        rng = random.Random(labels)
+        words = ["-".join("".join(rng.choices("etaoinshrdlu", k=rng.randrange(3, 8))) for _ in range(4)) for _ in range(300)]
+        formats = secrets.Formats([("hex", t) for t in hexes(rng, labels, 40)], words)
+        assert formats.kinds["hex"].states > 40
+        assert sum(map(formats.secret, hexes(rng, 200, 40))) >= (180 if labels >= 30 else 100)
+        for length in (20, 60):
+            assert not any(map(formats.secret, hexes(rng, 200, length)))
+
+
+def test_a_kind_may_have_formats_of_several_lengths():
+    rng = random.Random(8)
+    digits = ["".join(rng.choices("0123456789", k=16)) for _ in range(200)]
+    formats = secrets.Formats([("hex", t) for t in digits + hexes(rng, 100, 40)], ["-".join(["words"] * n) for n in range(2, 9)])
+    assert sum(map(formats.secret, hexes(rng, 200, 40))) >= 180
+    assert sum(map(formats.secret, hexes(rng, 200, 28) + hexes(rng, 200, 60))) <= 4
+
+
+def test_a_format_of_varying_length_takes_lengths_between():
+    rng = random.Random(9)
+    tokens = [t for n in range(300) for t in keys(rng, 1, rng.randrange(24, 60))]
+    formats = secrets.Formats([("assign", t) for t in tokens], ["-".join(["words"] * n) for n in range(2, 9)])
+    assert sum(formats.secret(keys(rng, 1, rng.randrange(24, 60))[0]) for _ in range(200)) >= 160
+
+
+def test_few_labels_make_a_format():
+    rng = random.Random(10)
+    words = ["-".join("".join(rng.choices("etaoinshrdlu", k=5)) for _ in range(4)) for _ in range(200)]
+    for labels in (1, 3):
+        tokens = ["AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=16)) for _ in range(labels)]
+        formats = secrets.Formats([("access", t) for t in tokens], words)
+        assert formats.secret(tokens[0]) and not any(map(formats.secret, words))
+    assert not secrets.Formats([("assign", "abcdefgh1234")], words).kinds
+
+
 def test_no_labels_no_formats():
     formats = secrets.Formats([], ["ordinary-token-number-1"])
     assert not formats.secret("A8" * 20)
