@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from brinelog.operators import ingest
@@ -87,6 +89,28 @@ def _(t):
     return _finished(t, flows.metric_windows(_stream(t, "events"), "ts", k, ["event_type"]), "metric")
 
 
+def _streamed(t, name):
+    """The bindings of ``t`` with one table read as a stream."""
+    twin, stream = type(t)(t.spark, t.sf_dir), _stream(t, name)
+    twin.read = lambda asked: stream if asked == name else t.read(asked)
+    return twin
+
+
+@query("stream_feed_freshness", """SELECT ts_label, max(sample_time) AS latest, (epoch_us(TIMESTAMP '2024-02-01') -
+  epoch_us(max(sample_time))) / 1000000.0 AS seconds FROM bins GROUP BY 1""")
+def _(t):
+    out, checkpoint = flows.scratch(t.spark, "freshness")
+    flows.newest_bins(_streamed(t, "events").bins.select("ts_label", "sample_time"), out, checkpoint)
+    return flows.feed_freshness(t.spark.read.parquet(out), datetime(2024, 2, 1))
+
+
+@query("stream_time_bin_mean", "SELECT instrument, time_bucket(INTERVAL 1 HOUR, sample_time) AS bin, avg(triggers) AS triggers FROM bins GROUP BY 1, 2")
+def _(t):
+    out, checkpoint = flows.scratch(t.spark, "bin-mean")
+    bins = _streamed(t, "events").bins.select("instrument", "sample_time", "triggers")
+    return flows.time_bin_mean(bins, "sample_time", "1 hour", ["triggers"], out, checkpoint, ["instrument"])
+
+
 @query("stream_product_state", FOLD + f"SELECT {SC} FROM state")
 def _(t):
     stream = _stream(t, "events")

@@ -171,6 +171,21 @@ def feed_freshness(bins: DataFrame, now: datetime) -> DataFrame:
     return newest.withColumn("seconds", seconds_between(instant(now), F.col("latest")))
 
 
+def newest_bins(bins: DataFrame, out: str, checkpoint: str) -> None:
+    """``ts_label, sample_time`` of the latest bin of each series of a stream, kept current at ``out``; the input of ``feed_freshness``."""
+    newest = bins.groupBy("ts_label").agg(F.max("sample_time").alias("sample_time"))
+    with keyed_state(bins.sparkSession):
+        run_batches(newest, lambda batch, number: batch.write.mode("overwrite").parquet(out), checkpoint, "complete")
+
+
+def time_bin_mean(track: DataFrame, time: str, every: str, cols: list[str], out: str, checkpoint: str, keys: list[str] = []) -> DataFrame:
+    """Mean per fixed time bin (start in ``bin``) of a stream, late rows included; sums and counts are kept, so a bin may change."""
+    sums = {f"_sum_{c}": F.col(c) for c in cols} | {f"_n_{c}": F.col(c).isNotNull().cast("long") for c in cols}
+    windowed_with_late(track, time, every, sums, out, checkpoint, keys)
+    mean = [F.try_divide(f"_sum_{c}", f"_n_{c}").alias(c) for c in cols]
+    return all_windows(track.sparkSession, out, keys, list(sums)).select(*keys, F.col("start").alias("bin"), *mean)
+
+
 # -- product states ---------------------------------------------------------------------------------------------------
 
 def product_state(events: DataFrame, changes: str, checkpoint: str) -> None:

@@ -90,6 +90,17 @@ def test_late_rows_are_kept(spark, tmp_path, slide):
         assert [(r.k, r.start) for r in spark.read.parquet(f"{out}/open").collect()] == [("a", at(5))]
 
 
+def test_freshness_and_means_follow_a_stream(spark, tmp_path):
+    schema, at = "ts_label string, sample_time timestamp_ntz, v double", lambda h, m=0: datetime(2020, 1, 1, h, m)
+    batches = [[("a", at(1), 1.0), ("b", at(2), 2.0)], [("a", at(9), 4.0), ("a", at(9, 30), None), ("b", at(1), 8.0)], [("a", at(1, 30), 16.0), ("c", None, 1.0)]]
+    stream = feed_files(spark, tmp_path / "in", batches, schema)
+    flows.newest_bins(stream, str(tmp_path / "newest"), str(tmp_path / "check1"))
+    fresh = flows.feed_freshness(spark.read.parquet(str(tmp_path / "newest")), at(10)).collect()
+    assert {r.ts_label: r.seconds for r in fresh} == {"a": 1800.0, "b": 8 * 3600.0, "c": None}
+    means = flows.time_bin_mean(stream, "sample_time", "1 hour", ["v"], str(tmp_path / "means"), str(tmp_path / "check2"), ["ts_label"])
+    assert {(r.ts_label, r.bin.hour): r.v for r in means.collect()} == {("a", 1): 8.5, ("a", 9): 4.0, ("b", 2): 2.0, ("b", 1): 8.0}
+
+
 @pytest.mark.parametrize("files", [1, 3])
 def test_a_table_may_be_a_file_or_a_folder(spark, sf_dir, tmp_path, files):
     if files > 1:
