@@ -131,19 +131,20 @@ def _(t):
 
 @query("path_scan")
 def _(t):
-    listing = readers.path_scan(t.spark, t.sf_dir, "*.parquet")
+    listing = readers.path_scan(t.spark, t.sf_dir, "*.parquet", recursive=True)
     return listing.select(F.substring_index("path", "/", -1).alias("name"), "length")
 
 
 @query("file_fixity")
 def _(t):
-    return readers.file_fixity(t.spark, t.sf_dir).select("filename", "length", "sha1")
+    return readers.file_fixity(t.spark, t.sf_dir, recursive=True).select("filename", "length", "sha1")
 
 
 @query("roi_pixels_scan")
 def _(t):
-    # The stored table files themselves serve as image files.
-    listing = readers.path_scan(t.spark, t.sf_dir, "orders.parquet").select("path", "length")
+    # A stored file serves as image file: the largest one, where the table is a folder.
+    listing = readers.path_scan(t.spark, f"{t.sf_dir}/orders.parquet", recursive=True)
+    listing = listing.agg(F.max_by("path", F.struct("length", "path")).alias("path"))
     # The image file of a bin begins at the byte of the bin's number.
     placed = t.targets.withColumns({"path": listing.select("path").scalar(), "byteOffset": F.col("byteOffset") + F.col("bin")})
     pixels = readers.roi_pixels_scan(placed.select("bin", "targetNumber", "path", "byteOffset", "width", "height"), ["bin", "targetNumber"])

@@ -374,9 +374,10 @@ def _(t):
     return annotations.pending_nulls(rows, "message")
 
 
-@query("fetch_by_key", "SELECT image_id, category_id, scope_id FROM annotations WHERE image_id = 3 LIMIT 1")
+@query("fetch_by_key", "SELECT image_id, category_id, scope_id FROM annotations WHERE image_id = (SELECT min(image_id) FROM annotations) LIMIT 1")
 def _(t):
-    return annotations.fetch_by_key(t.annotations, "image_id", 3).select("image_id", "category_id", "scope_id")
+    held = t.annotations.agg(F.min("image_id")).scalar()  # a key that some row has
+    return annotations.fetch_by_key(t.annotations, "image_id", held).select("image_id", "category_id", "scope_id")
 
 
 @query("deprecate", "SELECT image_id, image_id = 3 AS deprecated FROM annotations")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,12 +90,12 @@ def _open(path: str):
     return system.open_input_file(where)
 
 
-def file_fixity(spark: SparkSession, folder: str, fast: bool = False, block: int = 1 << 22) -> DataFrame:
+def file_fixity(spark: SparkSession, folder: str, fast: bool = False, block: int = 1 << 22, recursive: bool = False) -> DataFrame:
     """Name, length, SHA-1 and time of files; ``fast`` leaves the bytes unread.
 
-    Files are dealt out to tasks by name; each is hashed block by block, so its size does not matter.
+    With ``recursive`` the files of subfolders count too, as those of tables kept as folders. Files are dealt out to tasks by name; each is hashed block by block, so its size does not matter.
     """
-    listing = path_scan(spark, folder).select("path", "length")
+    listing = path_scan(spark, folder, recursive=recursive).select("path", "length")
     named = listing.select("path", F.substring_index("path", "/", -1).alias("filename"), "length")
     if fast:
         return named.select("path", "filename", "length", F.lit("(no checksum)").alias("sha1"), F.current_timestamp().alias("fix_time"))
@@ -193,10 +193,11 @@ def adc_target(lines: DataFrame, path: str, number: int, version: str = "v2") ->
 
 def hdr_scan(lines: DataFrame) -> DataFrame:
     """Header entries ``path, kind, n, key, value``; ``kind`` is ``context`` or ``prop``. Three layouts are told apart
-    by the first line and the line count of the file."""
+    by the first line and the line count of the file. A header is a short file: its lines meet in one window, in one pass."""
     clean = lines.withColumn("line", F.rtrim("line"))
     layout = F.when(F.col("line") == FIXED_HDR_LINE, 1).when(F.col("line").startswith("softwareVersion:"), 2).otherwise(3)
-    known = ordered.with_group_stats(clean, ["path"], layout=F.max(F.when(F.col("n") == 1, layout)), total=F.max("n"))
+    header = Window.partitionBy("path")
+    known = clean.withColumns({"layout": F.max(F.when(F.col("n") == 1, layout)).over(header), "total": F.max("n").over(header)})
     fixed, keyed = F.col("layout") == 1, F.col("layout") == 2
     none = F.lit(None).cast("string")
 

@@ -64,6 +64,15 @@ def test_ranges_and_fixity(spark, tmp_path):
     assert readers.file_fixity(spark, str(tmp_path), fast=True).first().sha1 == "(no checksum)"
 
 
+def test_fixity_of_a_table_that_is_a_folder(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"one")
+    spark.range(100).repartition(3).write.parquet(str(tmp_path / "t.parquet"))
+    parts = {p.name: p.read_bytes() for p in (tmp_path / "t.parquet").glob("part-*")} | {"a.bin": b"one"}
+    got = {r.filename: (r.length, r.sha1) for r in readers.file_fixity(spark, str(tmp_path), block=16, recursive=True).collect()}
+    assert got == {name: (len(data), hashlib.sha1(data).hexdigest()) for name, data in parts.items()}
+    assert [r.filename for r in readers.file_fixity(spark, str(tmp_path)).collect()] == ["a.bin"]
+
+
 TARGETS = "bin int, targetNumber long, trigger int, `left` int, bottom int, width int, height int, byteOffset long"
 
 
