@@ -7,8 +7,8 @@ only, compares rolling hashes with the sorted hashes of the windows and verifies
 The windows are broadcast in blocks of at most ``BLOCK_BYTES`` bytes of items, whose size is measured first; with more blocks, the
 documents are scanned once per block and the hits are carried along. Items and documents are never joined.
 
-Defined results: a null or empty text has no words and is clean; items without words hit nothing; a repeated item is one item; with an
-empty benchmark all documents are clean; an empty table gives no rows; other columns pass through.
+Defined results: a null or empty text has no words and is clean; items without words hit nothing, nor do items without an id; a repeated
+item is one item; with an empty benchmark all documents are clean; an empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -34,47 +34,65 @@ def words(text: str) -> list[bytes]:
 
 
 class Windows:
-    """Windows of a block of items: word numbers, sorted hashes by length, and the items of each window."""
+    """Windows of a block of items: the items' words as numbers, and per window length sorted hashes with place and item of each.
+
+    24 bytes a word of the items and the vocabulary, whatever the items have in common.
+    """
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.items: dict[tuple[int, ...], list[str]] = {}
-        for item, text in items:
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text))
-            length = min(window, len(ids))
-            for i in range(len(ids) - length + 1) if ids else ():
-                held = self.items.setdefault(ids[i:i + length], [])
-                if item not in held[-1:]:
-                    held.append(item)
-        by_length: dict[int, list[tuple[int, ...]]] = {}
-        for w in self.items:
-            by_length.setdefault(len(w), []).append(w)
-        self.hashes = {n: np.unique(self.rolled(np.array(ws, np.uint64), n)) for n, ws in by_length.items()}
+        self.names = [item for item, _ in items]
+        number, parts, starts = self.vocabulary.setdefault, [np.zeros(0, np.uint32)], 0
+        by_length: dict[int, list[tuple[int, int, int]]] = {}  # first window, number of windows, item
+        for k, (_, text) in enumerate(items):
+            ids = np.array([number(w, len(self.vocabulary) + 1) for w in words(text)], np.uint32)
+            if length := min(window, len(ids)):
+                by_length.setdefault(length, []).append((starts, len(ids) - length + 1, k))
+            parts.append(ids)
+            starts += len(ids)
+        self.words = np.concatenate(parts)
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n, runs in by_length.items():
+            at = np.concatenate([np.arange(a, a + m) for a, m, _ in runs])
+            item = np.repeat(np.array([k for *_, k in runs], np.int32), [m for _, m, _ in runs])
+            h = self.rolled(self.words, at, n)
+            order = np.argsort(h, kind="stable")
+            self.tables[n] = h[order], at[order], item[order]
 
     @staticmethod
-    def rolled(rows: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros(len(rows), np.uint64)
+    def rolled(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the ``n`` numbers from each place."""
+        out = np.zeros(len(at), np.uint64)
         for j in range(n):
-            out = out * np.uint64(_FACTOR) + rows[:, j]
+            out = out * np.uint64(_FACTOR) + ids[at + j]
         return out ^ (out >> np.uint64(29))
 
+    def _held(self, n: int, window: np.ndarray, first: int, end: int) -> set[str]:
+        """Items that hold the window, among the places of its hash."""
+        _, at, item = self.tables[n]
+        return {self.names[item[k]] for k in range(first, end) if np.array_equal(self.words[at[k]:at[k] + n], window)}
+
     def hits(self, text: str) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Number of words, hit windows as (first word, end), items."""
         ws = words(text)
-        ids = np.array(list(map(self.vocabulary.get, ws, repeat(0))), np.uint64)
+        ids = np.array(list(map(self.vocabulary.get, ws, repeat(0))), np.uint32)
         spans, found = [], set()
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
-        for n, known in self.hashes.items():
+        for n, (known, _, _) in self.tables.items():
             if len(ids) < n:
                 continue
             at = np.flatnonzero(unknown[n:] == unknown[:-n])
-            if len(at):
-                h = self.rolled(np.lib.stride_tricks.sliding_window_view(ids, n)[at], n)
-                place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                for i in at[known[place] == h].tolist():
-                    if held := self.items.get(tuple(ids[i:i + n].tolist())):
-                        spans.append((i, i + n))
-                        found.update(held)
+            h = self.rolled(ids, at, n)
+            first, end = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
+            met: dict[bytes, bool] = {}  # windows of this text
+            for i, a, b in zip(*(x[first < end].tolist() for x in (at, first, end))):
+                key = ids[i:i + n].tobytes()
+                if key not in met:
+                    held = self._held(n, ids[i:i + n], a, b)
+                    found |= held
+                    met[key] = bool(held)
+                if met[key]:
+                    spans.append((i, i + n))
         return len(ws), spans, found
 
 
