@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from brinelog.llm.common import arrow_schema, materialize
 
 BITS = 128
+PAIRS = 1 << 20  # fingerprints compared in one step
 
 
 def terms(text: str, words: int) -> list[bytes]:
@@ -128,7 +129,7 @@ def search(held: DataFrame, queries: DataFrame, radius: int = 6, spare: int = 1,
     """``query, fingerprint, distance``: every fingerprint within ``radius`` bits of a query, the query itself included.
 
     Both inputs hold different fingerprints as hex (column ``fingerprint``). Rows of one table and prefix stream through a task: its
-    queries first, then every other fingerprint in passing. With ``count``, ``held`` also has ``copies`` and the result is
+    queries first, then all other fingerprints in passing, compared in blocks of ``PAIRS`` pairs. With ``count``, ``held`` also has ``copies`` and the result is
     ``query, n``: copies within the radius, summed in the tasks; a query has a row for each prefix that found some.
     """
     blocks = radius + 1 + spare
@@ -154,42 +155,53 @@ def search(held: DataFrame, queries: DataFrame, radius: int = 6, spare: int = 1,
 
     def compare(batches):
         schema = arrow_schema(ddl)
-        here, asked, values, sums = None, [], np.empty((0, 2), np.uint64), np.zeros(0, np.int64)
+        none = np.empty((0, BITS // 64), np.uint64)
+        here, asked, sums = None, none, np.zeros(0, np.int64)
         out: list[tuple] = []
 
         def close():
-            if count:
-                out.extend((asked[i].hex(), int(sums[i])) for i in np.flatnonzero(sums).tolist())
+            out.extend((asked[i].tobytes().hex(), int(sums[i])) for i in np.flatnonzero(sums).tolist() if count)
+
+        def look(held: np.ndarray, copies: np.ndarray) -> None:
+            chosen = choices[here[0]]
+            step = max(1, PAIRS // len(asked))
+            for k in range(0, len(held), step):
+                differs = asked[:, None, :] ^ held[None, k:k + step, :]
+                distance = np.bitwise_count(differs).sum(2)
+                q, h = np.nonzero(distance <= radius)
+                # the first table of the pair: no other block up to its last one is equal
+                equal = ((differs[q, h][:, None, :] & masks[:chosen[-1] + 1]) == 0).all(2).sum(1)
+                q, h = q[equal == len(chosen)], h[equal == len(chosen)]
+                np.add.at(sums, q, copies[k + h])
+                if not count:
+                    out.extend((asked[i].tobytes().hex(), held[k + j].tobytes().hex(), int(distance[i, j])) for i, j in zip(q.tolist(), h.tolist()))
 
         def batch_of():
             return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
         for batch in batches:
-            for prefix, fp, is_query, copies in zip(*(c.to_pylist() for c in batch.columns)):
-                if prefix != here:
+            if not len(batch):
+                continue
+            prefix = np.array([*batch.column(0).to_pylist(), None], dtype=object)[:-1]
+            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            is_query, copies = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            starts = np.concatenate(([0], np.flatnonzero(prefix[1:] != prefix[:-1]) + 1))
+            ends = np.append(starts[1:], len(prefix))
+            n_asked = np.add.reduceat(is_query.astype(np.int64), starts)
+            # prefixes without a query are passed over, but for the first, which may go on, and the last, which may be gone on with
+            busy = n_asked > 0
+            busy[[0, -1]] = True
+            for a, b, m in zip(starts[busy].tolist(), ends[busy].tolist(), n_asked[busy].tolist()):
+                if prefix[a] != here:
                     close()
-                    here, asked, values, sums = prefix, [], np.empty((0, 2), np.uint64), np.zeros(0, np.int64)
-                if is_query:
-                    asked.append(fp)
-                    continue
-                if not asked:
-                    continue
-                if len(values) != len(asked):
-                    values = np.frombuffer(b"".join(asked), np.uint64).reshape(-1, BITS // 64)
-                    sums = np.zeros(len(asked), np.int64)
-                differs = values ^ np.frombuffer(fp, np.uint64)
-                distance = np.bitwise_count(differs).sum(1)
-                near = np.flatnonzero(distance <= radius)
-                if len(near):
-                    chosen = choices[prefix[0]]  # the first table of the pair: no other block up to its last one is equal
-                    equal = ((differs[near, None, :] & masks[:chosen[-1] + 1]) == 0).all(2).sum(1)
-                    near = near[equal == len(chosen)]
-                    sums[near] += copies
-                    if not count:
-                        out.extend((asked[i].hex(), fp.hex(), int(distance[i])) for i in near.tolist())
-            if len(out) >= 1000:
-                yield batch_of()
-                out.clear()
+                    here, asked, sums = prefix[a], none, np.zeros(0, np.int64)
+                if m:
+                    asked, sums = np.concatenate([asked, fps[a:a + m]]), np.concatenate([sums, np.zeros(m, np.int64)])
+                if len(asked) and a + m < b:
+                    look(fps[a + m:b], copies[a + m:b])
+                if len(out) >= 1000:
+                    yield batch_of()
+                    out.clear()
         close()
         if out:
             yield batch_of()

@@ -70,6 +70,24 @@ def test_search_is_exact(spark):
     assert counts == {q: 3 * sum(w[0] == q for w in want) for q in {w[0] for w in want}}
 
 
+def test_search_of_a_prefix_over_many_batches(spark, monkeypatch):
+    rng = random.Random(5)
+    values = sorted({rng.getrandbits(20) for _ in range(700)})  # all share most blocks
+    asked = values[::3]
+    frame = lambda vs: spark.createDataFrame([(f"{v:032x}", v % 3 + 1) for v in vs], "fingerprint string, copies long")
+    want = sorted((f"{q:032x}", f"{v:032x}", (q ^ v).bit_count()) for q in asked for v in values if (q ^ v).bit_count() <= 6)
+    monkeypatch.setattr(fp, "PAIRS", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = sorted(map(tuple, fp.search(frame(values), frame(asked), 6).collect()))
+        counts = fp.search(frame(values), frame(asked), 6, count=True).groupBy("query").sum("n").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+    copies = {f"{v:032x}": v % 3 + 1 for v in values}
+    assert {q: n for q, n in counts} == {f"{q:032x}": sum(copies[v] for a, v, _ in want if a == f"{q:032x}") for q in asked}
+
+
 def test_report_counts_neighbours(spark, docs):
     got = fp.report(docs, every=10).collect()
     prints = [int(r.fingerprint, 16) for r in got]
