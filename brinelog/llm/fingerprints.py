@@ -215,7 +215,7 @@ def search(held: DataFrame, queries: DataFrame, radius: int = 6, spare: int = 1,
 
 def report(docs: DataFrame, words: int = 2, radius: int = 6, every: int = 100) -> DataFrame:
     """``compare_with_edits`` plus ``n_near``: for documents whose id is divisible by ``every``, how many documents lie within the radius."""
-    prints = materialize(compare_with_edits(docs, words), "fingerprints")
+    prints = materialize(compare_with_edits(docs, words), "fingerprints", drop_shuffles=True)  # that of the texts, before the search
     held = prints.groupBy("fingerprint").agg(F.count("*").alias("copies"))
     asked = prints.where(F.col("doc_id") % every == 0).select("fingerprint").distinct()
     near = (search(held, asked, radius, count=True).groupBy("query").agg(F.sum("n").alias("n_near"))

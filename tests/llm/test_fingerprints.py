@@ -4,6 +4,7 @@ import random
 import pytest
 
 from brinelog.llm import fingerprints as fp
+from brinelog.llm.common import materialize
 from tests.llm.cases import awkward, empty, texts_of
 
 
@@ -96,3 +97,13 @@ def test_report_counts_neighbours(spark, docs):
         if r.n_near is not None:
             assert r.n_near == sum((int(r.fingerprint, 16) ^ p).bit_count() <= 6 for p in prints)
     assert len(fp.report(awkward(spark)).collect()) == awkward(spark).count()
+
+
+def test_shuffle_of_a_written_table_goes(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    rows = spark.range(1000).repartition(4, "id")
+    written = materialize(rows, "tidy", drop_shuffles=True)
+    assert spark.conf.get(key, None) == before
+    assert written.count() == rows.count() == 1000
+    assert sorted(r.id for r in materialize(rows, "tidy", drop_shuffles=True).collect()) == list(range(1000))
