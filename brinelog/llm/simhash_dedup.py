@@ -3,8 +3,8 @@
 A fingerprint has 64 bits; bit i is set if more than half of a document's shingle hashes have it. It is mapped to the bit counts of its
 short segments. The Manhattan distance of two count vectors never exceeds the number of differing bits, so two fingerprints within
 the radius agree in the counts of most segments: of ``blocks`` equal stretches at most ``radius`` can differ, and at least
-``blocks - radius`` are equal. A grid cell is one choice of that many stretches with their counts; fingerprints that share a cell are
-candidates, and the full distance decides.
+``blocks - radius`` are equal. A grid cell is one choice of that many stretches with their counts. Members of a cell whose
+vectors lie within the radius by Manhattan distance are candidates, and the full distance decides on these alone.
 
 Scale: equal fingerprints are one before anything is joined. A cell is a stretch of a sorted partition that streams through a task as
 8 bytes per different fingerprint, and gives a spanning forest of its links (at most one link fewer than members), never all pairs; a
@@ -93,8 +93,21 @@ def cells(fps: np.ndarray, radius: int, blocks: int) -> tuple[np.ndarray, int]:
     return out, len(choices)
 
 
+_LOW = np.uint64(0x5555555555555555)  # the lower bit of each two
+
+
+def unary(fps: np.ndarray) -> np.ndarray:
+    """Counts of the segments of two bits as runs of ones (0, 01, 11), so that differing bits add up to the Manhattan distance."""
+    upper = (fps >> np.uint64(1)) & _LOW
+    return ((fps & _LOW) | upper) | ((fps & upper) << np.uint64(1))
+
+
 def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links (as places) that connect exactly the fingerprints connected by differences of at most ``radius`` bits."""
+    """Links (as places) that connect exactly the fingerprints connected by differences of at most ``radius`` bits.
+
+    Only those within the radius by the Manhattan distance of their counts, which is never larger, are compared in full.
+    """
+    counts = unary(fps)
     left = np.arange(len(fps))
     links, frontier = [], []
     while len(left):
@@ -103,11 +116,13 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
             left = left[1:]
             continue
         at = frontier.pop()
-        near = np.bitwise_count(fps[left] ^ fps[at]) <= radius
-        if near.any():
-            links += [(int(at), int(x)) for x in left[near]]
-            frontier += left[near].tolist()
-            left = left[~near]
+        maybe = np.flatnonzero(np.bitwise_count(counts[left] ^ counts[at]) <= radius)
+        near = maybe[np.bitwise_count(fps[left[maybe]] ^ fps[at]) <= radius]
+        if len(near):
+            found = left[near].tolist()
+            links += [(int(at), x) for x in found]
+            frontier += found
+            left = np.delete(left, near)
     return links
 
 

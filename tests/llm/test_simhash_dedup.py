@@ -202,3 +202,38 @@ def test_true_pairs_among_many_that_share_a_passage(spark, share):
     want = left_by_all_pairs(given)
     left = sd.drop_near_duplicates(spark.createDataFrame(given, "doc_id long, text string").repartition(4)).collect()
     assert sorted(r.doc_id for r in left) == want == list(range(150))
+
+
+def test_manhattan_distance_of_counts_is_a_lower_bound():
+    rng = np.random.default_rng(5)
+    fps = rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, 300, dtype=np.uint64)
+    fps = np.concatenate([fps, fps ^ (np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)), np.zeros(1, np.uint64), ~np.zeros(1, np.uint64)])
+    counts = np.stack([np.bitwise_count((fps >> np.uint64(i)) & np.uint64(3)) for i in range(0, 64, 2)], 1).astype(int)
+    for i in range(0, len(fps), 7):
+        manhattan = np.abs(counts - counts[i]).sum(1)
+        assert (np.bitwise_count(sd.unary(fps) ^ sd.unary(fps)[i]) == manhattan).all()
+        assert (manhattan <= np.bitwise_count(fps ^ fps[i])).all()
+
+
+def test_forest_connects_as_all_pairs_do():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 62, 40, dtype=np.uint64)
+    fps = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 62, 40, dtype=np.uint64)) for _ in range(12)] + [base]))
+    links = sd.forest(fps, 3)
+    assert len(links) < len(fps) and all((int(fps[a]) ^ int(fps[b])).bit_count() <= 3 for a, b in links)
+
+    def groups(pairs):
+        root = list(range(len(fps)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(i) for i in range(len(fps))]
+
+    every = [(i, j) for i in range(len(fps)) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 3]
+    assert groups(links) == groups(every)
+    assert sd.forest(fps[:1], 3) == [] and sd.forest(fps[:0], 3) == []
