@@ -3,7 +3,8 @@
 Rows are ordered by the hash of their text, so that equal texts are neighbours, and cut into shards of equal bytes:
 
 1. draw a sample of keys with a chance in proportion to the size of the row, take its quantiles as splitters of the ranges;
-2. a key that alone overfills a range gets a range of its own, subdivided by row;
+2. a key that alone overfills a range gets a range of its own, subdivided by row; a range that other keys together overfill (over twice
+   its share of the bytes) is subdivided at quantiles of a new sample inside it, until no such range holds two keys;
 3. running sums inside each range plus the totals of the ranges before it give every row its place in the whole order;
 4. the place decides the shard, so shard sizes differ by at most the largest row.
 
@@ -52,6 +53,25 @@ def _splitters(rows: DataFrame, total: int, ranges: int) -> list[int]:
     return sorted({drawn[i].key for i in at if i < len(drawn)})
 
 
+def _subdivided(rows: DataFrame, full: int, splitters: list[int]) -> list[int]:
+    """``splitters`` and further ones inside every range of over twice ``full`` bytes that holds more than one key.
+
+    A round reads the sizes of all ranges, and samples only the overfull ones, of which there are at most half as many as ranges.
+    """
+    while True:
+        ranged = rows.withColumn("range", _range_of(F.col("key"), splitters).cast("int"))
+        over = (ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.min("key").alias("low"), F.max("key").alias("high"))
+                .where((F.col("bytes") > 2 * full) & (F.col("low") < F.col("high"))).collect())
+        if not over:
+            return splitters
+        more: set[int] = set()
+        for r in over:
+            inside = rows.where(F.col("key").between(r.low, r.high))
+            for key in _splitters(inside, r.bytes, -(-r.bytes // full)) or [(r.low + r.high) // 2]:
+                more.add(key if key > r.low else key + 1)  # low < splitter <= high, so each cuts
+        splitters = sorted({*splitters, *more})
+
+
 def shard_by_bytes(docs: DataFrame, shards: int = 8, ranges: int | None = None) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of every row. ``ranges`` is the number of tasks' ranges."""
     spark = docs.sparkSession
@@ -60,9 +80,6 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, ranges: int | None = None)
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"),
         F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), F.xxhash64("text").alias("key")), "shard-rows")
     total, = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()
-    splitters = _splitters(rows, total, ranges) if total else []
-    rows = rows.withColumn("range", _range_of(F.col("key"), splitters).cast("int"))
-
     full = max(1, total // ranges)
     heavy = (rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
              .where((F.col("bytes") > full) & (F.col("n") > 1)).orderBy("key").collect())  # at most ``ranges`` keys
@@ -70,6 +87,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, ranges: int | None = None)
     rows = rows.join(F.broadcast(pieces), "key", "left").withColumns({
         "own": F.coalesce("own", F.lit(0)),
         "sub": F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.coalesce("pieces", F.lit(1)))})
+    splitters = _subdivided(rows.where("own = 0"), full, _splitters(rows, total, ranges)) if total else []
+    rows = rows.withColumn("range", _range_of(F.col("key"), splitters).cast("int"))
 
     slices = [F.col("range"), F.col("own"), F.col("sub")]
     inside = Window.partitionBy(*slices).orderBy("key", "doc_id")

@@ -50,3 +50,20 @@ def test_equal_texts_are_neighbours(spark):
     for r in got:
         shards.setdefault(r.doc_id % 500, set()).add(r.shard)
     assert sum(len(s) > 1 for s in shards.values()) <= 7
+
+
+def test_overfull_ranges_are_subdivided(spark):
+    # hashes crowd together, with one large row among them, and the first splitters miss the crowd
+    rows = spark.range(5000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") < 4000, F.col("id") * 3).otherwise(F.col("id") * (1 << 40)).alias("key"),
+        F.when(F.col("id") == 1700, 40_000).otherwise(F.lit(20)).cast("long").alias("size"))
+    full = 5_000
+    for start in ([], [1 << 50], [1, 2]):
+        splitters = sharding._subdivided(rows, full, start)
+        assert set(start) <= set(splitters) and splitters == sorted(set(splitters))
+        held = rows.groupBy(sharding._range_of(F.col("key"), splitters).alias("range")).agg(
+            F.sum("size").alias("bytes"), F.count_distinct("key").alias("keys")).collect()
+        assert all(r.bytes <= 2 * full or r.keys == 1 for r in held)
+        assert len(splitters) < 200
+    assert sharding._subdivided(rows.where("false"), full, []) == []
+    assert sharding._subdivided(rows.where("doc_id = 1700"), full, []) == []
