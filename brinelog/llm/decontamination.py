@@ -7,8 +7,9 @@ only, compares rolling hashes with the sorted hashes of the windows and verifies
 The windows are broadcast in blocks of at most ``BLOCK_BYTES`` bytes of items, whose size is measured first; with more blocks, the
 documents are scanned once per block and the hits are carried along. Items and documents are never joined.
 
-Defined results: a null or empty text has no words and is clean; items without words hit nothing, nor do items without an id; a repeated
-item is one item; with an empty benchmark all documents are clean; an empty table gives no rows; other columns pass through.
+Defined results: a null or empty text has no words and is clean; items without words hit nothing; a repeated item is one item; with an
+empty benchmark all documents are clean; an empty table gives no rows; other columns pass through. Items without an id hit nothing unless
+``nameless``: then their windows count as those of one item, which hits words and is counted, but is not in the list of ids.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ class Windows:
 
     def __init__(self, items: list[tuple[str, str]], window: int):
         self.vocabulary: dict[bytes, int] = {}
-        self.names = [item for item, _ in items]
+        self.names = [item for item, _ in items]  # null: without an id
         number, parts, starts = self.vocabulary.setdefault, [np.zeros(0, np.uint32)], 0
         by_length: dict[int, list[tuple[int, int, int]]] = {}  # first window, number of windows, item
         for k, (_, text) in enumerate(items):
@@ -96,23 +97,30 @@ class Windows:
         return len(ws), spans, found
 
 
-def blocks(benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES):
-    """Window tables of the benchmark, each from items of about ``block_bytes`` bytes."""
+def _by_name(item: tuple) -> tuple:
+    return tuple((part is not None, part or "") for part in item)
+
+
+def blocks(benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES, nameless: bool = False):
+    """Window tables of the benchmark, each from items of about ``block_bytes`` bytes; without an id only if ``nameless``."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, -(-size // block_bytes))
-    rows = benchmark.select(F.col("item_id").cast("string"), F.coalesce("text", F.lit(""))).where("item_id IS NOT NULL")
-    for i in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)
-        yield Windows(sorted(map(tuple, part.collect())), window)
+    rows = benchmark.select(F.col("item_id").cast("string"), F.coalesce("text", F.lit("")).alias("text"))
+    if not nameless:
+        rows = rows.where("item_id IS NOT NULL")
+    for i in range(n):  # items without an id are many, so the text takes part
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", F.when(F.col("item_id").isNull(), F.col("text"))), F.lit(n)) == i)
+        yield Windows(sorted(map(tuple, part.collect()), key=_by_name), window)
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with ``_llm_words``, ``_llm_spans`` (first and end word of each hit window, in turn) and ``_llm_items`` (sorted strings)."""
+def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES, nameless: bool = False) -> DataFrame:
+    """``docs`` with ``_llm_words``, ``_llm_spans`` (first and end word of each hit window, in turn) and ``_llm_items`` (sorted strings,
+    a null first if windows of ``nameless`` items occur)."""
     spark = docs.sparkSession
     out = docs.withColumns({"_llm_words": F.lit(0).cast("long"), "_llm_spans": F.array().cast("array<int>"),
-                            "_llm_items": F.array().cast("array<string>")})
+                            "_llm_items": F.slice(F.array(F.lit(None).cast("string")), 1, 0)})
     schema = out.schema
-    for n, block in enumerate(blocks(benchmark, window, block_bytes)):
+    for n, block in enumerate(blocks(benchmark, window, block_bytes, nameless)):
         held = spark.sparkContext.broadcast(block)
 
         def run(batches, held=held, columns=len(docs.columns)):
@@ -124,7 +132,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: i
                     k, s, found = table.hits(text)
                     n_words.append(k)
                     spans.append(old_spans + [x for span in s for x in span])
-                    items.append(sorted(found.union(old_items)))
+                    items.append(sorted(found.union(old_items), key=lambda x: (x is not None, x or "")))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:columns], pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int32())),
                      pa.array(items, pa.list_(pa.string()))], names=batch.schema.names)
@@ -157,18 +165,18 @@ def report(scanned: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([
                 pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()),
                 pa.array(map(len, items), pa.int64()),
-                pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items]), pa.array([h > 0 for h in hit])], schema=schema)
+                pa.array([hashlib.sha256(",".join(x for x in i if x is not None).encode()).hexdigest() for i in items]), pa.array([h > 0 for h in hit])], schema=schema)
 
     return scanned.select(F.col("doc_id").cast("long"), "_llm_words", "_llm_spans", "_llm_items").mapInArrow(run, REPORT)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, remove: str = "documents",
-                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                  block_bytes: int = BLOCK_BYTES, nameless: bool = False) -> DataFrame:
     """``docs`` without contaminated documents (``remove="documents"``) or without their hit words (``"spans"``).
 
     Removing spans takes the text from the first to the last byte of each run of hit words and leaves the rest as it is.
     """
-    scanned = scan(docs, benchmark, window, block_bytes)
+    scanned = scan(docs, benchmark, window, block_bytes, nameless)
     if remove == "documents":
         return scanned.where(F.size("_llm_spans") == 0).select(*docs.columns)
     if remove != "spans":

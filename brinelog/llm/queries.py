@@ -100,7 +100,7 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN items USING (doc_id)
 """)
 def op8(spark, sf_dir):
-    return decontamination.report(decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return decontamination.report(decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), nameless=True))
 
 
 @query("op9_sentencepiece")

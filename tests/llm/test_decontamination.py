@@ -2,10 +2,13 @@ import hashlib
 import random
 import re
 
+import duckdb
+import pyarrow as pa
 import pytest
 
 from brinelog.llm import decontamination as dc
 from brinelog.llm.common import table
+from brinelog.llm.queries import ORACLES
 from tests.llm.cases import awkward, empty
 
 RULE = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -79,3 +82,22 @@ def test_empty_tables(spark, sf_dir):
     assert not any(r.contaminated for r in dc.report(dc.scan(docs, items.where("false"))).collect())
     assert dc.decontaminate(docs, items.where("false")).count() == docs.count()
     assert table(spark, sf_dir, "benchmark").count() > 0
+
+
+@pytest.mark.parametrize("block", [dc.BLOCK_BYTES, 60])
+def test_items_without_an_id_hit_as_in_sql(spark, block):
+    docs, items = made(spark)
+    docs = docs.where("doc_id > 100").dropDuplicates(["doc_id"])
+    items = items.union(spark.createDataFrame([(None, "zz zz", 2), (None, None, 3)], items.schema))
+    got = sorted(map(tuple, dc.report(dc.scan(docs, items, block_bytes=block, nameless=True)).collect()))
+    held = duckdb.connect()
+    held.register("documents", docs.select("doc_id", "text").toPandas())
+    held.register("benchmark", pa.table({"item_id": pa.array([r.item_id for r in items.collect()], pa.int64()),
+                                         "text": pa.array([r.text for r in items.collect()])}))
+    assert got == sorted(held.execute(ORACLES["op8_decontamination"]).fetchall())
+    without = sorted(map(tuple, dc.report(dc.scan(docs, items, block_bytes=block)).collect()))
+    assert sum(r[2] for r in got) > sum(r[2] for r in without)
+    left = {r.doc_id for r in dc.decontaminate(docs, items, nameless=True).collect()}
+    assert left == {r[0] for r in got if not r[5]}
+    cut = dc.decontaminate(docs, items, remove="spans", nameless=True).collect()
+    assert sum(len(words(r.text)) for r in cut) == sum(r[1] - r[2] for r in got)
