@@ -415,28 +415,41 @@ def verified(candidates: DataFrame, texts: DataFrame, words: int, similarity: fl
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, growth: int = 8) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """``a, b``: links that connect the nodes (``node, fp``) whose fingerprints differ by at most ``radius`` bits."""
+    distinct = materialize(nodes.groupBy("fp").agg(F.min("node").alias("low")), "prints")
+    equal = nodes.join(distinct, "fp").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
+    return links(distinct.select("fp", F.col("low").alias("node")), radius, blocks).union(equal)
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, growth: int = 8, radius: int | None = None,
+                         blocks: int = 8, print_words: int = 4) -> DataFrame:
     """``docs`` with one document of each group: the one of the smallest ``doc_id``.
 
-    Two texts are linked if the Jaccard similarity of their sets of shingles of ``words`` words is at least ``similarity``; a group is what
+    With ``radius`` two texts are linked by SimHash, as in ``near_duplicates``: if their fingerprints of ``print_words`` words differ by
+    at most ``radius`` bits. These links come first, and what they join needs no comparison of shingles. The further links are exact:
+    two texts are linked if the Jaccard similarity of their sets of shingles of ``words`` words is at least ``similarity``; a group is what
     links connect. All links count: sets that similar have one of their first shingles in common (``prefixes``), so all
     pairs are found among the nodes of a token. Pairs are verified first and joined afterwards, in rounds: the first member of each
     token with all others, then ``growth`` times as many members, until the members of each token are joined or every pair of them is
     refuted. Texts of the same words are one before anything is joined. Shingles are compared by 64-bit hashes.
     """
     keyed = docs.withColumn("_llm_text_key", F.xxhash64("text"))
-    schema = "doc_id long, _llm_text_key long, node long"
+    schema = "doc_id long, _llm_text_key long, node long, fp long"
 
     def run(batch: pa.RecordBatch) -> dict:
-        nodes = [node_of(t) for t in texts_of(batch)]
-        return {"doc_id": batch.column(0), "_llm_text_key": batch.column(1), "node": nodes}
+        nodes = [(node_of(t), None if radius is None else signed(fingerprint(t, print_words))) for t in texts_of(batch)]
+        return {"doc_id": batch.column(0), "_llm_text_key": batch.column(1), "node": [n for n, _ in nodes], "fp": [p for _, p in nodes]}
 
     rows = materialize(keyed.select(F.col("doc_id").cast("long"), "_llm_text_key", "text").mapInArrow(per_batch(run, schema), schema), "words")
-    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("doc_id", "_llm_text_key")).alias("first")), "nodes")
+    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("doc_id", "_llm_text_key")).alias("first"), F.min("fp").alias("fp")), "nodes")
     counts = shingle_counts(docs, words)
     tokens = materialize(shared_tokens(prefixes(docs, counts, words, similarity)), "tokens")
     texts = _texts_of_nodes(keyed, tokens.select("node").distinct().join(nodes, "node"))
     found, tried, roots = None, None, nodes.select("node", F.col("node").alias("root")).limit(0)
+    if radius is not None:
+        found = materialize(fingerprint_links(nodes.select("node", "fp"), radius, blocks), "print-links", drop_shuffles=True)
+        roots = components(found)
     first, end = 0, 1
     while True:
         tokens = materialize(unjoined(tokens, roots, first + 1), "tokens")
@@ -445,7 +458,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
         pairs = star_pairs(tokens, first, end, similarity)
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
         new = materialize(verified(pairs, texts, words, similarity), "links")
-        tried, found = (pairs, new) if tried is None else (tried.union(pairs), found.union(new))
+        tried = pairs if tried is None else tried.union(pairs)
+        found = new if found is None else found.union(new)
         if not new.isEmpty():
             roots = components(found)
         first, end = end, end * growth

@@ -24,8 +24,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (five-word shingles, similarity 0.8)."""
-    return simhash_dedup.drop_near_duplicates(docs)
+    """One document of each group stays: texts whose SimHash differs by 4 bits or fewer, or with similar five-word shingles (0.8)."""
+    return simhash_dedup.drop_near_duplicates(docs, radius=4)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

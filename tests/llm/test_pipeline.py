@@ -1,8 +1,10 @@
+import random
+
 import public_tokenizers
 import sentencepiece
 
 import corpus_pipeline as cp
-from brinelog.llm import line_dedup, queries
+from brinelog.llm import line_dedup, queries, simhash_dedup
 from tests.llm.cases import awkward, empty
 from tests.llm.test_decontamination import plain as plain_windows
 from tests.llm.test_line_dedup import plain as plain_lines
@@ -45,3 +47,22 @@ def test_run_and_awkward_documents(spark, sf_dir):
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert line_dedup.report
+
+
+def test_near_duplicates_are_linked_by_fingerprints(spark):
+    """Texts of which the fingerprints differ by 4 bits or fewer are one group, also where few of their five-word shingles are shared."""
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(3000)]
+    base = [rng.choice(words) for _ in range(300)]
+    given = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(1000, 1020)]
+    for i in range(400):
+        copy = list(base)
+        for at in rng.sample(range(300), 8):
+            copy[at] = rng.choice(words)
+        given.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    lowest = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates(docs).collect()}
+    left = {r.doc_id for r in cp.near_duplicates(spark, docs, "").collect()}
+    by_shingles = {r.doc_id for r in simhash_dedup.drop_near_duplicates(docs).collect()}
+    assert left <= set(lowest.values()) and left <= by_shingles and set(range(1000, 1020)) <= left
+    assert not by_shingles <= set(lowest.values())
