@@ -17,29 +17,31 @@ def drop_sentinel(points: DataFrame) -> DataFrame:
     return points.where((F.col("x") != SENTINEL) & (F.col("y") != SENTINEL))
 
 
-def index_normalize(rows: DataFrame, keys: list[str], value: str, tie: list[str], slices: Column | None = None) -> DataFrame:
+def index_normalize(rows: DataFrame, keys: list[str], value: str, tie: list[str], slices: Column | None = None,
+                    sizes: tuple[int, int] | None = None) -> DataFrame:
     """``i``: 0..1 place in value order; ``s``: value scaled to 0..1. ``slices``, if given, never decreases with the value."""
     one = F.lit(1).cast("bigint")
     ranked = ordered.accumulate(rows, keys, [value, *tie], slices, {"_rn": one},
-                                whole={"_lo": ("min", F.col(value)), "_hi": ("max", F.col(value)), "_n": ("sum", one)})
+                                whole={"_lo": ("min", F.col(value)), "_hi": ("max", F.col(value)), "_n": ("sum", one)}, sizes=sizes)
     span = F.col("_hi") - F.col("_lo")
     place = F.when(F.col("_n") > 1, (F.col("_rn") - 1) / (F.col("_n") - 1)).otherwise(0.0)
     scaled = F.when(span > 0, (F.col(value) - F.col("_lo")) / span)
     return ranked.withColumns({"i": place, "s": scaled}).drop("_lo", "_hi", "_n")
 
 
-def flow_distance_profile(points: DataFrame, slice_pixels: float = 16.0) -> DataFrame:
-    """Distance of each target to the centre of its bin, sorted and scaled: ``bin, n, d, _rn, i, s``."""
-    rows = ordered.with_group_stats(points, ["bin"], _cx=F.avg("x"), _cy=F.avg("y"))
+def flow_distance_profile(points: DataFrame, slice_pixels: float = 16.0, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """Distance of each target to the centre of its bin, sorted and scaled: ``bin, n, d, _rn, i, s``. ``sizes``: ``key_sizes`` of the bins."""
+    sizes = sizes or ordered.key_sizes(points, ["bin"])
+    rows = ordered.with_group_stats(points, ["bin"], sizes, _cx=F.avg("x"), _cy=F.avg("y"))
     dx, dy = F.col("x") - F.col("_cx"), F.col("y") - F.col("_cy")
     distances = rows.select("bin", "n", F.sqrt(dx * dx + dy * dy).alias("d"))
-    return index_normalize(distances, ["bin"], "d", ["n"], F.floor(F.col("d") / slice_pixels))
+    return index_normalize(distances, ["bin"], "d", ["n"], F.floor(F.col("d") / slice_pixels), (0, sizes[1]))
 
 
-def flow_camera_spot(points: DataFrame) -> DataFrame:
+def flow_camera_spot(points: DataFrame, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Share of the most frequent distance on either side of the elbow of the profile, the larger one."""
     # The profile is read twice below; written once, it is not computed twice.
-    profile = cut_lineage(flow_distance_profile(points))
+    profile = cut_lineage(flow_distance_profile(points, sizes=sizes))
     elbow = profile.groupBy("bin").agg(F.min_by("_rn", F.struct((F.col("s") - F.col("i")).alias("g"), F.col("_rn"))).alias("_e"))
     sides = profile.join(elbow, "bin").withColumn("_side", F.col("_rn") >= F.col("_e"))
     counts = sides.groupBy("bin", "_side", "d").agg(F.count("*").alias("_c"))
@@ -47,9 +49,9 @@ def flow_camera_spot(points: DataFrame) -> DataFrame:
     return shares.groupBy("bin").agg(F.max("_share").alias("camera_spot"))
 
 
-def flow_clipping(points: DataFrame) -> DataFrame:
+def flow_clipping(points: DataFrame, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Percent of targets outside the box that is one percent of the range smaller on each side."""
-    box = ordered.with_group_stats(points, ["bin"], x0=F.min("x"), x1=F.max("x"), y0=F.min("y"), y1=F.max("y"))
+    box = ordered.with_group_stats(points, ["bin"], sizes, x0=F.min("x"), x1=F.max("x"), y0=F.min("y"), y1=F.max("y"))
 
     def inside(c: str) -> Column:
         pad = (F.col(f"{c}1") - F.col(f"{c}0")) * 0.01
@@ -59,13 +61,14 @@ def flow_clipping(points: DataFrame) -> DataFrame:
     return box.groupBy("bin").agg((F.lit(100.0) - F.lit(100.0) * share).alias("clipping"))
 
 
-def flow_core_aspect(points: DataFrame, sample: int = 1000) -> DataFrame:
+def flow_core_aspect(points: DataFrame, sample: int = 1000, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Aspect ratio of the dense core: every k-th target, Gaussian kernel density at the targets, the top nine tenths.
 
     The stride leaves fewer than ``2 * sample`` targets per bin, which bounds what one task sees.
     """
     one = F.lit(1).cast("bigint")
-    numbered = ordered.accumulate(points, ["bin"], ["n"], ordered.block_slice("n"), {"_rn": one}, whole={"_n": ("sum", one)})
+    numbered = ordered.accumulate(points, ["bin"], ["n"], ordered.block_slice("n"), {"_rn": one}, whole={"_n": ("sum", one)},
+                                   sizes=sizes)
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / sample))
     chosen = numbered.where((F.col("_rn") - 1) % step == 0)
 
@@ -92,7 +95,8 @@ def flow_metrics(points: DataFrame, bins: DataFrame | None = None) -> DataFrame:
     """The three metrics and their weighted sum; a bin without targets (in ``bins``) scores 0."""
     # Six passes follow, so the places are written once instead of being derived each time.
     rows = cut_lineage(drop_sentinel(points).select("bin", "n", "x", "y"))
-    out = flow_camera_spot(rows).join(flow_clipping(rows), "bin").join(flow_core_aspect(rows), "bin")
+    sizes = ordered.key_sizes(rows, ["bin"])
+    out = flow_camera_spot(rows, sizes).join(flow_clipping(rows, sizes), "bin").join(flow_core_aspect(rows, sizes=sizes), "bin")
     # The weights.
     position = F.col("camera_spot") * 10 + F.col("clipping") * 0.5 + F.col("core_aspect") * 2.5
     out = out.withColumn("position", position)
@@ -113,9 +117,10 @@ def mosaic_layout(tiles: DataFrame, width: int, height: int, page: int = 1, thre
     """
     one = F.lit(1).cast("bigint")
     sized = tiles.withColumn("_down", -F.col("w") * F.col("h"))
+    sizes = ordered.key_sizes(tiles, ["bin"])
     ranked = ordered.accumulate(sized, ["bin"], ["_down", "n"], ordered.block_slice("_down", 256), {"_rank": one},
-                                whole={"_total": ("sum", one)})
-    per_size = ordered.number_rows(ranked, ["bin", "w", "h"], ["n"], ordered.block_slice("n"), out="_k")
+                                whole={"_total": ("sum", one)}, sizes=sizes)
+    per_size = ordered.number_rows(ranked, ["bin", "w", "h"], ["n"], ordered.block_slice("n"), out="_k", sizes=(0, sizes[1]))
     able = per_size.where((F.col("w") <= width) & (F.col("h") <= height) & (F.col("w") > 0) & (F.col("h") > 0) &
                           (F.col("_k") <= F.floor(F.lit(page * width * height) / (F.col("w") * F.col("h")))))
 

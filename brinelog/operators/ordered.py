@@ -3,6 +3,9 @@
 A plain ``Window.partitionBy(key)`` sorts a whole key in one task. Here every key is cut into slices that follow the
 order, the window runs inside a slice, and a small table with one row per (key, slice) carries the state across slices.
 
+Only keys of more than ``HOT_ROWS`` rows are cut in ``accumulate``. If there are none, one window over the keys does the work: the rows are shuffled
+once, and no table of slices is made that would be as long as the rows where keys are many and small.
+
 Without ``slice_by`` the slices are ranges of (keys, order) between quantiles of a bounded sample: ranges hold about equal numbers of rows and grow in number
 with the input, so one hot key, a burst within an hour or one path prefix becomes several even tasks, and many small keys share
 a range. ``slice_by`` may name a column that never decreases along ``order`` instead, where such a column bounds the slices; that saves the sample.
@@ -18,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-G, S, R = "_group", "_slice", "_local"
+G, S, R, H = "_group", "_slice", "_local", "_hot"
 
 
 def hour_slice(ts: str | Column) -> Column:
@@ -33,6 +36,7 @@ def block_slice(n: str | Column, width: int = 65536) -> Column:
     return F.floor(col / width)
 
 
+HOT_ROWS = 1 << 17  # rows of a key that are still sorted in one task
 RANGE_ROWS = 1 << 20  # rows of a range, beyond as many ranges as there are shuffle partitions
 SAMPLES_PER_RANGE = 64
 
@@ -96,33 +100,86 @@ def _attach(rows: DataFrame, carried: DataFrame) -> DataFrame:
     return rows.join(carried, [G, S]).drop(G, S)
 
 
+def key_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Number of rows, and of those of the largest key."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    total, most = counts.agg(F.sum("_n"), F.max("_n")).first()
+    return total or 0, most or 0
+
+
+def spread(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """``df`` dealt by ``keys``, so that about ``RANGE_ROWS`` of its ``rows`` go to a task; few rows are left to Spark."""
+    parts = rows // RANGE_ROWS
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def _accumulate_small(df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: dict[str, Column], exclusive: Sequence[str],
+                      whole: dict[str, tuple[str, Column]], rows: int) -> DataFrame:
+    key = Window.partitionBy(*keys)
+    up = key.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    below = key.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = {n: F.coalesce(F.sum(v).over(below if n in exclusive else up), F.lit(0)) for n, v in totals.items()}
+    return spread(df, keys, rows).withColumns(sums | {n: getattr(F, fn)(v).over(key) for n, (fn, v) in whole.items()})
+
+
 def accumulate(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column | None,
-               totals: dict[str, Column], exclusive: Sequence[str] = (), whole: dict[str, tuple[str, Column]] | None = None
-               ) -> DataFrame:
+               totals: dict[str, Column], exclusive: Sequence[str] = (), whole: dict[str, tuple[str, Column]] | None = None,
+               sizes: tuple[int, int] | None = None) -> DataFrame:
     """Running sums ``name: addend`` up to the row (names in ``exclusive``: before it), all in one pass.
 
     ``whole`` adds facts of the whole key, ``name: (function, value)`` with function sum, min or max; they come from the
-    slice table as well, so they cost no further pass over the rows.
+    slice table as well, so they cost no further pass over the rows. ``sizes`` gives ``key_sizes`` (or those of coarser keys) where they
+    are known, 0 rows if ``df`` is dealt by the keys already; they only decide how the work is dealt.
     """
     whole = whole or {}
+    if keys:
+        sizes = sizes or key_sizes(df, keys)
+        if sizes[1] <= HOT_ROWS:
+            return _accumulate_small(df, keys, order, totals, exclusive, whole, sizes[0])
+        if slice_by is not None:
+            return _accumulate_hot(df, keys, order, slice_by, totals, exclusive, whole)
     rows = _sliced(df, keys, slice_by, order)
+    return _attach_carried(rows, rows, order, totals, exclusive, whole)
+
+
+def _accumulate_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column, totals: dict[str, Column],
+                    exclusive: Sequence[str], whole: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Slices for the keys of over ``HOT_ROWS`` rows, of which there are few; any other key is one slice and carries nothing."""
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS).select(F.struct(*keys).alias(G), F.lit(True).alias(H))
+    marked = df.withColumn(G, F.struct(*keys)).join(F.broadcast(hot), G, "left")
+    rows = marked.withColumn(S, F.struct(F.when(F.col(H), slice_by).alias("at")))
+    return _attach_carried(rows, rows.where(H), order, totals, exclusive, whole).drop(H)
+
+
+def _attach_carried(rows: DataFrame, cut: DataFrame, order: Sequence[str], totals: dict[str, Column], exclusive: Sequence[str],
+                    whole: dict[str, tuple[str, Column]]) -> DataFrame:
+    """Running sums inside the slices of ``rows`` and what the slices before add; ``cut`` has the rows of keys with several slices."""
     every = Window.partitionBy(G)
     parts = [F.sum(v).alias(f"_{n}") for n, v in totals.items()]
     parts += [getattr(F, fn)(v).alias(n) for n, (fn, v) in whole.items()]
-    carried = rows.groupBy(G, S).agg(*parts).select(
+    carried = cut.groupBy(G, S).agg(*parts).select(
         G, S, *[F.coalesce(F.sum(f"_{n}").over(_before()), F.lit(0)).alias(f"_{n}") for n in totals],
-        *[getattr(F, fn)(n).over(every).alias(n) for n, (fn, _) in whole.items()])
+        *[getattr(F, fn)(n).over(every).alias(f"_whole_{n}") for n, (fn, _) in whole.items()])
     up = _inside(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     below = _inside(order).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumns({n: F.coalesce(F.sum(v).over(below if n in exclusive else up), F.lit(0))
                               for n, v in totals.items()})
-    joined = _attach(local, carried)
-    return joined.withColumns({n: F.col(n) + F.col(f"_{n}") for n in totals}).drop(*[f"_{n}" for n in totals])
-
-
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column | None = None, out: str = "rn") -> DataFrame:
+    if cut is rows:
+        joined = _attach(local, carried)
+        facts = {n: F.col(f"_whole_{n}") for n in whole}
+    else:
+        one = Window.partitionBy(G, S)
+        local = local.withColumns({n: getattr(F, fn)(v).over(one) for n, (fn, v) in whole.items()})
+        joined = local.join(carried, [G, S], "left").drop(G, S)
+        facts = {n: F.when(F.col(H), F.col(f"_whole_{n}")).otherwise(F.col(n)) for n in whole}
+    sums = {n: F.col(n) + F.coalesce(F.col(f"_{n}"), F.lit(0)) for n in totals}
+    return joined.withColumns(sums | facts).drop(*[f"_{n}" for n in totals], *[f"_whole_{n}" for n in whole])
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column | None = None, out: str = "rn",
+                sizes: tuple[int, int] | None = None) -> DataFrame:
     """1-based position within ``keys``."""
-    return accumulate(df, keys, order, slice_by, {out: F.lit(1).cast("bigint")})
+    return accumulate(df, keys, order, slice_by, {out: F.lit(1).cast("bigint")}, sizes=sizes)
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice_by: Column | None, value: str,
@@ -173,8 +230,13 @@ def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], slice
     return filled.withColumns({c: F.coalesce(F.col(c), F.col(f"_{c}")) for c in cols}).drop(*[f"_{c}" for c in cols])
 
 
-def with_group_stats(df: DataFrame, keys: Sequence[str], **aggs: Column) -> DataFrame:
-    """Attach per-key aggregates by a pre-aggregated join instead of a window over the whole key."""
+def with_group_stats(df: DataFrame, keys: Sequence[str], sizes: tuple[int, int] | None = None, /, **aggs: Column) -> DataFrame:
+    """Attach per-key aggregates by a pre-aggregated join instead of a window over the whole key.
+
+    Where ``sizes`` (``key_sizes``) says that no key is hot, a window does it: one shuffle, which steps by the same keys use again.
+    """
+    if sizes is not None and sizes[1] <= HOT_ROWS:
+        return spread(df, keys, sizes[0]).withColumns({n: a.over(Window.partitionBy(*keys)) for n, a in aggs.items()})
     rows = df.withColumn(G, F.struct(*keys))
     return rows.join(rows.groupBy(G).agg(*[a.alias(n) for n, a in aggs.items()]), G).drop(G)
 

@@ -76,7 +76,8 @@ class Tables:
         if known not in _INGESTED:
             numbered = ordered.accumulate(
                 self.raw_targets, ["bin"], ["line", "part", "supp", "price", "shipped"], F.col("line"),
-                {"targetNumber": F.lit(1).cast("bigint"), "byteOffset": F.col("width") * F.col("height")}, ["byteOffset"])
+                {"targetNumber": F.lit(1).cast("bigint"), "byteOffset": F.col("width") * F.col("height")}, ["byteOffset"],
+                sizes=ordered.key_sizes(self.read("lineitem"), ["l_orderkey"]))
             path = scratch_path(self.spark, "targets")
             numbered.select("bin", "targetNumber", "trigger", "left", "bottom", "width", "height", "byteOffset", "supp",
                             "part", "price").write.parquet(path)

@@ -33,6 +33,28 @@ def expected(rows):
     return rows.fillna({"k": "(null)"}).sort_values("at")
 
 
+@pytest.mark.parametrize("limit", [100, 700, 1 << 17])
+@pytest.mark.parametrize("sliced", [True, False])
+def test_accumulate_with_hot_and_small_keys(df, rows, limit, sliced, monkeypatch):
+    """All keys cut, only the hot one cut, none cut: the same sums and facts."""
+    monkeypatch.setattr(ordered, "HOT_ROWS", limit)
+    out = ordered.accumulate(df, ["k"], ["at"], ordered.block_slice("at", 100) if sliced else None, {"up": F.lit(2), "below": F.col("at")}, ["below"],
+                             {"lo": ("min", F.col("at")), "n": ("sum", F.lit(1))})
+    assert out.columns == ["k", "at", "v", "up", "below", "lo", "n"]
+    got = by_place(out, "up", "below", "lo", "n")
+    by = expected(rows).set_index("at", drop=False).groupby("k")["at"]
+    assert (got["up"] == 2 * (by.cumcount() + 1)).all() and (got["below"] == by.cumsum() - by.transform(lambda a: a)).all()
+    assert (got["lo"] == by.transform("min")).all() and (got["n"] == by.transform("size")).all() and len(got) == len(rows)
+
+
+def test_small_keys_are_shuffled_once(spark):
+    """No table of slices, as long as the rows, is made and joined where no key is hot."""
+    many = spark.range(2000).selectExpr("id % 900 AS k", "id AS at")
+    out = ordered.accumulate(many, ["k"], ["at"], F.col("at"), {"rn": F.lit(1)}, whole={"n": ("sum", F.lit(1))})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and out.where("rn = n").count() == 900
+
+
 def test_number_rows(df, rows):
     got = by_place(ordered.number_rows(df, ["k"], ["at"], ordered.block_slice("at", 100)), "rn")["rn"]
     want = expected(rows).set_index("at").groupby("k").cumcount() + 1
