@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,10 +126,11 @@ def read_ranges(rows: DataFrame, path: str = "path", offset: str = "byteOffset",
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             data = [None] * len(pdf)
+            sizes, starts = pdf[length].tolist(), pdf[offset].tolist()
             for name, idx in pdf.groupby(path, sort=False).indices.items():
                 with _open(name) as handle:
-                    for i in idx:
-                        data[i] = handle.read_at(int(pdf[length].iat[i]), int(pdf[offset].iat[i]))
+                    for i in idx.tolist():
+                        data[i] = handle.read_at(int(sizes[i]), int(starts[i]))
             yield pdf.assign(data=data)
 
     return rows.mapInPandas(fetch, schema)
@@ -135,12 +138,17 @@ def read_ranges(rows: DataFrame, path: str = "path", offset: str = "byteOffset",
 
 def bytes_to_pixels(rows: DataFrame, keys: Sequence[str], width: str = "width", height: str = "height") -> DataFrame:
     """Pixel rows ``keys, y, x, v`` of unsigned bytes. Stored images are turned by 90 degrees: ``width`` rows."""
-    data = F.col("data")
-    at = F.explode(F.sequence(F.lit(0), F.length(data) - 1)).alias("_i")
-    flat = rows.where(F.length("data") > 0).select(*keys, height, "data", at)
-    value = F.conv(F.hex(F.substring("data", F.col("_i") + 1, F.lit(1))), 16, 10).cast("int")
+    def values(data: pa.Array) -> pa.Array:
+        """The bytes of each cell as numbers, without a copy per cell."""
+        plain = data.cast(pa.binary())
+        _, offsets, content = plain.buffers()
+        at = np.frombuffer(offsets, np.int32)[plain.offset:plain.offset + len(plain) + 1]
+        levels = np.frombuffer(content or b"", np.uint8)[at[0]:at[-1]]
+        return pa.ListArray.from_arrays(pa.array(at - at[0]), pa.array(levels.astype(np.int16)))
+
+    flat = rows.where(F.length("data") > 0).select(*keys, height, F.posexplode(F.arrow_udf(values, "array<smallint>")("data")).alias("_i", "_v"))
     return flat.select(*keys, F.floor(F.col("_i") / F.col(height)).alias("y"),
-                       (F.col("_i") % F.col(height)).cast("bigint").alias("x"), value.alias("v"))
+                       (F.col("_i") % F.col(height)).cast("bigint").alias("x"), F.col("_v").cast("int").alias("v"))
 
 
 def roi_pixels_scan(targets: DataFrame, keys: Sequence[str]) -> DataFrame:
