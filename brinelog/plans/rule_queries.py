@@ -9,7 +9,7 @@ from brinelog.functions import ids, nested, text, times
 from brinelog.operators import ordered, rules
 from brinelog.plans.registry import query
 from brinelog.session import scratch_path
-from brinelog.sources import readers
+from brinelog.sources import readers, sinks
 
 L = "l_orderkey, l_linenumber, l_partkey, l_quantity"
 LC = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity"]
@@ -326,7 +326,7 @@ def _(t):
     doc = F.to_json(F.struct(F.struct(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("pid"), F.col("s_name").alias("name"),
                                       F.col("s_acctbal").cast("string").alias("balance")).alias("supplier")), {"pretty": "true"})
     folder = scratch_path(t.spark, "json-files")
-    t.supplier.select(doc.alias("value"), "s_suppkey").write.partitionBy("s_suppkey").text(folder)
+    sinks.write_text_files(t.supplier.select(doc.alias("value"), "s_suppkey"), "s_suppkey", "value", folder)
     return nested.json_bind(readers.json_file_scan(t.spark, folder).select("doc"), "doc", "supplier").drop("doc")
 
 

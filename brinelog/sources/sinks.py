@@ -6,9 +6,11 @@ a document with very many parts is never gathered in one cell. ``write_document`
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from urllib.parse import quote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,39 @@ def write_document(lines: DataFrame, path: str, key: Sequence[str] = ("doc", "se
     lines.repartitionByRange(*key).sortWithinPartitions(*key).select("text").write.mode("overwrite").text(path)
 
 
+def write_text_files(rows: DataFrame, key: str, value: str, folder: str) -> int:
+    """One text file per ``key``, all in ``folder``, with its values as lines; returns the number of files.
+
+    Tasks write the files themselves: a folder per key, as a partitioned write makes it, is moved and listed by the driver one by one. A
+    task that runs again writes the same files with the same content.
+    """
+    from pyarrow import fs
+
+    def target() -> tuple[fs.FileSystem, str]:
+        plain = folder.replace("file:/", "/", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
+        return fs.FileSystem.from_uri(plain)
+
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, where = target()
+        name, handle, files = None, None, 0
+        for pdf in batches:
+            for own, line in zip(pdf["name"].tolist(), pdf["line"].tolist()):
+                if own != name:
+                    if handle is not None:
+                        handle.close()
+                    name, handle, files = own, system.open_output_stream(f"{where}/{quote(own, safe='')}"), files + 1
+                handle.write((("" if line is None else line) + "\n").encode())
+        if handle is not None:
+            handle.close()
+        yield pd.DataFrame({"files": [files]})
+
+    system, where = target()
+    system.create_dir(where, recursive=True)
+    named = rows.select(F.coalesce(F.concat(F.lit("key-"), F.col(key).cast("string")), F.lit("none")).alias("name"), F.col(value).alias("line"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return named.repartition(parts, "name").sortWithinPartitions("name", "line").mapInPandas(put, "files long").agg(F.sum("files")).first()[0] or 0
+
+
 # -- CSV --------------------------------------------------------------------------------------------------------------
 
 def csv_field(col: str, dtype: str) -> Column:

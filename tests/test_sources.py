@@ -129,3 +129,24 @@ def test_pixels_of_every_target(spark, sf_dir):
         want[r.bin, r.targetNumber] = (len(part), sum(part))
     assert max(k for _, k in want) > 1 and got == want
     assert all(n for n, _ in want.values())
+
+
+def test_bytes_to_pixels_without_text_per_pixel(spark):
+    """Bytes become numbers an image at a time; empty and null cells have no pixels."""
+    rows = spark.createDataFrame([(1, 3, bytearray([0, 127, 128, 255, 7, 9])), (2, 2, bytearray()), (3, 2, None), (4, 1, bytearray([200]))],
+                                 "bin long, height long, data binary")
+    px = readers.bytes_to_pixels(rows, ["bin"])
+    assert dict(px.dtypes) == {"bin": "bigint", "y": "bigint", "x": "bigint", "v": "int"}
+    assert sorted(map(tuple, px.collect())) == [(1, 0, 0, 0), (1, 0, 1, 127), (1, 0, 2, 128), (1, 1, 0, 255), (1, 1, 1, 7), (1, 1, 2, 9), (4, 0, 0, 200)]
+    assert "conv(" not in px._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_text_files_lie_in_one_folder(spark, tmp_path):
+    """A file per key and no folder per key; rows without a key share a file, keys may hold any character."""
+    rows = spark.createDataFrame([("a/b", "1"), ("c", "2"), ("c", "2"), (None, "3"), (None, "4")], "k string, v string")
+    sinks.write_text_files(rows, "k", "v", f"{tmp_path}/files")
+    sinks.write_text_files(rows.limit(0), "k", "v", f"{tmp_path}/none")
+    found = readers.json_file_scan(spark, f"{tmp_path}/files")
+    assert sorted(r.doc for r in found.collect()) == ["1\n", "2\n2\n", "3\n4\n"]
+    assert len(found.inputFiles()) == len([p for p in (tmp_path / "files").iterdir() if p.is_file()]) == 3
+    assert readers.json_file_scan(spark, f"{tmp_path}/none").count() == 0
