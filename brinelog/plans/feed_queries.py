@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from brinelog.functions.times import iso8601
-from brinelog.operators import feed
+from brinelog.operators import feed, ordered
 from brinelog.plans.registry import query
 
 T0, T1, MID = datetime(2024, 1, 5), datetime(2024, 1, 20, 12), datetime(2024, 1, 15, 6, 30)
@@ -96,7 +96,9 @@ def _(t):
 @query("bin_file_join", """SELECT id, lid, filename, length, count(*) AS copies FROM obins JOIN files ON id = bin_id
   GROUP BY ALL""")
 def _(t):
-    return feed.bin_file_join(t.obins, t.files).groupBy("id", "lid", "filename", "length").agg(
+    rows = t.files.count()
+    joined = feed.bin_file_join(ordered.spread(t.obins, ["id"], rows), ordered.spread(t.files, ["bin_id"], rows))
+    return joined.groupBy("id", "lid", "filename", "length").agg(
         F.count("*").alias("copies"))
 
 
