@@ -560,7 +560,9 @@ def _(t):
 @query("product_path_candidates", PARSED + """SELECT o_orderkey, count(*) AS n, '/r/features' || any_value(p.year) || '_v2/' || any_value(p.bin_lid) ||
   '_fea_v2.csv' AS best FROM parsed p, range(22) GROUP BY 1""")
 def _(t):
-    rows = files.product_path_candidates(_parsed(t).withColumn("root", F.lit("/r")))
+    # Candidates of a key stay in the task that makes them: the minimum of a text needs them sorted, a bounded number at a time.
+    parsed = ordered.spread(_parsed(t), ["o_orderkey"], t.orders.count() * 22)
+    rows = files.product_path_candidates(parsed.withColumn("root", F.lit("/r")))
     return rows.groupBy("o_orderkey").agg(F.count("*").alias("n"), F.min_by("file_path", "prio").alias("best"))
 
 
