@@ -180,7 +180,7 @@ def json_string(value: Column) -> Column:
 
 def _comma(df: DataFrame, doc: str, text: Column) -> tuple[DataFrame, Column]:
     """A comma before every part but the first of its document."""
-    rows = ordered.with_group_stats(df, [doc], _first=F.min("n"))
+    rows = ordered.with_group_stats(df, [doc], ordered.key_sizes(df, [doc]), _first=F.min("n"))
     return rows, F.concat(F.when(F.col("n") > F.col("_first"), F.lit(",")).otherwise(F.lit("")), text)
 
 

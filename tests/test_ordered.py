@@ -147,3 +147,16 @@ def test_ranges_follow_nulls_and_mixed_keys(df, rows, spark):
         placed = kinds.withColumn("r", ordered.range_slice(kinds, [], order, ranges=7)).orderBy(*order).toPandas()["r"]
         assert placed.is_monotonic_increasing and placed.nunique() == 7
     assert ordered.number_rows(df.where("at < 0"), ["k"], ["at"]).count() == 0
+
+
+def test_rows_are_spread_by_their_number(spark, monkeypatch):
+    """Tasks get a bounded number of rows, whatever the number of shuffle partitions; steps by the same keys shuffle no more."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 10)
+    rows = spark.range(1000).selectExpr("id % 300 AS k", "id AS v")
+    assert ordered.spread(rows, ["k"], 10 * parts).rdd.getNumPartitions() == rows.rdd.getNumPartitions()
+    dealt = ordered.spread(rows, ["k"], 1000)
+    assert dealt.rdd.getNumPartitions() == 100
+    stats = ordered.with_group_stats(rows, ["k"], ordered.key_sizes(rows, ["k"]), lo=F.min("v"))
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and stats.where("lo = v").count() == 300
