@@ -13,7 +13,6 @@ a range. ``slice_by`` may name a column that never decreases along ``order`` ins
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -63,13 +62,15 @@ def range_slice(df: DataFrame, keys: Sequence[str], order: Sequence[str], ranges
     cuts = list(dict.fromkeys(tuple(drawn[len(drawn) * i // ranges]) for i in range(1, ranges))) if drawn else []
     if not cuts:
         return F.lit(0)
-    bounds = [F.struct(*[_literal(v, kinds[n]).alias(n) for n, v in zip(names, cut)]) for cut in cuts]
-    place = F.struct(*names)
-    width = math.isqrt(len(bounds)) + 1  # first among every width-th bound, then among those that follow it
-    groups = [bounds[i:i + width] for i in range(0, len(bounds), width)]
-    coarse = F.size(F.filter(F.array(*[g[0] for g in groups]), lambda b: b <= place))
-    fine = F.get(F.array(*[F.array(*g) for g in groups]), F.greatest(coarse - 1, F.lit(0)))
-    return F.greatest((coarse - 1) * width, F.lit(0)) + F.size(F.filter(fine, lambda b: b <= place))
+    bounds = F.array(*[F.struct(*[_literal(v, kinds[n]).alias(n) for n, v in zip(names, cut)]) for cut in cuts])
+    # Binary search: the number of bounds at or below the row grows by halved steps; beyond the last bound ``get`` is null.
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))])
+
+    def number(place: Column) -> Column:
+        return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(bounds, n + step - 1) <= place, n + step).otherwise(n))
+
+    # As an item of an array the place is made once a row, not once a comparison.
+    return F.get(F.transform(F.array(F.struct(*names)), number), F.lit(0))
 
 
 def _sliced(df: DataFrame, keys: Sequence[str], slice_by: Column | None, order: Sequence[str]) -> DataFrame:

@@ -160,3 +160,30 @@ def test_rows_are_spread_by_their_number(spark, monkeypatch):
     stats = ordered.with_group_stats(rows, ["k"], ordered.key_sizes(rows, ["k"]), lo=F.min("v"))
     plan = stats._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Join" not in plan and stats.where("lo = v").count() == 300
+
+
+def test_more_rows_than_a_task_should_have_are_never_joined_again(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 10)
+    rows = spark.range(1000).selectExpr("id % 300 AS k", "id AS v")
+    assert "REPARTITION_BY_NUM" in ordered.spread(rows, ["k"], 11)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in ordered.spread(rows, ["k"], 10)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("ranges", [2, 3, 4, 5, 8, 9, 33])
+def test_ranges_are_found_by_halving(spark, ranges):
+    rows = spark.range(0, 4000, 1, 3).selectExpr("id % 7 AS k", "IF(id % 11 = 0, NULL, id) AS v")
+    number = ordered.range_slice(rows, ["k"], ["v"], ranges=ranges)
+    assert "filter(" not in str(number)
+    placed = rows.withColumn("r", number).orderBy("k", "v").toPandas()["r"]
+    assert placed.is_monotonic_increasing and placed.iat[0] == 0 and placed.nunique() == ranges and placed.max() == ranges - 1
+
+
+def test_scores_of_a_bin_are_dealt_once(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "RANGE_ROWS", 10)
+    long = spark.range(600).selectExpr("concat('b', id % 90) AS bin_lid", "concat('c', id % 2) AS class_label", "id AS roi", "id / 7 AS score")
+    stored = annotations.scores_to_arrays(long)
+    assert stored._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert "REPARTITION_BY_NUM" in stored._jdf.queryExecution().executedPlan().toString()
+    assert stored.selectExpr("sum(size(roinums))").first()[0] == 600 and stored.count() == 90
+    monkeypatch.setattr(ordered, "HOT_ROWS", 3)
+    assert sorted(map(str, annotations.scores_to_arrays(long).collect())) == sorted(map(str, stored.collect()))
