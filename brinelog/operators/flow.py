@@ -40,10 +40,13 @@ def flow_distance_profile(points: DataFrame, slice_pixels: float = 16.0, sizes:
 
 def flow_camera_spot(points: DataFrame, sizes: tuple[int, int] | None = None) -> DataFrame:
     """Share of the most frequent distance on either side of the elbow of the profile, the larger one."""
-    # The profile is read twice below; written once, it is not computed twice.
-    profile = cut_lineage(flow_distance_profile(points, sizes=sizes))
-    elbow = profile.groupBy("bin").agg(F.min_by("_rn", F.struct((F.col("s") - F.col("i")).alias("g"), F.col("_rn"))).alias("_e"))
-    sides = profile.join(elbow, "bin").withColumn("_side", F.col("_rn") >= F.col("_e"))
+    sizes = sizes or ordered.key_sizes(points, ["bin"])
+    profile = flow_distance_profile(points, sizes=sizes).where("bin IS NOT NULL").select(
+        "bin", "d", "_rn", (F.col("s") - F.col("i")).alias("_g"))
+    # Small bins are dealt once, by the profile; only where a bin is cut is the profile read twice, and written before.
+    profile = profile if sizes[1] <= ordered.HOT_ROWS else cut_lineage(profile)
+    elbow = ordered.with_group_stats(profile, ["bin"], (0, sizes[1]), _low=F.min(F.struct("_g", "_rn")))
+    sides = elbow.withColumn("_side", F.col("_rn") >= F.col("_low._rn"))
     counts = sides.groupBy("bin", "_side", "d").agg(F.count("*").alias("_c"))
     shares = counts.groupBy("bin", "_side").agg((F.max("_c") / F.sum("_c")).alias("_share"))
     return shares.groupBy("bin").agg(F.max("_share").alias("camera_spot"))
