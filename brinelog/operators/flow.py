@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brinelog.operators import ordered
-from brinelog.operators.grouped import per_group
+from brinelog.operators.grouped import per_group, per_groups
 from brinelog.session import cut_lineage
 
 # Fixed value: the place of a target without an image.
 SENTINEL = -999
+PAIRS_AT_ONCE = 1 << 16
 
 
 def drop_sentinel(points: DataFrame) -> DataFrame:
@@ -75,23 +77,43 @@ def flow_core_aspect(points: DataFrame, sample: int = 1000, sizes: tuple[int, in
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / sample))
     chosen = numbered.where((F.col("_rn") - 1) % step == 0)
 
-    def aspect(bin: object, cols: dict) -> list[tuple]:
-        import numpy as np
-        xy = np.array([cols["x"], cols["y"]], dtype=float)
-        n, ratio = xy.shape[1], None
-        if n > 2:
-            cov = np.cov(xy) * n ** (-1 / 3)
-            if np.linalg.det(cov) > 1e-12:
-                white = np.linalg.solve(np.linalg.cholesky(cov), xy)
-                density = np.array([np.exp(-0.5 * ((white - white[:, [k]]) ** 2).sum(axis=0)).sum() for k in range(n)])
-                core = xy[:, density > np.percentile(density, 10)]
-                width, height = np.ptp(core, axis=1) if core.size else (0, 0)
-                if width > 0 and height > 0:
-                    ratio = float(min(width / height, height / width))
-        return [(bin, ratio)]
+    def aspects(cuts: list[int], cols: dict) -> list[tuple]:
+        first, sizes = np.array(cuts[:-1]), np.diff(cuts)
+        x, y = (np.asarray(cols[c], dtype=float) for c in ("x", "y"))
+        ratios: list[float | None] = [None] * len(first)
+        for n in np.unique(sizes[sizes > 2]).tolist():  # bins of one size at once
+            same = np.flatnonzero(sizes == n)
+            at_once = max(1, PAIRS_AT_ONCE // n ** 2)
+            for k in range(0, len(same), at_once):
+                own = same[k:k + at_once]
+                place = first[own][:, None] + np.arange(n)
+                for bin, ratio in zip(own.tolist(), _core_aspects(np.stack([x[place], y[place]], axis=1))):
+                    ratios[bin] = ratio
+        return list(zip(cols["bin"][first], ratios))
 
     schema = f"bin {dict(points.dtypes)['bin']}, core_aspect double"
-    return per_group(chosen.select("bin", "n", "x", "y"), "bin", ["n"], aspect, schema)
+    return per_groups(chosen.select("bin", "n", "x", "y"), "bin", ["n"], aspects, schema)
+
+
+def _core_aspects(xy: np.ndarray) -> list[float | None]:
+    """Aspect ratio of the dense core of each bin; ``xy`` is bins by two by targets."""
+    n, out = xy.shape[2], np.full(len(xy), np.nan)
+    off = xy - xy.mean(axis=2, keepdims=True)
+    cov = off @ off.transpose(0, 2, 1) * (1 / (n - 1)) * n ** (-1 / 3)
+    wide = np.flatnonzero(np.linalg.det(cov) > 1e-12)
+    white = np.linalg.solve(np.linalg.cholesky(cov[wide]), xy[wide])
+    density, step = np.empty((len(wide), n)), max(1, PAIRS_AT_ONCE // n)
+    for k in range(0, n, step):
+        pairs = (white[:, 0, None, :] - white[:, 0, k:k + step, None]) ** 2
+        pairs += (white[:, 1, None, :] - white[:, 1, k:k + step, None]) ** 2
+        pairs *= -0.5
+        density[:, k:k + step] = np.exp(pairs, out=pairs).sum(axis=2)
+    core = (density > np.percentile(density, 10, axis=1, keepdims=True))[:, None, :]
+    sides = np.where(core, xy[wide], -np.inf).max(axis=2) - np.where(core, xy[wide], np.inf).min(axis=2)
+    flat = (sides > 0).all(axis=1)
+    width, height = sides[flat].T
+    out[wide[flat]] = np.minimum(width / height, height / width)
+    return [None if np.isnan(r) else r for r in out.tolist()]
 
 
 def flow_metrics(points: DataFrame, bins: DataFrame | None = None) -> DataFrame:

@@ -19,7 +19,15 @@ def _spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def per_group(df: DataFrame, key: str, order: Sequence[str], fn: Callable[[object, dict], list[tuple]], schema: str) -> DataFrame:
-    """Run ``fn(key value, columns as arrays) -> rows`` on the rows of each key, in ``order``.
+    """Run ``fn(key value, columns as arrays) -> rows`` on the rows of each key, in ``order``. Groups must be bounded."""
+    def each(cuts: list[int], cols: dict) -> list[tuple]:
+        return [row for a, b in zip(cuts, cuts[1:]) for row in fn(cols[key][a], {c: v[a:b] for c, v in cols.items()})]
+
+    return per_groups(df, key, order, each, schema)
+
+
+def per_groups(df: DataFrame, key: str, order: Sequence[str], fn: Callable[[list[int], dict], list[tuple]], schema: str) -> DataFrame:
+    """Run ``fn(cuts, columns as arrays) -> rows`` on many whole groups at once: one lies between each two of ``cuts``.
 
     Groups must be bounded. They stream by in sorted partitions, so many small groups share one Arrow batch and only the
     group at a batch border is carried over.
@@ -33,10 +41,7 @@ def per_group(df: DataFrame, key: str, order: Sequence[str], fn: Callable[[objec
             values = rows[key].to_numpy()
             cuts = [0, *(np.flatnonzero(values[1:] != values[:-1]) + 1).tolist(), len(values)]
             cols = {c: rows[c].to_numpy() for c in rows.columns}
-            out: list[tuple] = []
-            for a, b in zip(cuts, cuts[1:]):
-                out.extend(fn(values[a], {c: v[a:b] for c, v in cols.items()}))
-            return pd.DataFrame(out, columns=names)
+            return pd.DataFrame(fn(cuts, cols), columns=names)
 
         for pdf in batches:
             if pdf.empty:

@@ -170,3 +170,33 @@ def test_classify_flat_sand(spark):
     rows = [(1, y, x, c, v) for y in range(6) for x in range(6) for c, v in enumerate((150, 160, 170))]
     df = spark.createDataFrame(rows, "img int, y long, x long, c int, v long")
     assert {r["class"] for r in pixels.classify_pixels(df, 6, 6).collect()} == {2}
+
+
+def test_spot_of_small_bins_is_shuffled_once(spark):
+    df = spark.createDataFrame([(b, i, (i * 7) % 31, (i * i) % 17) for b in (1, 2, None) for i in range(40)], "bin int, n long, x long, y long")
+    out = flow.flow_camera_spot(df)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert sorted(r.bin for r in out.collect()) == [1, 2]
+
+
+def test_cores_of_many_bins_at_once(spark):
+    def alone(xy):
+        cov = np.cov(xy) * xy.shape[1] ** (-1 / 3)
+        if np.linalg.det(cov) <= 1e-12:
+            return None
+        white = np.linalg.solve(np.linalg.cholesky(cov), xy)
+        density = np.array([np.exp(-0.5 * ((white - white[:, [k]]) ** 2).sum(axis=0)).sum() for k in range(xy.shape[1])])
+        core = xy[:, density > np.percentile(density, 10)]
+        width, height = np.ptp(core, axis=1) if core.size else (0, 0)
+        return float(min(width / height, height / width)) if width > 0 and height > 0 else None
+
+    rng = np.random.default_rng(3)
+    for n, high in ((3, 3), (4, 50), (7, 4), (300, 90)):
+        xy = rng.integers(0, high, (60 if n < 100 else 3, 2, n)).astype(float)
+        got = flow._core_aspects(xy)
+        assert [g is None for g in got] == [alone(b) is None for b in xy]
+        assert all(a is None or abs(a - g) < 1e-9 for a, g in zip(map(alone, xy), got))
+    df = spark.createDataFrame([(b, i, (i * 7 * b) % 31, (i * i) % 17) for b in range(1, 9) for i in range(b)], "bin int, n long, x long, y long")
+    got = {r.bin: r.core_aspect for r in flow.flow_core_aspect(df).collect()}
+    want = {b: alone(np.array([[(i * 7 * b) % 31 for i in range(b)], [(i * i) % 17 for i in range(b)]], float)) if b > 2 else None for b in range(1, 9)}
+    assert got == pytest.approx(want)
