@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brinelog.operators import ordered
+
 # The three files of a fileset, file names and folders of products, and folder layouts as patterns.
 EXTENSIONS = ("hdr", "adc", "roi")
 PRODUCT_FILES = {
@@ -46,6 +48,9 @@ def _fill(template: str, **values: Column) -> Column:
 
 def _row_values() -> dict[str, Column]:
     return {"root": F.col("root"), "lid": F.col("bin_lid"), "year": F.col("year"), "yearday": F.col("yearday"),
+PLACED_BY = ("root", "year", "yearday", "instrument", "schema_version")  # columns that decide where a raw file lies
+
+
             "instrument": F.col("instrument")}
 
 
@@ -128,7 +133,12 @@ def fileset_multi_root(parsed: DataFrame, listing: DataFrame, key: Sequence[str]
     name = _file_name(F.col("path"))
     listed = listing.select(F.col("path").alias("file_path"), name.alias("_name"), F.substring_index(name, ".", -1).alias("_ext")).where(
         F.col("_ext").isin(*EXTENSIONS)).withColumn("bin_lid", F.expr("substring(_name, 1, length(_name) - 4)"))
-    found = parsed.drop("extension").join(listed, "bin_lid").withColumn("_prio", _raw_rank(F.col("file_path"), F.col("_name"))).where("_prio IS NOT NULL")
+    wanted = parsed.select(*dict.fromkeys([*key, "root_order", "bin_lid", *PLACED_BY]))
+    rows = wanted.count()
+    found = ordered.spread(wanted, ["bin_lid"], 4 * rows).join(ordered.spread(listed, ["bin_lid"], 4 * rows), "bin_lid").withColumn(
+        "_prio", _raw_rank(F.col("file_path"), F.col("_name"))).where("_prio IS NOT NULL").select(*key, "root_order", "_ext", "_prio", "file_path")
+    # Dealt by key once, for both groupings below; only then are the texts of a key sorted.
+    found = ordered.spread(found, key, 4 * rows)
     best = [F.min_by(F.when(F.col("_ext") == e, F.col("file_path")), F.when(F.col("_ext") == e, F.col("_prio"))).alias(f"{e}_path") for e in EXTENSIONS]
     per_root = found.groupBy(*key, "root_order").agg(*best).na.drop(subset=[f"{e}_path" for e in EXTENSIONS])
     paths = F.struct(*[f"{e}_path" for e in EXTENSIONS])

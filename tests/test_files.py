@@ -93,3 +93,31 @@ def test_places_are_summed_per_length_not_per_batch(spark):
         a, b = again.get((r.n, r.i, r.j), (0, 0))
         again[r.n, r.i, r.j] = (a + r.hits, b + r.paths)
     assert again == want and len(split) > len(whole)
+
+
+def test_folders_of_a_listing_are_matched_once(spark):
+    """Hits equal those of matching every path below every parent; rows are made from folders, not from files."""
+    import itertools
+    import re
+    folders = ["", "/", "/a/", "/a/2013/D2013/", "a/", "/a/IFCB1_2013_001/", "/a/2013/IFCB1_2013_001/", "/b/D2013/D1/", "/b/2013/20130101/", "/c/features2013_v2/", "//"]
+    names = ["x.hdr", "x.roi", ".adc", "x_blobs_v2.zip", "y_fea_v4.csv", "x.txt", "", "x.hdr\n"]
+    paths = [f + n for f, n in itertools.product(folders, names)] + [None]
+    want = set()
+    for path in filter(None, paths):
+        parts = path.split("/")
+        for n in range(1, len(parts)):
+            up, rest = "/".join(parts[:n]), "/".join(parts[n:])
+            want |= {(up, p) for p, (below, name) in files.DATA_DIR_LAYOUTS.items() if re.search(f"^{below}{name}", rest)}
+    listing = spark.createDataFrame([(p,) for p in paths], "path string")
+    hits = files._dir_hits(listing, files.DATA_DIR_LAYOUTS)
+    assert {tuple(r) for r in hits.collect()} == want and hits.count() == len(want) > 12
+
+
+def test_filesets_of_many_rows_are_dealt_by_their_number(spark, parsed, monkeypatch):
+    three = parsed.drop("extension").withColumn("extension", F.explode(F.array(*map(F.lit, files.EXTENSIONS))))
+    listing = some_of(files.file_path_candidates(three), 2)
+    few = rows_of(files.fileset_multi_root(parsed, listing, ["k"]))
+    monkeypatch.setattr(files.ordered, "RANGE_ROWS", 40)
+    many = files.fileset_multi_root(parsed, listing, ["k"])
+    assert many._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM") == 3
+    assert rows_of(many) == few and few
