@@ -27,12 +27,14 @@ PRODUCT_FOLDERS = {
 }
 DAY_FOLDERS = {"v1": ["IFCB{instrument}_{yearday}"], "v2": ["D{yearday}", "D{year}/D{yearday}", "{year}/{yearday}"]}
 STANDARD_FOLDERS = ["{root}/{year}/{day}/{filename}", "{root}/{filename}", "{root}/{day}/{filename}"]
-RAW_LAYOUTS = r"(|IFCB[^/]*/|[0-9][^/]*/(D|IFCB)[^/]*/|D[0-9][^/]*/D[^/]*/)[^/]+\.(hdr|adc|roi)$"
+# A layout is a pattern of the folders below the root and one of the file name.
+RAW_LAYOUT = (r"(|IFCB[^/]*/|[0-9][^/]*/(D|IFCB)[^/]*/|D[0-9][^/]*/D[^/]*/)", r"[^/]+\.(hdr|adc|roi)$")
+RAW_LAYOUTS = "".join(RAW_LAYOUT)
 DATA_DIR_LAYOUTS = {
     "raw": (r"(|[0-9][^/]*/IFCB[0-9]_[0-9][^/]*_[0-9][^/]*/|[0-9][^/]*/D[0-9][^/]*/|IFCB[0-9]_[0-9][^/]*_[0-9][^/]*/"
-            r"|D[0-9][^/]*/D[0-9][^/]*/)[^/]*\.(adc|hdr|roi)"),
-    "blobs": r"[0-9][^/]*/[0-9][^/]*/[^/]*_blobs_v[^/]*\.zip",
-    "features": r"features[0-9][^/]*_v[0-9][^/]*/[^/]*_fea_v[^/]*\.csv",
+            r"|D[0-9][^/]*/D[0-9][^/]*/)", r"[^/]*\.(adc|hdr|roi)$"),
+    "blobs": (r"[0-9][^/]*/[0-9][^/]*/", r"[^/]*_blobs_v[^/]*\.zip$"),
+    "features": (r"features[0-9][^/]*_v[0-9][^/]*/", r"[^/]*_fea_v[^/]*\.csv$"),
 }
 
 
@@ -46,11 +48,11 @@ def _fill(template: str, **values: Column) -> Column:
     return F.concat(*parts, F.lit(rest))
 
 
-def _row_values() -> dict[str, Column]:
-    return {"root": F.col("root"), "lid": F.col("bin_lid"), "year": F.col("year"), "yearday": F.col("yearday"),
 PLACED_BY = ("root", "year", "yearday", "instrument", "schema_version")  # columns that decide where a raw file lies
 
 
+def _row_values() -> dict[str, Column]:
+    return {"root": F.col("root"), "lid": F.col("bin_lid"), "year": F.col("year"), "yearday": F.col("yearday"),
             "instrument": F.col("instrument")}
 
 
@@ -207,8 +209,7 @@ def union_roots(listing: DataFrame, roots: Sequence[str]) -> DataFrame:
 
 def validate_data_dir(listing: DataFrame, roots: DataFrame, product: str) -> DataFrame:
     """Roots (``root``) that look like a folder of the product: the root must be one of a file's parent folders."""
-    pattern = "^" + DATA_DIR_LAYOUTS[product] + "$"
-    return _dir_hits(listing, {product: pattern}).select(F.col("directory").alias("root")).join(
+    return _dir_hits(listing, {product: DATA_DIR_LAYOUTS[product]}).select(F.col("directory").alias("root")).join(
         roots.select("root").distinct(), "root").distinct()
 
 
@@ -219,16 +220,26 @@ def _parents(path: Column) -> Column:
                        lambda n: F.array_join(F.slice(parts, 1, n), "/"))
 
 
-def _dir_hits(listing: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    rows = listing.select("path", F.explode(_parents(F.col("path"))).alias("directory"))
-    rest = F.substr("path", F.length("directory") + 2)
-    hits = F.array_compact(F.array(*[F.when(rest.rlike(p), F.lit(n)) for n, p in patterns.items()]))
-    return rows.select("directory", F.explode(hits).alias("product")).distinct()
+def _dir_hits(listing: DataFrame, layouts: dict[str, tuple[str, str]]) -> DataFrame:
+    """(directory, product): folders that have files of a product in its layout below them.
+
+    File names are told apart first; what remains, each folder once with the products of its files, is matched against the folders above.
+    """
+    def told(text: Column, part: int) -> Column:
+        return F.array_compact(F.array(*[F.when(text.rlike("^" + p[part]), F.lit(n)) for n, p in layouts.items()]))
+
+    path, name = F.col("path"), _file_name(F.col("path"))
+    folder = F.expr("substring(path, 1, length(path) - length(substring_index(path, '/', -1)))")  # ends in a slash
+    folders = listing.where(F.contains(path, F.lit("/"))).select(folder.alias("_folder"), F.explode(told(name, 1)).alias("product")).distinct()
+    rows = folders.select("_folder", "product", F.explode(_parents(F.col("_folder"))).alias("directory"))
+    below = F.substr("_folder", F.length("directory") + 2)
+    inside = reduce(lambda a, n: F.when(F.col("product") == n, below.rlike(f"^{layouts[n][0]}$")).otherwise(a), layouts, F.lit(False))
+    return rows.where(inside).select("directory", "product").distinct()
 
 
 def find_data_dirs(listing: DataFrame) -> DataFrame:
     """(directory, product) down the tree; nothing below a folder that is a hit itself."""
-    hits = _dir_hits(listing, {n: f"^{p}$" for n, p in DATA_DIR_LAYOUTS.items()})
+    hits = _dir_hits(listing, DATA_DIR_LAYOUTS)
     dirs = hits.select(F.col("directory").alias("_up")).distinct()
     above = hits.select("directory", F.explode(_parents(F.col("directory"))).alias("_up")).where("_up <> directory")
     covered = above.join(dirs, "_up", "left_semi").select("directory").distinct()
@@ -263,7 +274,7 @@ def product_destination(parsed: DataFrame, series: DataFrame, data_dirs: DataFra
 
 def check_roots(data_dirs: DataFrame, listing: DataFrame) -> DataFrame:
     """Per raw root: is there any fileset? Filesets are found once per parent folder, not once per root."""
-    hits = _dir_hits(listing, {"raw": "^" + RAW_LAYOUTS}).select(F.col("directory").alias("path")).distinct()
+    hits = _dir_hits(listing, {"raw": RAW_LAYOUT}).select(F.col("directory").alias("path")).distinct()
     raw = data_dirs.where("product_type = 'raw'").select("path").distinct()
     return raw.join(hits.withColumn("_hit", F.lit(True)), "path", "left").select(
         "path", F.coalesce("_hit", F.lit(False)).alias("found"))
