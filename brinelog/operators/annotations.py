@@ -175,6 +175,9 @@ def scores_to_arrays(long: DataFrame, done: DataFrame | None = None) -> DataFram
     """
     fresh = long if done is None else long.join(done.select("bin_lid"), "bin_lid", "left_anti")
     chunk = F.floor(F.col("roi") / ROIS_PER_ARRAY).alias("chunk")
+    sizes = ordered.key_sizes(fresh, ["bin_lid"])
+    if sizes[1] <= ordered.HOT_ROWS:  # rows of a bin go to one task once, before they are gathered, and stay there for a join by bin
+        fresh = ordered.spread(fresh, ["bin_lid"], sizes[0])
     rows = F.array_sort(F.collect_list(F.struct("roi", "score"))).alias("_r")
     stored = fresh.groupBy("bin_lid", "class_label", chunk).agg(rows)
     return stored.select("bin_lid", "class_label", "chunk", F.col("_r.roi").alias("roinums"), F.col("_r.score").alias("scores"))
