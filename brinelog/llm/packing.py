@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import os
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,8 @@ BUCKETS = 4096
 SAMPLES_PER_RANGE = 32
 TOKENS_PER_RANGE = 1 << 24
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-_WORD_AND_MARKS = re.compile(r"([a-zß-öø-ÿ]+)([!-/:-@\[-`{-~]*)")
+_MARKS = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum())
+_WORD = re.compile(r"[a-zß-öø-ÿ]+")
 
 
 class WordEncoder:
@@ -52,8 +54,8 @@ class WordEncoder:
         self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         self.bare.normalizer = None
-        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
-            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.parted = pre_tokenizers.WhitespaceSplit()  # enough for ASCII letters, which are their own byte symbols
+        self.bytewise = pre_tokenizers.Sequence([self.parted, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.ends = np.zeros(size, bool)
@@ -67,31 +69,57 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned integers of ``dtype``. Texts are learned from together: give a megabyte or so at once."""
         parts = [None if "<|" in t else t.encode().translate(_LOWER).split() for t in texts]
-        missing = set().union(*(own for own in parts if own))
-        missing.difference_update(self.new)
-        self._learn(missing)
-        out = [self.plain([t])[0] if own is None else b"".join(map(self.new.__getitem__, own)) for t, own in zip(texts, parts)]
+        ids = [None if own is None else list(map(self.new.get, own)) for own in parts]
+        gaps = [(own, got, [i for i, g in enumerate(got) if g is None]) for own, got in zip(parts, ids) if got and None in got]
+        self._learn({own[i] for own, _, at in gaps for i in at})
+        for own, got, at in gaps:
+            for i in at:
+                got[i] = self.new[own[i]]
+        out = [self.plain([t])[0] if got is None else b"".join(got) for t, got in zip(texts, ids)]
         if len(self.new) > self.cached:
             self.old, self.new = self.new, {}
         return out
 
-    def _known(self, part: bytes) -> bytes | None:
-        ids = self.new.get(part)
-        if ids is None and part in self.old:
-            ids = self.new[part] = self.old[part]
-        return ids
+    def _new(self, parts: Iterable[bytes]) -> list[bytes]:
+        """Those of ``parts``, not known lately, without ids; what the older generation knows is taken over."""
+        left, known, older = [], self.new, self.old.get
+        for part in parts:
+            ids = older(part)
+            if ids is None:
+                left.append(part)
+            else:
+                known[part] = ids
+        return left
 
     def _learn(self, missing: set[bytes]) -> None:
-        split, whole = [], []
-        for part in missing:
-            if self._known(part) is None:
-                match = _WORD_AND_MARKS.fullmatch(part.decode())
-                if match:
-                    split.append((part, match[1].encode(), match[2].encode()))
+        known, ascii, other, split, whole = self.new, [], [], [], []
+        halves = set()
+        for part in self._new(missing):
+            if part.isalpha():  # ASCII letters only, by far the most
+                ascii.append(part)
+                continue
+            word = part.rstrip(_MARKS)
+            if word.isalpha() or _WORD.fullmatch(word.decode()):
+                if len(word) < len(part):
+                    marks = part[len(word):]
+                    split.append((part, word, marks))
+                    halves.add(word)
+                    halves.add(marks)
                 else:
-                    whole.append(part)
-        words = sorted(w for w in {x for _, *pair in split for x in pair if x} if self._known(w) is None)
+                    other.append(part)
+            else:
+                whole.append(part)
+        halves.difference_update(ascii, other)
+        other += self._new([x for x in halves if x not in known])
+        self._learn_words(ascii, self.parted)
+        self._learn_words(other, self.bytewise)
+        known.update((part, known[word] + known[marks]) for part, word, marks in split)
+        if whole:
+            known.update(zip(whole, self.plain([p.decode() for p in whole])))
+
+    def _learn_words(self, words: list[bytes], parting) -> None:
         if words:
+            self.bare.pre_tokenizer = parting
             ids = np.array(self.bare.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.dtype)
             ends = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(ends) == len(words):
@@ -99,10 +127,6 @@ class WordEncoder:
                 self.new.update((w, raw[a * width:b * width]) for w, a, b in zip(words, [0, *ends], ends))
             else:
                 self.new.update(zip(words, self.plain([w.decode() for w in words])))
-        known = self.new
-        known.update((part, known[word] + known[marks]) for part, word, marks in split if marks)
-        if whole:
-            known.update(zip(whole, self.plain([p.decode() for p in whole])))
 
 
 def in_groups(texts: list[str], size: int = 1 << 20):

@@ -117,3 +117,14 @@ def test_layout():
             at += room
         assert [s for s, _ in seen] == list(range(len(seen))) and at == total
         assert all(n == 2048 or n & (n - 1) == 0 for _, n in seen)
+
+
+def test_learning_does_not_walk_over_known_words(plain):
+    class Known(dict):
+        def __iter__(self):
+            raise AssertionError("all known words were read")
+
+    encoder = pk.WordEncoder(PATH)
+    encoder.new = Known()
+    for text in ("abc def, né x9 né!", "abc, def né?! (x) neu ß...", "neu, ß abc"):
+        assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == plain(text)
