@@ -6,6 +6,7 @@ Operators of this package may add columns named ``_llm_...`` on the way; tables
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager, nullcontext
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -23,22 +24,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 _SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes and collects inside go when each has ended, not when the driver next collects garbage.
+
+    Until then they are there, so tasks of lost executors run again as ever.
+    """
+    before = spark.conf.get(_SHUFFLES_GO, None)
+    spark.conf.set(_SHUFFLES_GO, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_SHUFFLES_GO) if before is None else spark.conf.set(_SHUFFLES_GO, before)
+
+
 def materialize(df: DataFrame, name: str, drop_shuffles: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    With ``drop_shuffles`` the shuffle files of the write go when it has ended, not when the driver next collects garbage. Until
-    then they are there, so tasks of lost executors run again as ever.
+    With ``drop_shuffles`` the shuffle files of the write go when it has ended (``shuffles_dropped``).
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(_SHUFFLES_GO, None)
-    if drop_shuffles:
-        spark.conf.set(_SHUFFLES_GO, "true")
-    try:
+    with shuffles_dropped(spark) if drop_shuffles else nullcontext():
         df.write.parquet(path)
-    finally:
-        if drop_shuffles:
-            spark.conf.unset(_SHUFFLES_GO) if before is None else spark.conf.set(_SHUFFLES_GO, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -102,10 +110,10 @@ def components(edges: DataFrame) -> DataFrame:
     Returns ``node, root``; only nodes that occur in an edge. Alternates a large-star and a small-star step: every node is tied to
     the smallest of its neighbours, first on the side of the larger nodes, then on the side of the smaller ones, until
     nothing changes. Aggregates combine before the shuffle and the joins split hot nodes, so a hub is no problem. Nulls and
-    loops are ignored.
+    loops are ignored. The shuffles of a step go when it has been written.
     """
     e = materialize(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-                    .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+                    .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", drop_shuffles=True)
     state = None
     while True:
         both = e.union(e.select("b", "a"))
@@ -116,9 +124,10 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(small_low, "a")
         star = (joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                 .union(small_low.select("a", F.col("m").alias("b"))).distinct())
-        before, e = e, materialize(star, "stars")
+        before, e = e, materialize(star, "stars", drop_shuffles=True)
         discard(before)
-        n, sign = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        with shuffles_dropped(e.sparkSession):
+            n, sign = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if (n, sign) == state:
             break
         state = (n, sign)

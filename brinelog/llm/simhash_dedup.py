@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brinelog.llm.common import arrow_schema, components, materialize, nothing_kept, per_batch, texts_of
+from brinelog.llm.common import arrow_schema, components, discard, materialize, nothing_kept, per_batch, shuffles_dropped, texts_of
 
 SEGMENT_BITS = 2
 
@@ -273,7 +273,9 @@ def shingle_counts(docs: DataFrame, words: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(raw, pa.binary())], schema=arrow_schema(ddl))
 
     out = np.zeros((blocks, (1 << _SLOTS) // blocks), np.uint32)
-    for r in docs.select("text").mapInArrow(count, ddl).repartition(blocks, "block").mapInArrow(add, ddl).collect():
+    with shuffles_dropped(docs.sparkSession):
+        added = docs.select("text").mapInArrow(count, ddl).repartition(blocks, "block").mapInArrow(add, ddl).collect()
+    for r in added:
         out[r.block] = np.frombuffer(zlib.decompress(r.counts), np.uint32)
     return out.ravel()
 
@@ -417,7 +419,7 @@ def verified(candidates: DataFrame, texts: DataFrame, words: int, similarity: fl
 
 def fingerprint_links(nodes: DataFrame, radius: int, blocks: int) -> DataFrame:
     """``a, b``: links that connect the nodes (``node, fp``) whose fingerprints differ by at most ``radius`` bits."""
-    distinct = materialize(nodes.groupBy("fp").agg(F.min("node").alias("low")), "prints")
+    distinct = materialize(nodes.groupBy("fp").agg(F.min("node").alias("low")), "prints", drop_shuffles=True)
     equal = nodes.join(distinct, "fp").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b"))
     return links(distinct.select("fp", F.col("low").alias("node")), radius, blocks).union(equal)
 
@@ -442,9 +444,10 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
         return {"doc_id": batch.column(0), "_llm_text_key": batch.column(1), "node": [n for n, _ in nodes], "fp": [p for _, p in nodes]}
 
     rows = materialize(keyed.select(F.col("doc_id").cast("long"), "_llm_text_key", "text").mapInArrow(per_batch(run, schema), schema), "words")
-    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("doc_id", "_llm_text_key")).alias("first"), F.min("fp").alias("fp")), "nodes")
+    nodes = materialize(rows.groupBy("node").agg(F.min(F.struct("doc_id", "_llm_text_key")).alias("first"), F.min("fp").alias("fp")),
+                        "nodes", drop_shuffles=True)
     counts = shingle_counts(docs, words)
-    tokens = materialize(shared_tokens(prefixes(docs, counts, words, similarity)), "tokens")
+    tokens = materialize(shared_tokens(prefixes(docs, counts, words, similarity)), "tokens", drop_shuffles=True)
     texts = _texts_of_nodes(keyed, tokens.select("node").distinct().join(nodes, "node"))
     found, tried, roots = None, None, nodes.select("node", F.col("node").alias("root")).limit(0)
     if radius is not None:
@@ -452,12 +455,13 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
         roots = components(found)
     first, end = 0, 1
     while True:
-        tokens = materialize(unjoined(tokens, roots, first + 1), "tokens")
+        before, tokens = tokens, materialize(unjoined(tokens, roots, first + 1), "tokens", drop_shuffles=True)
+        discard(before)
         if tokens.isEmpty():
             break
         pairs = star_pairs(tokens, first, end, similarity)
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
-        new = materialize(verified(pairs, texts, words, similarity), "links")
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates", drop_shuffles=True)
+        new = materialize(verified(pairs, texts, words, similarity), "links", drop_shuffles=True)
         tried = pairs if tried is None else tried.union(pairs)
         found = new if found is None else found.union(new)
         if not new.isEmpty():
@@ -473,4 +477,5 @@ def _texts_of_nodes(keyed: DataFrame, ends: DataFrame) -> DataFrame:
     """``node, text``: one text for every node of ``ends``."""
     wanted = ends.select("node", F.col("first.doc_id").alias("_llm_id"), F.col("first._llm_text_key").alias("_llm_key"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_llm_id")) & F.col("_llm_text_key").eqNullSafe(F.col("_llm_key"))
-    return materialize(keyed.select("doc_id", "_llm_text_key", "text").join(wanted, same).dropDuplicates(["node"]).select("node", "text"), "texts")
+    return materialize(keyed.select("doc_id", "_llm_text_key", "text").join(wanted, same).dropDuplicates(["node"]).select("node", "text"),
+                       "texts", drop_shuffles=True)

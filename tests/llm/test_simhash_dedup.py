@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -120,6 +121,27 @@ def test_copies_with_one_long_edit_go(spark):
     assert len(left) <= 60 + 3
 
 
+def test_steps_leave_no_shuffle_files(spark):
+    """The shuffles of a step go when it has been written; until then all rounds of a run lay on disk together."""
+    def files():
+        held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (held.apply(i).getName() for i in range(held.size())) if n.startswith("shuffle_")}
+
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(3000)]
+    bases = [[rng.choice(words) for _ in range(200)] for _ in range(20)]
+    given = [(10 * i + k, " ".join(base[:200 - 5 * k])) for i, base in enumerate(bases) for k in range(4)]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    before = files()
+    left = sd.drop_near_duplicates(docs, radius=4)
+    for _ in range(40):  # files go in the background
+        if not (after := files() - before):
+            break
+        time.sleep(0.25)
+    assert not after
+    assert sorted(r.doc_id for r in left.collect()) == list(range(0, 200, 10))
+
+
 def test_parts_that_are_equal_link_nothing_unlike(spark):
     rng = random.Random(9)
     words = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(3000)]
