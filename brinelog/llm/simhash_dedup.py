@@ -449,10 +449,9 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     counts = shingle_counts(docs, words)
     tokens = materialize(shared_tokens(prefixes(docs, counts, words, similarity)), "tokens", drop_shuffles=True)
     texts = _texts_of_nodes(keyed, tokens.select("node").distinct().join(nodes, "node"))
-    found, tried, roots = None, None, nodes.select("node", F.col("node").alias("root")).limit(0)
+    tried, roots = None, nodes.select("node", F.col("node").alias("root")).limit(0)
     if radius is not None:
-        found = materialize(fingerprint_links(nodes.select("node", "fp"), radius, blocks), "print-links", drop_shuffles=True)
-        roots = components(found)
+        roots = components(materialize(fingerprint_links(nodes.select("node", "fp"), radius, blocks), "print-links", drop_shuffles=True))
     first, end = 0, 1
     while True:
         before, tokens = tokens, materialize(unjoined(tokens, roots, first + 1), "tokens", drop_shuffles=True)
@@ -463,9 +462,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates", drop_shuffles=True)
         new = materialize(verified(pairs, texts, words, similarity), "links", drop_shuffles=True)
         tried = pairs if tried is None else tried.union(pairs)
-        found = new if found is None else found.union(new)
-        if not new.isEmpty():
-            roots = components(found)
+        if not new.isEmpty():  # earlier links are in the roots
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(new))
         first, end = end, end * growth
     kept = (nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root"))
             .agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_llm_id"), F.col("first._llm_text_key").alias("_llm_key")))
