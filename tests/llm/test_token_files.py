@@ -82,3 +82,37 @@ def test_sequences_are_mapped_without_a_copy(spark, docs, plain, tmp_path):
             reader.sequence(n)
     names = {f for f in os.listdir(tmp_path / "set")}
     assert len(names) == 2 * manifest.count()
+
+
+def test_library_sees_a_word_once_whatever_marks_follow(plain):
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.seen = tokenizer, 0
+
+        def encode_batch_fast(self, texts, **more):
+            self.seen += sum(map(len, texts))
+            return self.tokenizer.encode_batch_fast(texts, **more)
+
+    words = [f"{a}{b}e{c}" for a in ("th", "br", "ü", "Å") for b in "aeiouy" for c in ("st", "rd", "ñ")]
+    text = " ".join(word + mark for mark in ("", ".", ",", "!?", ");", "'", "$$$", "\n-") for word in words)
+    encoder = tf.Encoder(PATH)
+    counted = {name: Counted(x) for name, x in vars(encoder).items() if isinstance(x, Tokenizer)}
+    vars(encoder).update(counted)
+    assert np.frombuffer(encoder.encode(text), encoder.dtype).tolist() == plain(text)
+    assert sum(x.seen for x in counted.values()) < 2 * sum(len(w) + 1 for w in words) < len(text) / 3
+
+
+def test_many_texts_at_once(plain, monkeypatch):
+    monkeypatch.setattr(tf, "GROUP", 300)
+    monkeypatch.setattr(tf, "AT_ONCE", 7)
+    rng = np.random.default_rng(6)
+    some = [*"abXY  \n\t.,'-?$<|>09×÷ª½…\xa0　\x85\x1c\0é你", "'s", "'re", " and,", "ß.", "😀", "<|endoftext|>", "word", "x" * 70]
+    for kind in (pa.string(), pa.large_string()):
+        texts = [None, *("".join(rng.choice(some, rng.integers(0, 30))) for _ in range(600)), ""]
+        encoder, got = tf.Encoder(PATH, cached=50), []
+        for group in tf.groups(pa.array(["left out", *texts], kind).slice(1)):
+            raw, sizes = encoder.encode_all(group, np.array([7], encoder.dtype).tobytes())
+            assert len(raw) == sizes.sum() * encoder.dtype.itemsize
+            got += [x.tolist() for x in np.split(np.frombuffer(raw, encoder.dtype), np.cumsum(sizes)[:-1])]
+        assert got == [[*plain(t or ""), 7] for t in texts]
+        assert max(map(len, [*encoder.new, *encoder.old])) <= tf.KEPT_BYTES
