@@ -142,13 +142,13 @@ def _(t):
 
 @query("roi_pixels_scan")
 def _(t):
-    # A stored file serves as image file: the largest one, where the table is a folder.
-    listing = readers.path_scan(t.spark, f"{t.sf_dir}/orders.parquet", recursive=True)
-    listing = listing.agg(F.max_by("path", F.struct("length", "path")).alias("path"))
+    # The bytes of a stored table serve as image file: its files end to end, again and again, so that every target lies in them.
+    listing = readers.path_scan(t.spark, f"{t.sf_dir}/orders.parquet", recursive=True).select("path", "length").collect()
     # The image file of a bin begins at the byte of the bin's number.
-    placed = t.targets.withColumns({"path": listing.select("path").scalar(), "byteOffset": F.col("byteOffset") + F.col("bin")})
-    pixels = readers.roi_pixels_scan(placed.select("bin", "targetNumber", "path", "byteOffset", "width", "height"), ["bin", "targetNumber"])
-    return pixels.groupBy("bin", "targetNumber").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    keys = ["bin", "targetNumber"]
+    placed = t.targets.select(*keys, (F.col("byteOffset") + F.col("bin")).alias("byteOffset"), "width", "height")
+    pixels = readers.roi_pixels_scan(placed.withColumn("path", F.lit("orders")), keys, {"orders": [tuple(r) for r in listing]})
+    return pixels.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 
 def _hdr_lines(t):

@@ -6,7 +6,9 @@ of any size: a file is read in splits, lines are numbered inside a split and a s
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,10 @@ HDR_KEYS = {
 }
 FIXED_HDR_LINE = "Imaging FlowCytobot Acquisition Software version 2.0; May 2010"
 
+# Reads of image bytes: the most that neighbours may be in one read, and the gap that is read along.
+AT_ONCE = 1 << 22
+NEAR = 1 << 12
+
 
 def adc_columns(version: str) -> list[str]:
     return ADC_V1_COLUMNS if version == "v1" else ADC_V2_COLUMNS
@@ -119,42 +125,91 @@ def file_fixity(spark: SparkSession, folder: str, fast: bool = False, block: int
     return hashed.withColumn("fix_time", F.current_timestamp())
 
 
-def read_ranges(rows: DataFrame, path: str = "path", offset: str = "byteOffset", length: str = "size") -> DataFrame:
-    """Attach ``data``: the bytes ``[offset, offset + length)`` of ``path``. Only the asked ranges are read."""
-    schema = T.StructType(rows.schema.fields + [T.StructField("data", T.BinaryType())])
-
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            data = [None] * len(pdf)
-            sizes, starts = pdf[length].tolist(), pdf[offset].tolist()
-            for name, idx in pdf.groupby(path, sort=False).indices.items():
-                with _open(name) as handle:
-                    for i in idx.tolist():
-                        data[i] = handle.read_at(int(sizes[i]), int(starts[i]))
-            yield pdf.assign(data=data)
-
-    return rows.mapInPandas(fetch, schema)
+def _read_into(out: memoryview, handle, path: str, ranges: list[tuple[int, int, int]]) -> None:
+    """Copy ranges ``(start, size, place in out)`` of one file; neighbours are read in one go."""
+    ranges.sort()
+    i = 0
+    while i < len(ranges):
+        first, size, _ = ranges[i]
+        last, j = first + size, i + 1
+        while j < len(ranges) and ranges[j][0] <= last + NEAR and ranges[j][0] + ranges[j][1] <= first + AT_ONCE:
+            last = max(last, ranges[j][0] + ranges[j][1])
+            j += 1
+        view = memoryview(handle.read_at(last - first, first))
+        if len(view) < last - first:
+            raise EOFError(f"{path} ends at byte {first + len(view)}, before the end of an image at byte {last}")
+        for start, size, at in ranges[i:j]:
+            out[at:at + size] = view[start - first:start - first + size]
+        i = j
+
+
+def _end_to_end(files: Sequence[tuple[str, int]], ranges: list[tuple[int, int, int]]) -> dict[str, list[tuple[int, int, int]]]:
+    """Ranges of files laid end to end, again and again, as ranges of each file."""
+    ends = list(accumulate(n for _, n in files))
+    parts: dict[str, list[tuple[int, int, int]]] = {}
+    for start, size, at in ranges:
+        while size > 0:
+            start %= ends[-1]
+            k = bisect_right(ends, start)
+            take = min(size, ends[k] - start)
+            parts.setdefault(files[k][0], []).append((start - ends[k] + files[k][1], take, at))
+            start, size, at = start + take, size - take, at + take
+    return parts
+
+
+def read_ranges(rows: DataFrame, path: str = "path", offset: str = "byteOffset", length: str = "size",
+                files: dict[str, Sequence[tuple[str, int]]] | None = None) -> DataFrame:
+    """Attach ``data``: the bytes ``[offset, offset + length)`` of ``path``; null where one of these is. Only the asked ranges are read, with gaps of
+    up to ``NEAR`` bytes between them. A range that goes beyond the end of its file is an error.
+
+    A name that is a key of ``files`` stands for these files ``(path, length)``, laid end to end; after the last byte the first follows, so no range is beyond the end.
+    """
+    files = files or {}
+
+    def fetch(paths: pa.Array, starts: pa.Array, sizes: pa.Array) -> pa.Array:
+        given = np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in (paths, starts, sizes)])
+        starts, sizes = (np.where(given, c.fill_null(0).to_numpy(), 0) for c in (starts, sizes))
+        at = np.concatenate(([0], np.cumsum(sizes)))
+        if at[-1] >= 1 << 31:
+            raise ValueError("images of 2 GB or more in a batch: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+        content = bytearray(int(at[-1]))
+        names = paths.dictionary_encode()
+        which = names.indices.fill_null(0).to_numpy()
+        order = np.argsort(which, kind="stable")
+        order = order[sizes[order] > 0]
+        for k in np.unique(which[order]).tolist():
+            name = names.dictionary[k].as_py()
+            asked = order[np.searchsorted(which[order], k, "left"):np.searchsorted(which[order], k, "right")]
+            ranges = list(zip(starts[asked].tolist(), sizes[asked].tolist(), at[asked].tolist()))
+            for part, found in (_end_to_end(files[name], ranges) if name in files else {name: ranges}).items():
+                with _open(part) as handle:
+                    _read_into(memoryview(content), handle, part, found)
+        return pa.Array.from_buffers(pa.binary(), len(given), [pa.array(given).buffers()[1], pa.py_buffer(at.astype(np.int32)), pa.py_buffer(content)])
+
+    return rows.withColumn("data", F.arrow_udf(fetch, "binary")(F.col(path), F.col(offset).cast("bigint"), F.col(length).cast("bigint")))
 
 
 def bytes_to_pixels(rows: DataFrame, keys: Sequence[str], width: str = "width", height: str = "height") -> DataFrame:
     """Pixel rows ``keys, y, x, v`` of unsigned bytes. Stored images are turned by 90 degrees: ``width`` rows."""
     def values(data: pa.Array) -> pa.Array:
-        """The bytes of each cell as numbers, without a copy per cell."""
+        """The bytes of each cell as (signed) numbers, not copied."""
         plain = data.cast(pa.binary())
-        _, offsets, content = plain.buffers()
-        at = np.frombuffer(offsets, np.int32)[plain.offset:plain.offset + len(plain) + 1]
-        levels = np.frombuffer(content or b"", np.uint8)[at[0]:at[-1]]
-        return pa.ListArray.from_arrays(pa.array(at - at[0]), pa.array(levels.astype(np.int16)))
-
-    flat = rows.where(F.length("data") > 0).select(*keys, height, F.posexplode(F.arrow_udf(values, "array<smallint>")("data")).alias("_i", "_v"))
+        valid, offsets, content = plain.buffers()
+        levels = pa.Array.from_buffers(pa.int8(), content.size if content else 0, [None, content or pa.py_buffer(b"")])
+        return pa.Array.from_buffers(pa.list_(pa.field("element", pa.int8(), False)), len(plain), [valid, offsets], offset=plain.offset, children=[levels])
+
+    # Made before the rows are multiplied, so reading and this are one Python step; else a filter that Spark infers for the rows would be pushed
+    # below and take a step of its own: nothing is pushed below what is not deterministic.
+    levels = F.arrow_udf(values, T.ArrayType(T.ByteType(), False)).asNondeterministic()("data")
+    flat = rows.select(*keys, height, levels.alias("_levels")).select(*keys, height, F.posexplode("_levels").alias("_i", "_v"))
     return flat.select(*keys, F.floor(F.col("_i") / F.col(height)).alias("y"),
-                       (F.col("_i") % F.col(height)).cast("bigint").alias("x"), F.col("_v").cast("int").alias("v"))
+                       (F.col("_i") % F.col(height)).cast("bigint").alias("x"), F.col("_v").cast("int").bitwiseAND(255).alias("v"))
 
 
-def roi_pixels_scan(targets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pixels of targets whose ``path`` names the image file and whose ``byteOffset`` locates them in it."""
+def roi_pixels_scan(targets: DataFrame, keys: Sequence[str], files: dict[str, Sequence[tuple[str, int]]] | None = None) -> DataFrame:
+    """Pixels of targets whose ``path`` names the image file (or ``files``) and whose ``byteOffset`` locates them in it."""
     sized = targets.withColumn("size", F.col("width") * F.col("height")).where("size > 0")
-    return bytes_to_pixels(read_ranges(sized), keys)
+    return bytes_to_pixels(read_ranges(sized, files=files), keys)
 
 
 # -- numbered lines ---------------------------------------------------------------------------------------------------

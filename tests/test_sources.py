@@ -150,3 +150,38 @@ def test_text_files_lie_in_one_folder(spark, tmp_path):
     assert sorted(r.doc for r in found.collect()) == ["1\n", "2\n2\n", "3\n4\n"]
     assert len(found.inputFiles()) == len([p for p in (tmp_path / "files").iterdir() if p.is_file()]) == 3
     assert readers.json_file_scan(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_ranges_of_files_laid_end_to_end(spark, tmp_path):
+    """Ranges go from file to file and from the last byte to the first; without that, a range beyond the end of its file is an error."""
+    parts = [bytes(range(10)), b"", bytes(range(100, 107))]
+    files = []
+    for i, data in enumerate(parts):
+        (tmp_path / f"{i}.roi").write_bytes(data)
+        files.append(("file:" + str(tmp_path / f"{i}.roi"), len(data)))
+    whole = b"".join(parts)
+    asked = [(1, 0, 4), (2, 8, 5), (3, 15, 40), (4, 1000, 3), (5, -2, 3), (6, None, 3), (7, 3, None), (8, 5, 0), (9, 2, 6)]
+    rows = spark.createDataFrame([(k, "all", o, n) for k, o, n in asked] + [(10, None, 1, 1), (11, files[2][0], 2, 5)],
+                                 "k int, path string, byteOffset long, size long").coalesce(1)
+    got = {r.k: r.data for r in readers.read_ranges(rows, files={"all": files}).collect()}
+    want = {k: None if o is None or n is None else bytes(whole[(o + i) % len(whole)] for i in range(n)) for k, o, n in asked}
+    assert got == want | {10: None, 11: parts[2][2:7]}
+    beyond = rows.where("k = 11").withColumn("size", F.lit(6).cast("long"))
+    with pytest.raises(Exception, match="ends at byte 7"):
+        readers.read_ranges(beyond).collect()
+
+
+def test_pixels_of_targets_beyond_the_largest_file(spark, tmp_path):
+    """Every target has all its pixels where the table is a folder of files, each shorter than the numbers of the bins."""
+    import __spark_entry__ as entry
+    from brinelog.plans.bindings import Tables
+    spark.range(60).selectExpr("id AS o_orderkey").repartition(5).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i, 1 + i % 50) for i in range(9)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(b, i % 9, 1, i, 7.0 + i, float(i)) for i, b in enumerate((0, 0, 0, 900, 900, 50_000, 9_000_000, 10**15, -3))],
+                          "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").withColumn(
+        "l_shipdate", F.lit("2020-01-01").cast("timestamp")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    data = b"".join(p.read_bytes() for p in sorted((tmp_path / "orders.parquet").glob("part-*")))
+    want = {(r.bin, r.targetNumber): (r.width * r.height, sum(data[(r.byteOffset + r.bin + i) % len(data)] for i in range(r.width * r.height)))
+            for r in Tables(spark, str(tmp_path)).targets.collect()}
+    got = {(r.bin, r.targetNumber): (r.n, r.total) for r in entry.queries()["roi_pixels_scan"](spark, str(tmp_path)).collect()}
+    assert len(want) == 9 and got == want
