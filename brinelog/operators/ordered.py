@@ -108,14 +108,15 @@ def key_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
     return total or 0, most or 0
 
 
-def spread(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
-    """``df`` dealt by ``keys``, so that about ``RANGE_ROWS`` of its ``rows`` go to a task; few rows are left to Spark.
+def spread(df: DataFrame, keys: Sequence[str], rows: int, each: int | None = None) -> DataFrame:
+    """``df`` dealt by ``keys``, so that about ``each`` (``RANGE_ROWS``) of its ``rows`` go to a task; few rows are left to Spark.
 
     Spark joins partitions by compressed bytes, which may be several million short rows a task; a number given is kept.
     """
-    if rows <= RANGE_ROWS:
+    each = each or RANGE_ROWS
+    if rows <= each:
         return df
-    return df.repartition(max(rows // RANGE_ROWS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    return df.repartition(max(rows // each, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def _accumulate_small(df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: dict[str, Column], exclusive: Sequence[str],

@@ -140,6 +140,10 @@ def _(t):
     return readers.file_fixity(t.spark, t.sf_dir, recursive=True).select("filename", "length", "sha1")
 
 
+# Targets of a task: pixels of more than 65,536 groups leave Spark's small map of sums for one several times slower.
+SCANNED_TARGETS = 1 << 15
+
+
 @query("roi_pixels_scan")
 def _(t):
     # The bytes of a stored table serve as image file: its files end to end, again and again, so that every target lies in them.
@@ -147,7 +151,8 @@ def _(t):
     # The image file of a bin begins at the byte of the bin's number.
     keys = ["bin", "targetNumber"]
     placed = t.targets.select(*keys, (F.col("byteOffset") + F.col("bin")).alias("byteOffset"), "width", "height")
-    pixels = readers.roi_pixels_scan(placed.withColumn("path", F.lit("orders")), keys, {"orders": [tuple(r) for r in listing]})
+    dealt = ordered.spread(placed, keys, t.targets.count(), SCANNED_TARGETS)
+    pixels = readers.roi_pixels_scan(dealt.withColumn("path", F.lit("orders")), keys, {"orders": [tuple(r) for r in listing]})
     return pixels.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 
 

@@ -185,3 +185,14 @@ def test_pixels_of_targets_beyond_the_largest_file(spark, tmp_path):
             for r in Tables(spark, str(tmp_path)).targets.collect()}
     got = {(r.bin, r.targetNumber): (r.n, r.total) for r in entry.queries()["roi_pixels_scan"](spark, str(tmp_path)).collect()}
     assert len(want) == 9 and got == want
+
+
+def test_pixels_are_read_in_one_python_step(spark, sf_dir, monkeypatch):
+    """One Python step below the pixel rows, on targets dealt by number."""
+    import __spark_entry__ as entry
+    from brinelog.plans import ingest_queries
+    monkeypatch.setattr(ingest_queries, "SCANNED_TARGETS", 200)
+    df = entry.queries()["roi_pixels_scan"](spark, sf_dir)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "MapInPandas" not in plan and "REPARTITION_BY_NUM" in plan
+    assert df.count() == 6000
