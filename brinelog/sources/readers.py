@@ -6,9 +6,7 @@ of any size: a file is read in splits, lines are numbered inside a split and a s
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator, Sequence
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -125,36 +123,37 @@ def file_fixity(spark: SparkSession, folder: str, fast: bool = False, block: int
     return hashed.withColumn("fix_time", F.current_timestamp())
 
 
-def _read_into(out: memoryview, handle, path: str, ranges: list[tuple[int, int, int]]) -> None:
-    """Copy ranges ``(start, size, place in out)`` of one file; neighbours are read in one go."""
-    ranges.sort()
-    i = 0
-    while i < len(ranges):
-        first, size, _ = ranges[i]
-        last, j = first + size, i + 1
-        while j < len(ranges) and ranges[j][0] <= last + NEAR and ranges[j][0] + ranges[j][1] <= first + AT_ONCE:
-            last = max(last, ranges[j][0] + ranges[j][1])
-            j += 1
+def _read_into(out: memoryview, handle, path: str, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> None:
+    """Copy ranges of one file to their places ``at``; neighbours are read in one go."""
+    order = np.argsort(starts, kind="stable")
+    starts, sizes, at = starts[order], sizes[order], at[order]
+    ends = starts + sizes
+    apart = (starts[1:] > np.maximum.accumulate(ends)[:-1] + NEAR) | (starts[1:] // AT_ONCE != starts[:-1] // AT_ONCE)
+    cuts = [0, *(np.flatnonzero(apart) + 1).tolist(), len(starts)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        first, last = int(starts[lo]), int(ends[lo:hi].max())
         view = memoryview(handle.read_at(last - first, first))
         if len(view) < last - first:
             raise EOFError(f"{path} ends at byte {first + len(view)}, before the end of an image at byte {last}")
-        for start, size, at in ranges[i:j]:
-            out[at:at + size] = view[start - first:start - first + size]
-        i = j
+        for to, size, begin in zip(at[lo:hi].tolist(), sizes[lo:hi].tolist(), (starts[lo:hi] - first).tolist()):
+            out[to:to + size] = view[begin:begin + size]
 
 
-def _end_to_end(files: Sequence[tuple[str, int]], ranges: list[tuple[int, int, int]]) -> dict[str, list[tuple[int, int, int]]]:
+def _end_to_end(files: Sequence[tuple[str, int]], starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> Iterator[tuple]:
     """Ranges of files laid end to end, again and again, as ranges of each file."""
-    ends = list(accumulate(n for _, n in files))
-    parts: dict[str, list[tuple[int, int, int]]] = {}
-    for start, size, at in ranges:
-        while size > 0:
-            start %= ends[-1]
-            k = bisect_right(ends, start)
-            take = min(size, ends[k] - start)
-            parts.setdefault(files[k][0], []).append((start - ends[k] + files[k][1], take, at))
-            start, size, at = start + take, size - take, at + take
-    return parts
+    lengths = np.array([n for _, n in files], np.int64)
+    ends = np.cumsum(lengths)
+    parts = []
+    while len(starts):  # once more for those that go on in the next file
+        starts = starts % ends[-1]
+        k = np.searchsorted(ends, starts, "right")
+        take = np.minimum(sizes, ends[k] - starts)
+        parts.append((k, starts - ends[k] + lengths[k], take, at))
+        more = take < sizes
+        starts, sizes, at = (starts + take)[more], (sizes - take)[more], (at + take)[more]
+    k, *found = (np.concatenate(c) for c in zip(*parts))
+    for i in np.unique(k).tolist():
+        yield files[i][0], *(c[k == i] for c in found)
 
 
 def read_ranges(rows: DataFrame, path: str = "path", offset: str = "byteOffset", length: str = "size",
@@ -180,10 +179,10 @@ def read_ranges(rows: DataFrame, path: str = "path", offset: str = "byteOffset",
         for k in np.unique(which[order]).tolist():
             name = names.dictionary[k].as_py()
             asked = order[np.searchsorted(which[order], k, "left"):np.searchsorted(which[order], k, "right")]
-            ranges = list(zip(starts[asked].tolist(), sizes[asked].tolist(), at[asked].tolist()))
-            for part, found in (_end_to_end(files[name], ranges) if name in files else {name: ranges}).items():
+            ranges = starts[asked], sizes[asked], at[asked]
+            for part, *found in _end_to_end(files[name], *ranges) if name in files else [(name, *ranges)]:
                 with _open(part) as handle:
-                    _read_into(memoryview(content), handle, part, found)
+                    _read_into(memoryview(content), handle, part, *found)
         return pa.Array.from_buffers(pa.binary(), len(given), [pa.array(given).buffers()[1], pa.py_buffer(at.astype(np.int32)), pa.py_buffer(content)])
 
     return rows.withColumn("data", F.arrow_udf(fetch, "binary")(F.col(path), F.col(offset).cast("bigint"), F.col(length).cast("bigint")))
